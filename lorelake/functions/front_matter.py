@@ -179,7 +179,7 @@ def parse_column(yaml_text: Column) -> Column:
             rows.append(row)
         return pa.array(rows, type=arrow)
 
-    return parse_yaml(yaml_text)
+    return parse_yaml.asNondeterministic()(yaml_text)
 
 
 # -- expressions over the node array --------------------------------------

@@ -35,6 +35,11 @@ def collapse_ws(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def strip(text: Column | str) -> Column:
+    """Trim any white space, not only spaces."""
+    return F.regexp_replace(F.col(text) if isinstance(text, str) else text, r"^\s+|\s+$", "")
+
+
 def exact_phrase(query: Column) -> Column:
     """Text between the quotes of a fully quoted query, else null."""
     inner = F.regexp_extract(F.trim(query), r'(?s)^"(.*)"$', 1)

@@ -314,13 +314,18 @@ def _findings(brand: Brand) -> Column:
     return F.when(F.col("too_large"), F.array(too_large)).otherwise(normal)
 
 
-def _with_links(docs: DataFrame) -> DataFrame:
+def _with_structure(docs: DataFrame) -> DataFrame:
+    """Add ``headings`` and ``_found`` (body links), from the text alone."""
     line, column = source_position(F.col("content"), F.col("body_offset"))
     docs = docs.withColumns({"_blocks": md.without_blocks(F.col("body")), "_line": line, "_column": column})
     docs = docs.withColumns({"headings": md.headings(F.col("_blocks")), "_masked": md.without_code(F.col("_blocks"))})
     docs = docs.withColumn("_defs", md.definitions(F.col("_masked")))
     found = markdown_links(F.col("_masked"), F.col("_defs"), F.col("_line"), F.col("_column"))
-    docs = docs.withColumns({"_found": found, "_fields": metadata_links(F.col("nodes"))})
+    return docs.withColumn("_found", found).drop("_blocks", "_line", "_column", "_masked", "_defs")
+
+
+def _with_links(docs: DataFrame) -> DataFrame:
+    docs = docs.withColumn("_fields", metadata_links(F.col("nodes")))
     none = F.lit(None).cast("int")
     from_body = F.transform("_found", lambda s: F.struct(
         s["target"].alias("target"), F.lit("markdown").alias("origin"), F.lit(None).cast("string").alias("field"),
@@ -338,8 +343,7 @@ def _with_links(docs: DataFrame) -> DataFrame:
         s["r"]["status"].alias("status"), s["k"]["start_line"].alias("start_line"),
         s["k"]["start_column"].alias("start_column"), s["k"]["end_line"].alias("end_line"),
         s["k"]["end_column"].alias("end_column")))
-    return docs.withColumn("links", links).drop(
-        "_blocks", "_line", "_column", "_masked", "_defs", "_found", "_fields", "_raw_links")
+    return docs.withColumn("links", links).drop("_found", "_fields", "_raw_links")
 
 
 def trust_tier(actors: Column, is_bundle_concept: Column) -> Column:
@@ -380,7 +384,9 @@ def inspect(docs: DataFrame, brand: Brand = DEFAULT) -> DataFrame:
         "yaml": F.when(~F.col("too_large"), F.col("yaml")),
         "body": F.when(~F.col("too_large"), F.col("body")).otherwise(""),
     })
-    docs = normalize_metadata(parse_front_matter(docs))
+    # The YAML step is not repeatable for the optimizer, so no filter on its results is
+    # rewritten into copies of the text expressions below it.
+    docs = normalize_metadata(parse_front_matter(_with_structure(docs)))
     docs = _with_links(docs)
     docs = docs.withColumn("findings", _findings(brand))
     return docs.select(
@@ -428,13 +434,13 @@ def format_value(value: Column) -> Column:
 def links_table(inspected: DataFrame) -> DataFrame:
     """One row per link, ``position`` is its order in the document."""
     return inspected.select(
-        "location_id", F.col("relative_path").alias("source_relative_path"), F.posexplode("links").alias("position", "k")
-    ).select("location_id", "source_relative_path", "position", "k.*")
+        "location_id", F.col("relative_path").alias("source_relative_path"), F.posexplode_outer("links").alias("position", "k")
+    ).where("position IS NOT NULL").select("location_id", "source_relative_path", "position", "k.*")
 
 
 def findings_table(inspected: DataFrame) -> DataFrame:
     """One row per finding, with its tier."""
-    rows = inspected.select("location_id", "relative_path", F.explode("findings").alias("f"))
+    rows = inspected.select("location_id", "relative_path", F.explode_outer("findings").alias("f")).where("f IS NOT NULL")
     return rows.select("location_id", "relative_path", "f.*", finding_tier(F.col("f.code")).alias("tier"))
 
 
