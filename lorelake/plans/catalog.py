@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorelake.brand import DEFAULT
+from lorelake import checkpoints
 from lorelake.functions import text as tx
 from lorelake.operators import facets as fc
 from lorelake.operators import filters as fl
@@ -42,12 +42,17 @@ def _inspected(spark: SparkSession, sf: str) -> DataFrame:
     return ins.inspect(ad.bundle_files(spark, sf))
 
 
-def _part_links(spark: SparkSession, sf: str) -> DataFrame:
-    return gr.resolve_links(ins.links_table(_inspected(spark, sf)), ad.bundle_files(spark, sf))
+def _links(inspected: DataFrame) -> DataFrame:
+    return gr.resolve_links(ins.links_table(inspected), inspected.select("location_id", "relative_path"))
 
 
-def _part_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return ins.documents(_inspected(spark, sf)).withColumn("generation", F.lit(1).cast("long"))
+def _docs(inspected: DataFrame) -> DataFrame:
+    return ins.documents(inspected).withColumn("generation", F.lit(1).cast("long"))
+
+
+def _stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The inspected corpus written once, for queries that read it several times."""
+    return checkpoints.cut(_inspected(spark, sf))
 
 
 # -- search ----------------------------------------------------------------
@@ -300,14 +305,14 @@ def split_front_matter(spark, sf):
 
 @query
 def inspected_documents(spark, sf):
-    return _part_docs(spark, sf).where("part_key IS NOT NULL").select(
+    return _docs(_inspected(spark, sf)).where("part_key IS NOT NULL").select(
         "location_id", "relative_path", "kind", "title", "description", "type", _joined("tags"), "headings_text", "metadata_text",
         "status", "trust_tier", "stale_after", "timestamp", "finding_count", "is_conformant")
 
 
 @query
 def inspected_links(spark, sf):
-    return _part_links(spark, sf).select(
+    return _links(_stored(spark, sf)).select(
         "location_id", "source_relative_path", "position", "target", "target_relative_path", "fragment", "origin", "field", "status",
         "start_line", "start_column", "end_line", "end_column")
 
@@ -321,8 +326,8 @@ def document_findings(spark, sf):
 @query
 def bundle_findings(spark, sf):
     """Rule findings plus broken links (bag union), policy order attached as text keys."""
-    inspected = _inspected(spark, sf)
-    broken = gr.broken_links(_part_links(spark, sf))
+    inspected = _stored(spark, sf)
+    broken = gr.broken_links(_links(inspected))
     return ins.findings_table(inspected).unionByName(broken).groupBy("location_id", "code", "severity", "tier").agg(F.count("*").alias("n"))
 
 
@@ -421,7 +426,7 @@ def visible_tags(spark, sf):
 
 @query
 def link_health(spark, sf):
-    return fc.link_health(_part_links(spark, sf))
+    return fc.link_health(_links(_stored(spark, sf)))
 
 
 @query
@@ -506,10 +511,10 @@ def activity_from_outputs(spark, sf):
 
 @query
 def location_overview(spark, sf):
-    docs = _part_docs(spark, sf)
+    stored = _stored(spark, sf)
     daily = rp.activity_daily(ad.activity_events(spark, sf).withColumn("location_id", F.translate("location_id", "u", "b")))
     logs = ad.log_documents(spark, sf).withColumn("location_id", F.translate("location_id", "c", "b"))
-    return rp.overview(docs, _part_links(spark, sf), daily, logs, "2024-01-20")
+    return rp.overview(_docs(stored), _links(stored), daily, logs, "2024-01-20")
 
 
 @query
@@ -555,36 +560,43 @@ def exported_references(spark, sf):
 
 @query
 def related_documents(spark, sf):
-    docs = _part_docs(spark, sf)
-    top, _ = gr.related(_part_links(spark, sf), docs, docs, 3)
+    stored = _stored(spark, sf)
+    docs = _docs(stored)
+    top, _ = gr.related(_links(stored), docs, docs, 3)
     return top.select("location_id", "relative_path", "other", "direction", "reason", "fragment", "rank")
 
 
 @query
 def related_counts(spark, sf):
-    docs = _part_docs(spark, sf)
-    return gr.related(_part_links(spark, sf), docs, docs, 3)[1]
+    stored = _stored(spark, sf)
+    docs = _docs(stored)
+    return gr.related(_links(stored), docs, docs, 3)[1]
 
 
 @query
 def backlinks(spark, sf):
-    docs = _part_docs(spark, sf)
-    return gr.backlinks(_part_links(spark, sf), docs, docs)
+    stored = _stored(spark, sf)
+    docs = _docs(stored)
+    return gr.backlinks(_links(stored), docs, docs)
+
+
+def _edges(stored: DataFrame) -> DataFrame:
+    return gr.concept_edges(_links(stored), gr.concept_projection(stored))
 
 
 @query
 def concept_edges(spark, sf):
-    return gr.concept_edges(_part_links(spark, sf), gr.concept_projection(_inspected(spark, sf)))
+    return _edges(_stored(spark, sf))
 
 
 @query
 def undirected_edges(spark, sf):
-    return gr.undirected_edges(gr.concept_edges(_part_links(spark, sf), gr.concept_projection(_inspected(spark, sf))))
+    return gr.undirected_edges(_edges(_stored(spark, sf)))
 
 
 def _ranked_concepts(spark, sf):
-    nodes = gr.concept_projection(_inspected(spark, sf)).select("location_id", "relative_path")
-    return gr.degrees(gr.concept_edges(_part_links(spark, sf), nodes), nodes)
+    stored = _stored(spark, sf)
+    return gr.degrees(_edges(stored), gr.concept_projection(stored).select("location_id", "relative_path"))
 
 
 @query
@@ -605,7 +617,7 @@ def hidden_concepts(spark, sf):
 @query
 def refreshed_links(spark, sf):
     """After dropping one target in seven every link is resolved again."""
-    links = _part_links(spark, sf)
+    links = _links(_stored(spark, sf))
     left = ad.concept_files(spark, sf).where("part_key % 7 <> 3")
     return gr.refresh_links(links, left).groupBy("location_id", "origin", "status").agg(F.count("*").alias("n"))
 
@@ -880,5 +892,3 @@ def cursor_round_trip(spark, sf):
 def collapsed_text(spark, sf):
     return ad.table(spark, sf, "pages").select("page_id", F.md5(tx.collapse_ws(F.col("html"))).alias("collapsed_hash"))
 
-
-BRAND = DEFAULT
