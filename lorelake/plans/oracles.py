@@ -261,7 +261,7 @@ LEN = """len0 AS (SELECT 'p' || conv_id::VARCHAR AS pack_id, turn AS pos, length
 ANCHORS = f"""txt AS (SELECT doc_id, text AS body, {collapse('text')} AS coll, string_split({collapse('text')}, ' ')[5] AS quote, doc_id % 200 AS approx FROM documents),
 ap AS (SELECT doc_id, unnest(string_split(coll, quote)) AS piece, generate_subscripts(string_split(coll, quote), 1) AS i FROM txt WHERE quote IS NOT NULL),
 aps AS (SELECT doc_id, i, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS before, count(*) OVER (PARTITION BY doc_id) AS pieces FROM ap),
-aoc AS (SELECT txt.*, length(quote) AS n, before + (i - 1) * length(quote) AS p FROM aps JOIN txt USING (doc_id) WHERE i < pieces),
+aoc AS (SELECT txt.*, length(quote) AS n, (before + (i - 1) * length(quote))::BIGINT AS p FROM aps JOIN txt USING (doc_id) WHERE i < pieces),
 made AS (SELECT doc_id, body, coll, quote, n, first(p ORDER BY abs(p - approx), p) AS start FROM aoc GROUP BY ALL)"""
 
 LISTREQ = DOCS + """,
@@ -403,7 +403,7 @@ Update the document itself. Remove comments you addressed from that block and pr
        {collapse("CASE doc_id % 3 WHEN 0 THEN body WHEN 1 THEN 'Preface text. ' || body ELSE 'Preface text. ' || substr(body, 60) END")} AS txt FROM made),
       pc AS (SELECT doc_id, unnest(string_split(txt, quote)) AS piece, generate_subscripts(string_split(txt, quote), 1) AS i FROM mk),
       ps AS (SELECT doc_id, i, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS before, count(*) OVER (PARTITION BY doc_id) AS pieces FROM pc),
-      oc AS (SELECT mk.*, before + (i - 1) * n AS p FROM ps JOIN mk USING (doc_id) WHERE i < pieces),
+      oc AS (SELECT mk.*, (before + (i - 1) * n)::BIGINT AS p FROM ps JOIN mk USING (doc_id) WHERE i < pieces),
       ok AS (SELECT *, prefix = '' OR substr(txt, greatest(p - length(prefix), 0) + 1, p - greatest(p - length(prefix), 0)) = prefix AS b, suffix = '' OR substr(txt, p + n + 1, length(suffix)) = suffix AS a FROM oc),
       ag AS (SELECT doc_id, count(*) AS total, min(p) AS one, count(*) FILTER (a AND b) AS nc, min(p) FILTER (a AND b) AS pc, count(*) FILTER (b) AS nb, min(p) FILTER (b) AS pb, count(*) FILTER (a) AS na, min(p) FILTER (a) AS pa FROM ok GROUP BY 1),
       rl AS (SELECT mk.doc_id, mk.n, CASE WHEN a_start >= 0 AND substr(txt, a_start + 1, n) = quote THEN 'exact' WHEN total = 1 THEN 'unique' WHEN nc = 1 THEN 'context' WHEN prefix <> '' AND nb = 1 THEN 'prefix'
