@@ -17,6 +17,11 @@ TOKEN_PATTERN = r"\p{L}+|\p{N}+"
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also inside lambda functions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold(text: Column) -> Column:
     """Lower-case and drop the common Latin accents."""
     return F.translate(F.lower(text), ACCENTED, PLAIN)
@@ -73,12 +78,15 @@ def has_scheme(target: Column) -> Column:
 def percent_decode(text: Column) -> Column:
     """Decode ``%XX``; malformed escapes and ``+`` stay, bad UTF-8 keeps the input."""
     guarded = F.regexp_replace(text, r"%(?![0-9A-Fa-f]{2})", "%25")
-    decoded = F.try_url_decode(F.replace(guarded, F.lit("+"), F.lit("%2B")))
-    broken = decoded.isNull() | (
-        F.contains(decoded, F.lit("�")) & ~F.contains(text, F.lit("�"))
-        & ~F.contains(F.upper(text), F.lit("%EF%BF%BD"))
-    )
-    return F.when(F.contains(text, F.lit("%")), F.when(broken, text).otherwise(decoded)).otherwise(text)
+
+    def checked(decoded: Column) -> Column:
+        broken = decoded.isNull() | (
+            F.contains(decoded, F.lit("\ufffd")) & ~F.contains(text, F.lit("\ufffd"))
+            & ~F.contains(F.upper(text), F.lit("%EF%BF%BD")))
+        return F.when(broken, text).otherwise(decoded)
+
+    decoded = let(F.try_url_decode(F.replace(guarded, F.lit("+"), F.lit("%2B"))), checked)
+    return F.when(F.contains(text, F.lit("%")), decoded).otherwise(text)
 
 
 def fold_dots(path: Column) -> Column:

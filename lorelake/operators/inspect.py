@@ -189,27 +189,25 @@ def resolve_target(target: Column, relative_path: Column, root_path: Column) ->
     """STRUCT<fragment, target_relative_path, status> by lexical resolution only."""
     path, fragment = tx.split_target(target)
     root = tx.fold_dots(root_path)
-    external = tx.has_scheme(path) | F.startswith(path, F.lit("//"))
-    decoded = tx.percent_decode(path)
-    base = F.concat_ws("/", root, F.when(~F.startswith(decoded, F.lit("/")), tx.parent_dir(relative_path)))
-    full = tx.fold_dots(F.concat(base, F.lit("/"), decoded))
-    prefix = F.concat(F.rtrim(root, F.lit("/")), F.lit("/"))
-    inside = (full == root) | F.startswith(full, prefix)
-    return F.when(
-        path == "",
-        F.struct(fragment.alias("fragment"), relative_path.alias("target_relative_path"),
-                 F.lit("fragment").alias("status")),
-    ).when(
-        external,
-        F.struct(fragment.alias("fragment"), F.lit(None).cast("string").alias("target_relative_path"),
-                 F.lit("external").alias("status")),
-    ).otherwise(
-        F.struct(
-            fragment.alias("fragment"),
-            F.when(inside, F.substring(full, F.length(prefix) + 1, F.length(full))).alias("target_relative_path"),
-            F.when(inside, F.lit("candidate")).otherwise(F.lit("outsideBundle")).alias("status"),
-        )
-    )
+
+    def outcome(status: str, where: Column) -> Column:
+        return F.struct(fragment.alias("fragment"), where.cast("string").alias("target_relative_path"), F.lit(status).alias("status"))
+
+    def place(s: Column) -> Column:
+        prefix = F.concat(F.rtrim(s["root"], F.lit("/")), F.lit("/"))
+        inside = (s["full"] == s["root"]) | F.startswith(s["full"], prefix)
+        return F.when(inside, outcome("candidate", F.substring(s["full"], F.length(prefix) + 1, F.length(s["full"])))).otherwise(
+            outcome("outsideBundle", F.lit(None)))
+
+    def internal(s: Column) -> Column:
+        base = F.concat_ws("/", s["root"], F.when(~F.startswith(s["decoded"], F.lit("/")), tx.parent_dir(relative_path)))
+        full = tx.fold_dots(F.concat(base, F.lit("/"), s["decoded"]))
+        return tx.let(F.struct(s["root"].alias("root"), full.alias("full")), place)
+
+    staged = F.struct(root.alias("root"), tx.percent_decode(path).alias("decoded"))
+    return F.when(path == "", outcome("fragment", relative_path)).when(
+        tx.has_scheme(path) | F.startswith(path, F.lit("//")), outcome("external", F.lit(None))
+    ).otherwise(tx.let(staged, internal))
 
 
 def _finding(code, severity: str, message, line=None, column=None, end_line=None, end_column=None) -> Column:

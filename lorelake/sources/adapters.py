@@ -14,8 +14,21 @@ from lorelake.brand import DEFAULT, Brand
 AS_OF = "2024-01-31"
 
 
+# Tables whose rows carry text that is parsed or tokenized.
+TEXT_TABLES = {"documents", "part", "pages", "conversations"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One driver table.
+
+    A text table stored in fewer splits than there are cores (one small file)
+    is spread over the cores first; a table of many splits is read as it is.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES and rows._jdf.rdd().getNumPartitions() < cores:
+        return rows.repartition(cores)
+    return rows
 
 
 def corpus_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
