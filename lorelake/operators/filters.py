@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorelake.functions import text as tx
+from lorelake.sizes import small
 
 # Directory names never scanned, compared without case.
 IGNORED_DIRECTORIES = [
@@ -222,7 +223,8 @@ def ignored_paths(files: DataFrame, policy: DataFrame) -> DataFrame:
     and the row count never grows with the number of rules.
     """
     path = F.regexp_replace(F.translate("relative_path", "\\", "/"), r"^\./", "")
-    joined = files.join(policy.select("location_id", "rules"), "location_id").withColumn("_path", path)
+    # A policy row holds up to 1,024 rules, so only few of them are broadcast.
+    joined = files.join(small(policy.select("location_id", "rules"), 200), "location_id").withColumn("_path", path)
     last = F.try_element_at(F.filter("rules", lambda r: F.rlike(F.col("_path"), r["regex"])), F.lit(-1))
     return joined.where(F.coalesce(~last["negated"], F.lit(False))).drop("rules", "_path")
 
@@ -232,7 +234,8 @@ def ignored_paths(files: DataFrame, policy: DataFrame) -> DataFrame:
 
 def allowed(requests: DataFrame, allow: DataFrame) -> DataFrame:
     """Requests with an ``error`` code for locations outside the allow list."""
-    marked = requests.join(allow.select("location_id").distinct().withColumn("_ok", F.lit(True)), "location_id", "left")
+    known = allow.select("location_id").distinct().withColumn("_ok", F.lit(True))
+    marked = requests.join(small(known), "location_id", "left")
     return marked.withColumn("error", F.when(F.col("_ok").isNull(), "location_not_allowed")).drop("_ok")
 
 
@@ -272,7 +275,7 @@ def read_documents(requests: DataFrame, docs: DataFrame) -> DataFrame:
 def active(rows: DataFrame, runs: DataFrame) -> DataFrame:
     """Rows of the active generation of each location."""
     current = runs.select("location_id", F.col("active_generation").alias("generation")).where("generation IS NOT NULL")
-    return rows.join(current, ["location_id", "generation"], "left_semi")
+    return rows.join(small(current), ["location_id", "generation"], "left_semi")
 
 
 def active_filter_count(requests: DataFrame) -> Column:

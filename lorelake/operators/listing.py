@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lorelake.functions import text as tx
 from lorelake.operators.facets import severity_rank
+from lorelake.sizes import small
 
 CURSOR_VERSION = 1
 CURSOR = "version int, location_id string, generation bigint, after_relative_path string, request_hash string"
@@ -71,7 +72,9 @@ def list_documents(docs: DataFrame, requests: DataFrame) -> tuple[DataFrame, Dat
     asked = r.where("error IS NULL").select(
         "request_id", "location_id", "generation", "limit", "request_hash", "r_after", "r_role", "r_type", "r_status",
         "r_tags", "r_prefix")
-    rows = docs.join(asked, ["location_id", "generation"]).where(
+    # Listing columns only: bodies never take part in the ranking.
+    rows = docs.drop("body", "search_text", "headings", "frontmatter_json").join(
+        small(asked, 5_000), ["location_id", "generation"]).where(
         (F.col("relative_path") > F.col("r_after"))
         & ((F.col("r_role") == "") | (F.col("kind") == F.col("r_role")))
         & ((F.col("r_type") == "") | (F.col("type") == F.col("r_type")))

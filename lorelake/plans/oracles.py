@@ -175,8 +175,9 @@ relx AS (SELECT rel.*, title, CASE WHEN o AND i THEN 'mutual' WHEN o THEN 'outgo
   FROM rel JOIN (SELECT location_id, relative_path AS other, title FROM alld) USING (location_id, other))"""
 
 LOGS = """logs AS (SELECT 'c' || (o_custkey % 4)::VARCHAR AS location_id,
-  CASE WHEN o_custkey % 5 = 0 THEN 'log' || o_custkey::VARCHAR || '.md' ELSE 'c' || o_custkey::VARCHAR || '/log.md' END AS relative_path,
-  CASE WHEN o_custkey % 5 = 0 THEN 'root' ELSE 'c' || o_custkey::VARCHAR END AS scope, o_custkey, o_orderkey,
+  CASE WHEN o_custkey % 5 = 0 THEN 'log' || o_custkey::VARCHAR || '-' || (o_orderkey // 5000)::VARCHAR || '.md'
+   ELSE 'c' || o_custkey::VARCHAR || '/' || (o_orderkey // 5000)::VARCHAR || '/log.md' END AS relative_path,
+  CASE WHEN o_custkey % 5 = 0 THEN 'root' ELSE 'c' || o_custkey::VARCHAR || '/' || (o_orderkey // 5000)::VARCHAR END AS scope, o_custkey, o_orderkey,
   strftime(o_orderdate, '%Y-%m-%d') AS date, 'order ' || o_orderkey::VARCHAR || ' status ' || o_orderstatus || ' second line' AS summary FROM orders),
 entries AS (SELECT location_id, relative_path, scope, date, summary, o_orderkey + 2 AS ord FROM logs
   UNION ALL SELECT DISTINCT location_id, relative_path, scope, NULL, unnest(['# Log', 'opening note']), unnest([0, 1]) FROM logs)"""

@@ -171,7 +171,7 @@ def snapshot(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
 
 
 def log_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders → one log document per customer with a dated entry per order."""
+    """orders → one log document per customer and 5,000 order keys, a dated entry per order."""
     entry = F.expr(
         "concat('## ', date_format(o_orderdate, 'yyyy-MM-dd'), '\\n\\n* order ', cast(o_orderkey AS string),"
         " ' status ', o_orderstatus, '\\n  second line\\n\\n---\\n')"
@@ -179,12 +179,12 @@ def log_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("o_orderkey", entry.alias("entry"))))
     return (
         table(spark, sf_dir, "orders")
-        .groupBy("o_custkey")
+        .groupBy("o_custkey", F.expr("o_orderkey DIV 5000").alias("part_no"))
         .agg(F.array_join(F.transform(ordered, lambda s: s["entry"]), "").alias("entries"))
         .selectExpr(
             "concat('c', cast(o_custkey % 4 AS string)) AS location_id",
-            "CASE WHEN o_custkey % 5 = 0 THEN concat('log', cast(o_custkey AS string), '.md')"
-            " ELSE concat('c', cast(o_custkey AS string), '/log.md') END AS relative_path",
+            "CASE WHEN o_custkey % 5 = 0 THEN concat('log', cast(o_custkey AS string), '-', cast(part_no AS string), '.md')"
+            " ELSE concat('c', cast(o_custkey AS string), '/', cast(part_no AS string), '/log.md') END AS relative_path",
             "concat('# Log\\n\\nopening note\\n\\n', entries) AS body",
         )
     )
