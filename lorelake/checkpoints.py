@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,3 +19,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the checkpoint folder and continue from there."""
     ready(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder name inside the shared checkpoint folder."""
+    ready(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"

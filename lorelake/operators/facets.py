@@ -156,3 +156,9 @@ def location_signature(files: DataFrame) -> DataFrame:
 def changed_locations(before: DataFrame, after: DataFrame, force: bool = False) -> DataFrame:
     """Locations whose signature differs, or all when forced."""
     return after if force else after.join(before, ["location_id", "signature"], "left_anti")
+
+
+def merge_findings(first: DataFrame, second: DataFrame) -> DataFrame:
+    """All of ``first`` plus those of ``second`` whose code and message ``first`` lacks."""
+    keys = ["location_id", "code", "message"]
+    return first.unionByName(second.join(first.select(*keys).distinct(), keys, "left_anti"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorelake import checkpoints
+from lorelake.brand import DEFAULT
 from lorelake.functions import text as tx
 from lorelake.operators import facets as fc
 from lorelake.operators import filters as fl
@@ -24,6 +25,8 @@ from lorelake.operators import report as rp
 from lorelake.operators import review as rv
 from lorelake.operators import search as se
 from lorelake.sources import adapters as ad
+from lorelake.sources import tables as tb
+from lorelake.streaming import streams as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 AS_OF = ad.AS_OF
@@ -892,3 +895,71 @@ def cursor_round_trip(spark, sf):
 def collapsed_text(spark, sf):
     return ad.table(spark, sf, "pages").select("page_id", F.md5(tx.collapse_ws(F.col("html"))).alias("collapsed_hash"))
 
+
+
+# -- findings, generations -------------------------------------------------
+
+
+@query
+def merged_findings(spark, sf):
+    """Two overlapping finding sets; the first one wins on equal code and message."""
+    findings = ad.findings_in(spark, sf)
+    return fc.merge_findings(
+        findings.where("severity <> 'info'"), findings.withColumn("severity", F.lit("late"))).select("location_id", "code", "message", "severity")
+
+
+@query
+def dropped_generations(spark, sf):
+    docs = ad.snapshot(spark, sf, "after").withColumn("generation", F.col("size") % 3)
+    runs = docs.select("location_id").distinct().select("location_id", F.substring("location_id", 2, 1).cast("long").alias("active_generation"))
+    return tb.drop_generations(docs, runs).select("location_id", "relative_path", "generation")
+
+
+# -- streams ---------------------------------------------------------------
+
+
+def _event_stream(spark, sf):
+    """The events table as a file stream."""
+    schema = ad.table(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+def _streamed(frame: DataFrame, mode: str) -> DataFrame:
+    """Run a stream over what is available and read back what it wrote."""
+    spark = frame.sparkSession
+    base = checkpoints.folder(spark)
+    writer = frame.writeStream.outputMode(mode).foreachBatch(st.versioned_sink(f"{base}/rows", []))
+    st.await_all(writer.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
+    return spark.read.parquet(f"{base}/rows")
+
+
+@query
+def streamed_activity(spark, sf):
+    """Daily counters from the event stream, newest version of every row."""
+    base = checkpoints.folder(spark)
+    st.await_all(st.run_activity(ad.as_activity(_event_stream(spark, sf)), f"{base}/daily", f"{base}/state"))
+    daily = st.read_versions(spark, f"{base}/daily", ["location_id", "day", "relative_path"])
+    return daily.withColumns({c: tx.rfc3339(F.col(c)) for c in ("last_changed_at", "last_served_at")})
+
+
+@query
+def streamed_bursts(spark, sf):
+    """Quiet-period sessions of ten minutes per location; a session still open at the end is not published."""
+    changes = ad.as_activity(_event_stream(spark, sf)).select(
+        "location_id", F.when(F.col("kind") == "removed", f"kb/{DEFAULT.ignore_file}").otherwise("kb/a.md").alias("path"), "at")
+    return _streamed(st.coalesce_changes(st.with_bounds(changes, "0 seconds"), "10 minutes"), "append").select(
+        "location_id", tx.rfc3339(F.col("started_at")).alias("started_at"), "changes", "force")
+
+
+@query
+def streamed_throttle(spark, sf):
+    """Run requests at least one hour apart per location."""
+    requests = ad.as_activity(_event_stream(spark, sf)).select("location_id", F.unix_millis("at").alias("at_ms"))
+    return _streamed(st.throttle_runs(requests, 3_600_000), "append").where("applied").select("location_id", "at_ms")
+
+
+@query
+def streamed_history(spark, sf):
+    base = checkpoints.folder(spark)
+    st.await_all(st.run_history(ad.as_history(_event_stream(spark, sf)), f"{base}/latest", f"{base}/state"))
+    return st.read_history(spark, f"{base}/latest").select("event_id", "location_id", "path", "kind", "observed_at")

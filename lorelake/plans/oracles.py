@@ -563,3 +563,16 @@ After making changes, run the OKF linter again and report the remaining findings
       relative_path AS after FROM docs""",
     "collapsed_text": f"SELECT page_id, md5({collapse('html')}) AS collapsed_hash FROM pages",
 }
+
+ORACLES["streamed_activity"] = ORACLES["activity_daily"]
+ORACLES["streamed_history"] = ORACLES["deduped_history"]
+ORACLES["streamed_bursts"] = f"""WITH {ACT}, o AS (SELECT location_id, kind, happened, lag(happened) OVER (PARTITION BY location_id ORDER BY happened) AS previous FROM act),
+  g AS (SELECT *, sum(CASE WHEN previous IS NULL OR happened - previous >= INTERVAL 10 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY location_id ORDER BY happened) AS burst FROM o)
+  SELECT location_id, strftime(min(happened), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS started_at, count(*) AS changes, bool_or(kind = 'removed') AS force FROM g
+  GROUP BY location_id, burst HAVING max(happened) + INTERVAL 10 MINUTE <= (SELECT date_trunc('millisecond', max(happened)) FROM act)"""
+ORACLES["streamed_throttle"] = f"""WITH RECURSIVE {ACT}, req AS (SELECT DISTINCT location_id, epoch_us(happened) // 1000 AS at_ms FROM act),
+  fired AS (SELECT location_id, min(at_ms) AS at_ms FROM req GROUP BY 1
+    UNION ALL SELECT f.location_id, min(r.at_ms) FROM fired f JOIN req r ON r.location_id = f.location_id AND r.at_ms >= f.at_ms + 3600000 GROUP BY f.location_id)
+  SELECT location_id, at_ms FROM fired"""
+ORACLES["merged_findings"] = f"""WITH {FIN} SELECT location_id, code, message, CASE WHEN severity = 'info' THEN 'late' ELSE severity END AS severity FROM fin"""
+ORACLES["dropped_generations"] = f"""WITH {SNAP} SELECT location_id, relative_path, size % 3 AS generation FROM aft WHERE size % 3 = substr(location_id, 2)::BIGINT"""

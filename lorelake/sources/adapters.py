@@ -115,7 +115,12 @@ def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def activity_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(
+    return as_activity(table(spark, sf_dir, "events"))
+
+
+def as_activity(events: DataFrame) -> DataFrame:
+    """Event rows, batch or stream, as document activity."""
+    return events.selectExpr(
         "concat('u', cast(user_id % 8 AS string)) AS location_id",
         "concat('doc-', cast(user_id AS string), '.md') AS relative_path",
         """CASE event_type WHEN 'view' THEN 'served' WHEN 'click' THEN 'context' WHEN 'purchase' THEN 'changed'
@@ -125,7 +130,12 @@ def activity_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(
+    return as_history(table(spark, sf_dir, "events"))
+
+
+def as_history(events: DataFrame) -> DataFrame:
+    """Event rows, batch or stream, as change history with rename chains."""
+    return events.selectExpr(
         "event_id",
         "concat('u', cast(user_id % 8 AS string)) AS location_id",
         "concat('doc-', cast(user_id AS string), '.md') AS path",
