@@ -267,7 +267,8 @@ def validate_requests(requests: DataFrame) -> DataFrame:
 def read_documents(requests: DataFrame, docs: DataFrame) -> DataFrame:
     """Point reads by (location, normalized path); a miss is a ``document_not_found`` row."""
     keyed = requests.withColumn("relative_path", tx.norm_path(F.col("relative_path")))
-    found = docs.withColumn("_found", F.lit(True))
+    wanted = keyed.select("location_id", "relative_path").distinct()
+    found = docs.join(small(wanted), ["location_id", "relative_path"], "left_semi").withColumn("_found", F.lit(True))
     joined = keyed.join(found, ["location_id", "relative_path"], "left")
     return joined.withColumn("error", F.when(F.col("_found").isNull(), "document_not_found")).drop("_found")
 

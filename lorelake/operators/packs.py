@@ -12,8 +12,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorelake import checkpoints
 from lorelake.brand import DEFAULT, Brand
 from lorelake.functions import text as tx
+from lorelake.sizes import small
 
 # Excerpt sizes, note text and limits.
 MIN_EXCERPT = 160
@@ -68,7 +70,8 @@ def pack_select(packs: DataFrame, selection: DataFrame, docs: DataFrame, locatio
         F.min(F.struct("pos", "reason")).alias("f"))
     refs = first.select("*", "f.pos", "f.reason").drop("f")
     body = tx.strip("body")
-    found = docs.select("location_id", "relative_path", "title", F.col("kind").alias("role"), "generation",
+    wanted = refs.select("location_id", "relative_path").distinct()
+    found = docs.join(small(wanted), ["location_id", "relative_path"], "left_semi").select("location_id", "relative_path", "title", F.col("kind").alias("role"), "generation",
                         F.length(body).alias("body_length"), F.lit(True).alias("_found"))
     joined = refs.join(found, ["location_id", "relative_path"], "left")
     if locations is not None:
@@ -206,11 +209,13 @@ def build_packs(packs: DataFrame, selection: DataFrame, docs: DataFrame, locatio
                 brand: Brand = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(items, omissions, packs) of every valid pack request."""
     valid, _ = valid_packs(packs, selection)
-    cut = budget_cut(pack_select(valid, selection, docs, locations), brand)
+    cut = checkpoints.cut(budget_cut(pack_select(valid, selection, docs, locations), brand))
     shares = allocate(cut)
     body = tx.strip("body")
-    texts = docs.select("location_id", "relative_path", body.alias("_body"))
     included = cut.where("omission IS NULL").withColumn("pos", F.col("pos").cast("long"))
+    wanted = included.select("location_id", "relative_path").distinct()
+    texts = docs.join(small(wanted), ["location_id", "relative_path"], "left_semi").select(
+        "location_id", "relative_path", body.alias("_body"))
     prefix = document_prefix(F.col("title"), F.col("location_id"), F.col("relative_path"), F.col("role"), F.col("reason"))
     truncated = F.col("allocated") < F.col("body_length")
     items = included.join(shares, ["pack_id", "pos"]).join(texts, ["location_id", "relative_path"]).select(

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """Broadcast a side that a bounded count proves small; otherwise leave the join to Catalyst and AQE.
+    """Broadcast a side that a count proves small; otherwise leave the join to Catalyst and AQE.
 
     Used for request-shaped sides (queries, vocabularies, runs, policies), whose
     rows are at most a few hundred bytes unless ``max_rows`` says otherwise.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
