@@ -26,7 +26,7 @@ MARK = "▁"  # stands for a space in pieces
 NORMAL, UNKNOWN, BYTE, USER_DEFINED = 1, 2, 6, 4  # piece types of the file format
 UNIGRAM, BPE = 1, 2  # model types of the file format
 UNKNOWN_PENALTY = 10.0  # an unknown character scores this much less than the worst piece
-MAX_CACHED = 1_000_000  # words kept by one worker process
+MAX_CACHED = 700_000  # words kept by one worker process
 RESET = -2  # state at a border that no piece can cross
 FALLBACK = -1  # a character without a piece, written as bytes
 
@@ -187,6 +187,54 @@ class Pieces:
             keep(word, last, count)
             before = word
 
+    def both_counts(self, words: list[str]) -> dict[str, tuple[int, int]]:
+        """(merge count, unigram count) of sorted distinct words, in one walk of their trie.
+
+        Both passes look at the same pieces that end at a position, so these are looked up once.
+        """
+        ids, lengths, score, allowed, fits, worst = self.ids, self.lengths, self.score, self.allowed, self.fits, self.worst
+        nothing = -math.inf
+        last, count, uni, best = [RESET], [0], [0], [0.0]
+        found: dict[str, tuple[int, int]] = {}
+        before = ""
+        for word in words:
+            shared = 0
+            for a, b in zip(before, word, strict=False):
+                if a != b:
+                    break
+                shared += 1
+            del last[shared + 1 :], count[shared + 1 :], uni[shared + 1 :], best[shared + 1 :]
+            for i in range(shared + 1, len(word) + 1):
+                state, n, m, top, one = None, 0, 0, nothing, False
+                for k in lengths.get(word[i - 2 : i] if i > 1 else word[0]) or lengths.get(word[i - 1]) or ():
+                    if k <= i:
+                        t = ids.get(word[i - k : i])
+                        if t is not None:
+                            at = i - k
+                            if (x := best[at] + score[t]) > top:
+                                top, m = x, uni[at] + 1
+                            if k == 1:
+                                one = True
+                            if state is None and (left := last[at]) is not None:
+                                ok = allowed.get(left << 32 | t) if left >= 0 else None
+                                if ok is None:
+                                    ok = fits(left, t)
+                                if ok:
+                                    state, n = t, count[at] + 1
+                if not one:
+                    width = len(word[i - 1].encode()) if self.byte_ids else 1
+                    if (x := best[i - 1] + worst) > top:
+                        top, m = x, uni[i - 1] + width
+                    if state is None and last[i - 1] is not None:
+                        state, n = FALLBACK, count[i - 1] + width
+                last.append(state)
+                count.append(n)
+                uni.append(m)
+                best.append(top)
+            found[word] = count[-1], uni[-1]
+            before = word
+        return found
+
     def back(self, s: str, last: list, end: int, start: int = 0) -> list[int]:
         """Ids of the path that ends at ``end``, from the states of a forward pass."""
         out: list[int] = []

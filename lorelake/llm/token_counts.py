@@ -29,18 +29,13 @@ HALF = 1 << 32
 
 def counts_of(data: bytes, texts: list[str]) -> list[tuple[int, int]]:
     """(tokens, unigram pieces) of each text."""
-    own, uni = pieces.load(data), pieces.load(data, "unigram")
-    if not own.bpe:
-        return [(n, n) for n in own.count_all(texts)]
-    split = [own.units(own.marked(t)) for t in texts]
-
-    def both(words: list[str]) -> dict[str, int]:
-        total = own.terminals(words, lambda w, last, count: count[-1])
-        for w, n in uni.terminals(words, lambda w, last, count: count[-1]).items():
-            total[w] += HALF * n
-        return total
-
-    get = own.learn(set().union(*split), "both", both).__getitem__
+    p = pieces.load(data)
+    if not p.bpe:
+        return [(n, n) for n in p.count_all(texts)]
+    split = [p.units(p.marked(t)) for t in texts]
+    # Both counts in one number, so that one sum over a text's words gives both.
+    work = lambda words: {w: n + HALF * m for w, (n, m) in p.both_counts(words).items()}
+    get = p.learn(set().union(*split), "both", work).__getitem__
     return [(s % HALF, s // HALF) for s in (sum(map(get, words)) for words in split)]
 
 
