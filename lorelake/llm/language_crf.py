@@ -30,6 +30,7 @@ from lorelake.llm.common import adding, fresh
 
 PER_LANGUAGE, WINDOWS, WINDOW_WORDS = 300, 4, 24
 LEXICON, BITS = 2000, 18
+SLICES = 16
 MAX_CACHED = 300_000
 UNKNOWN = "und"
 words_of = re.compile(r"[^\W\d_]+").findall
@@ -145,7 +146,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     narrow = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")).filter("id is not null and lang is not null").filter(~held_out(F.col("id")))
     order = F.xxhash64(F.lit("lang"), "id")
-    ids = narrow.select("id", "lang").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(order, "id"))).filter(F.col("n") <= per_language)
+    # First inside slices of a language, so that no task meets candidates from all others.
+    ids = narrow.select("id", "lang").withColumn("slice", F.pmod(order, F.lit(SLICES)))
+    for group in (["lang", "slice"], ["lang"]):
+        ids = ids.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy(order, "id"))).filter(F.col("n") <= per_language)
     rows = narrow.filter("text is not null").join(F.broadcast(ids.select("id", "lang").distinct()), ["id", "lang"]).select("lang", "id", "text").toPandas()
     rows = rows.drop_duplicates().sort_values(["lang", "id", "text"])
     return train({lang: part["text"].tolist() for lang, part in rows.groupby("lang")})

@@ -76,7 +76,7 @@ def scan(docs: DataFrame, text_col: str = "text", extra: dict | None = None) ->
 
     names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "places")
     kept = adding(docs, *names)
-    (words,) = fresh(kept, "words")
+    words, looked, spotted, hit, found, at = fresh(kept, "words", "looked", "spots", "hits", "found", "at")
     split = kept.withColumn(words, words_of(docs[text_col]))
     listed = templates(extra)
     vocabulary = sorted({w for _, ws, _, _ in listed for w in ws})
@@ -89,8 +89,8 @@ def scan(docs: DataFrame, text_col: str = "text", extra: dict | None = None) ->
     for t, (_, ws, phrases, _) in enumerate(listed):
         anchors = set()
         for phrase in phrases:
-            at = find(ws, phrase)
-            anchors.add(min(range(at, at + len(phrase)), key=lambda i: (-idf[ws[i]], i)))
+            first = find(ws, phrase)
+            anchors.add(min(range(first, first + len(phrase)), key=lambda i: (-idf[ws[i]], i)))
         rare = sorted(range(len(ws)), key=lambda i: (-idf[ws[i]], i))[:RARE_WORDS]
         chosen = sorted(anchors | set(rare))
         weight_of.append(sum(idf[ws[i]] for i in chosen))
@@ -107,19 +107,19 @@ def scan(docs: DataFrame, text_col: str = "text", extra: dict | None = None) ->
         _, ws, phrases, _ = listed[t]
         conditions = F.lit(True)
         for phrase in phrases:
-            at = start + find(ws, phrase)
+            first = start + find(ws, phrase)
             # get() gives null outside the array, so a phrase cut off by the file's edge fails.
             for k, w in enumerate(phrase):
-                conditions = conditions & F.coalesce(F.get(F.col(words), at + k) == w, F.lit(False))
+                conditions = conditions & F.coalesce(F.get(F.col(words), first + k) == w, F.lit(False))
         return conditions
 
     # Words of the file that are looked up: all anchors, and the highest-IDF ones of the rest.
     has = F.array_intersect(text_list(by_idf), F.col(words))
     lookup = F.array_union(F.slice(has, 1, LOOKUPS), F.array_intersect(has, text_list(anchors_only)))
     some = F.arrays_overlap(F.col(words), text_list(entries))
-    spots = F.filter(F.transform(F.col(words), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(F.col("looked"), x["w"]))
-    hits = F.flatten(F.transform(F.col("spots"), lambda x: F.transform(F.element_at(postings, x["w"]), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["at"]).alias("start")))))
-    kept_starts = F.filter(F.array_distinct(F.col("hits")), lambda h: F.coalesce(choose(h["t"], [verified(h["start"], t) for t in range(len(listed))]), F.lit(False)))
+    spots = F.filter(F.transform(F.col(words), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(F.col(looked), x["w"]))
+    hits = F.flatten(F.transform(F.col(spotted), lambda x: F.transform(F.element_at(postings, x["w"]), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["at"]).alias("start")))))
+    kept_starts = F.filter(F.array_distinct(F.col(hit)), lambda h: F.coalesce(choose(h["t"], [verified(h["start"], t) for t in range(len(listed))]), F.lit(False)))
 
     def share(h: Column) -> Column:
         """IDF share of the template's index words that stand at their place."""
@@ -136,23 +136,23 @@ def scan(docs: DataFrame, text_col: str = "text", extra: dict | None = None) ->
     label = F.array(*[F.lit(x[0]) for x in listed])
     is_base = F.array(*[F.lit(x[3]) for x in listed])
     empty = "array<struct<t:int,start:int>>"
-    base = split.select(*kept.columns, words, F.when(some, lookup).alias("looked"))
-    base = base.select(*kept.columns, words, F.when(F.col("looked").isNotNull(), spots).alias("spots"))
-    base = base.select(*kept.columns, words, F.when(F.col("spots").isNotNull(), hits).alias("hits"))
-    base = base.select(*kept.columns, words, F.coalesce(F.when(F.col("hits").isNotNull(), kept_starts).cast(empty), F.array().cast(empty)).alias("found"))
+    base = split.select(*kept.columns, words, F.when(some, lookup).alias(looked))
+    base = base.select(*kept.columns, words, F.when(F.col(looked).isNotNull(), spots).alias(spotted))
+    base = base.select(*kept.columns, words, F.when(F.col(spotted).isNotNull(), hits).alias(hit))
+    base = base.select(*kept.columns, words, F.coalesce(F.when(F.col(hit).isNotNull(), kept_starts).cast(empty), F.array().cast(empty)).alias(found))
     base = base.select(
         *kept.columns, F.size(words).cast("long").alias("n_words"),
-        F.when(F.size("found") > 0, F.transform("found", lambda h: F.struct(F.get(label, h["t"]).alias("label"), h["start"].alias("start"), share(h).alias("score"), F.get(is_base, h["t"]).alias("base")))).alias("at"),
+        F.when(F.size(found) > 0, F.transform(found, lambda h: F.struct(F.get(label, h["t"]).alias("label"), h["start"].alias("start"), share(h).alias("score"), F.get(is_base, h["t"]).alias("base")))).alias(at),
     )
-    own = F.coalesce(F.filter("at", lambda p: p["base"]), F.array().cast("array<struct<label:string,start:int,score:double,base:boolean>>"))
+    own = F.coalesce(F.filter(at, lambda p: p["base"]), F.array().cast("array<struct<label:string,start:int,score:double,base:boolean>>"))
     joined = lambda places: F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
     starts = F.transform(own, lambda p: p["start"])
     return base.select(
         *kept.columns, "n_words", F.size(own).cast("long").alias("n_base"),
         F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
-        F.coalesce(joined(own), F.lit("")).alias("base_labels"), F.coalesce(joined(F.col("at")), F.lit("")).alias("labels"),
-        F.least(F.coalesce(F.array_max(F.transform("at", lambda p: p["score"])), F.lit(0.0)), F.lit(1.0)).alias("score"),
-        F.transform("at", lambda p: F.struct(p["label"], p["start"], p["score"])).alias("places"),
+        F.coalesce(joined(own), F.lit("")).alias("base_labels"), F.coalesce(joined(F.col(at)), F.lit("")).alias("labels"),
+        F.least(F.coalesce(F.array_max(F.transform(at, lambda p: p["score"])), F.lit(0.0)), F.lit(1.0)).alias("score"),
+        F.transform(at, lambda p: F.struct(p["label"], p["start"], p["score"])).alias("places"),
     )
 
 

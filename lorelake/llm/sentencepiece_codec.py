@@ -6,7 +6,8 @@ chunks. For each chunk a max-plus transfer matrix says which state at its left e
 edge, at what weight. The matrices are combined per text, which is associative;
 that fixes both states of every chunk, and each chunk is then traced back alone.
 For a unigram file weights are score sums; for a merge (BPE) file they are 0 or
-minus infinity (see pieces.py). Ids are those of the tokenizer that the file holds.
+minus infinity (see pieces.py). Ids are those of the tokenizer that the file holds; of
+unigram paths with equal scores, texts in chunks may take another one than whole texts.
 
 Null text: null ids. Empty text: no ids. Rows are kept as they are, repeated ones
 too; input columns named like added ones are replaced. U+2581 decodes as a space,
@@ -106,14 +107,14 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", chunk_chars
     giant = F.coalesce(F.length(text_col), F.lit(0)) > chunk_chars
     small = kept.filter(~giant).select("*", F.lit(0).alias("chunk_no"), F.lit(1).alias("n_chunks"), whole.asNondeterministic()(F.col(text_col)).alias("ids"))
 
-    (key,) = fresh(kept, "giant_key")
+    key, part = fresh(kept, "giant_key", "encoded_part")
     long = stash(kept.filter(giant).withColumn(key, F.monotonically_increasing_id()))
     parts = stash(long.select(key, text_col).mapInArrow(splitter(data, chunk_chars), PART))
     states = parts.select("key", "chunk_no", "n_left", "n_right", "matrix").groupBy("key").applyInPandas(scan, "key bigint, chunk_no int, entry int, leave int")
     done = parts.drop("matrix", "n_left", "n_right").join(states, ["key", "chunk_no"])
     done = done.select("key", "chunk_no", "n_chunks", one.asNondeterministic()(*[F.col(c) for c in ("stretch", "p0", "p1", "origin", "entry", "leave")]).alias("done"))
-    rest = long.drop(text_col).join(done.select(F.col("key").alias(key), "chunk_no", "n_chunks", "done"), key)
-    large = rest.select(*[F.col("done.piece_text").alias(c) if c == text_col else F.col(c) for c in kept.columns], "chunk_no", "n_chunks", "done.ids")
+    rest = long.drop(text_col).join(done.select(F.col("key").alias(key), "chunk_no", "n_chunks", F.col("done").alias(part)), key)
+    large = rest.select(*[F.col(f"{part}.piece_text").alias(c) if c == text_col else F.col(c) for c in kept.columns], "chunk_no", "n_chunks", f"{part}.ids")
     return small.unionByName(large)
 
 
@@ -126,8 +127,8 @@ def decode(encoded: DataFrame, model_path: str, out: str = "decoded") -> DataFra
     def text(ids: pa.Array, chunk_no: pa.Array) -> pa.Array:
         p = pieces.load(data.value)
         texts = []
-        values, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum([len(x) if x is not None else 0 for x in ids])
-        starts = np.concatenate([[0], ends[:-1]])
+        values, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
         for valid, a, b, no in zip(ids.is_valid().to_pylist(), starts, ends, chunk_no.to_pylist(), strict=True):
             raw = p.decode(values[a:b]).decode("utf-8", "replace") if valid else None
             texts.append(raw[1:] if raw and no == 0 and p.dummy_prefix else raw)

@@ -95,7 +95,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     """Add ``law``, ``shard`` (int, from 0), ``slot`` (long, gapless from 0 in its shard) and ``grown_shard`` (null) to all rows."""
     spark = docs.sparkSession
     kept = adding(docs, "law", "shard", "slot", "grown_shard")
-    key, again, place, line, rank, upto = fresh(kept, "key", "again", "place", "line", "rank", "upto")
+    key, again, place, line, rank, upto, before, ends = fresh(kept, "key", "again", "place", "line", "rank", "upto", "before", "ends")
     first = F.xxhash64(F.lit(seed), F.col(id_col), text_key(F.col(text_col)))
     held = kept.withColumn(key, first).withColumn(again, F.xxhash64(F.col(key), F.lit("again")))
     held = stash(held.sortWithinPartitions(key).withColumn(place, F.monotonically_increasing_id()))
@@ -108,28 +108,29 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     drawn = matrix([r["n"] for r in table], shards, seed)
     rows = []
     for r, counted in zip(table, drawn, strict=True):
-        ends, total = [], 0
+        upper, total = [], 0
         for n in counted:
             total += n
-            ends.append(total)
-        before = 0
+            upper.append(total)
+        at = 0
         for p in r["parts"]:  # partitions of one line follow each other on it
-            rows.append((p["part"], before, ends))
-            before += p["n"]
-    lines = sizes.small(spark.createDataFrame(rows, "part bigint, before bigint, ends array<bigint>"))
+            rows.append((p["part"], at, upper))
+            at += p["n"]
+    lines = sizes.small(spark.createDataFrame(rows, f"`{line}` bigint, `{before}` bigint, `{ends}` array<bigint>"))
     blocks = max(1, -(-sum(r["bytes"] for r in table) // (shards * block_bytes)))
 
-    dealt = held.join(lines.withColumnRenamed("part", line), part == F.col(line))
-    at = F.col("before") + F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = held.join(lines, part == F.col(line))
+    at = F.col(before) + F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
     # The shard whose stretch of the line holds the place: the number of shards that end at or before it.
-    dealt = dealt.withColumn(rank, at).withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col(rank)))).drop("before", "ends", line)
+    dealt = dealt.withColumn(rank, at).withColumn("shard", F.size(F.filter(ends, lambda e: e <= F.col(rank)))).drop(before, ends, line)
     dealt = dealt.withColumn(upto, F.pmod(F.col(again), F.lit(blocks)))
     window = Window.partitionBy("shard", upto)
     # Offsets of the blocks: a narrow pass over keys and counts.
     sizes_of = dealt.groupBy("shard", upto).agg(F.count("*").alias("n"))
-    offsets = sizes_of.select(F.col("shard").alias(line), F.col(upto).alias("of_block"), F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy(upto).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ahead = Window.partitionBy("shard").orderBy(upto).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes_of.select(F.col("shard").alias(line), F.col(upto).alias(rank), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias(before))
     numbered = dealt.withColumn("slot", F.row_number().over(window.orderBy(again, key, id_col)) - 1)
-    joined = numbered.join(sizes.small(stash(offsets)), (F.col("shard") == F.col(line)) & (F.col(upto) == F.col("of_block")))
+    joined = numbered.drop(rank).join(sizes.small(stash(offsets)), (F.col("shard") == F.col(line)) & (F.col(upto) == F.col(rank)))
     return joined.select(
-        *[F.col(c) for c in kept.columns], F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("slot") + F.col("before")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+        *[F.col(c) for c in kept.columns], F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("slot") + F.col(before)).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
