@@ -225,10 +225,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """The rows of ``docs`` with one row left of each near-duplicate group; all texts without words count as one group."""
-    marks = near_duplicates(docs, id_col, text_col, **limits)
-    key, drop_id, drop_key, number = fresh(docs, "row_key", "drop_id", "drop_key", "row_no")
-    dropped = marks.filter(~F.col("kept")).select(F.col(id_col).alias(drop_id), F.col("row_key").alias(drop_key)).distinct()
+    marks = stash(near_duplicates(docs, id_col, text_col, **limits))
+    key, of_id, of_key = fresh(docs, "row_key", "of_id", "of_key")
+    pair = marks.select(F.col(id_col).alias(of_id), F.col("row_key").alias(of_key), "kept")
     keyed = docs.withColumn(key, text_key(F.col(text_col)))
-    left = keyed.join(sizes.small(stash(dropped)), keyed[id_col].eqNullSafe(F.col(drop_id)) & (F.col(key) == F.col(drop_key)), "left_anti")
-    # Rows that repeat both id and text are one row.
-    return left.dropDuplicates([id_col, key]).select(*docs.columns)
+    same = F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(key) == F.col(of_key))
+    left = keyed.join(sizes.small(stash(pair.filter(~F.col("kept")).distinct())), same, "left_anti")
+    # Rows that repeat both id and text are one row; only such rows are shuffled for it.
+    repeats = sizes.small(stash(pair.groupBy(of_id, of_key).count().filter("count > 1")))
+    single = left.join(repeats, same, "left_anti")
+    merged = left.join(repeats, same, "left_semi").dropDuplicates([id_col, key])
+    return single.unionByName(merged).select(*docs.columns)

@@ -36,7 +36,8 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases of every document."""
-    return license_scan.scan(documents(spark, sf_dir)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    found = license_scan.scan(documents(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +91,42 @@ QUERIES = {
     for f in (op1_shards, op2_token_counts, op3_licenses, op4_quality_rules, op5_sentencepiece, op6_mix, op7_exact_dedup, op8_ngram_join, op9_quality, op10_language)
 } | {"pipeline": corpus_pipeline.run}
 
+def license_sql() -> str:
+    """The license scan in SQL: phrases by counting matching words at each start, IDF shares by joins."""
+    listed = license_scan.templates()
+    quoted = lambda x: "'" + x + "'"
+    rows, key_rows = [], []
+    for t, (label, words, phrases, base) in enumerate(listed):
+        rows += [f"({t}, {quoted(label)}, {str(base).lower()}, {i}, {quoted(w)})" for i, w in enumerate(words)]
+        for n, phrase in enumerate(phrases):
+            at = license_scan.find(words, phrase)
+            key_rows += [f"({t}, {n}, {i})" for i in range(at, at + len(phrase))]
+    return rf"""
+WITH tw(t, label, base, i, w) AS (VALUES {", ".join(rows)}),
+kp(t, p, i) AS (VALUES {", ".join(key_rows)}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+u AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d WHERE len(ws) > 0),
+dw AS (SELECT * FROM u WHERE w IN (SELECT w FROM tw)),
+df AS (SELECT w, count(DISTINCT doc_id) AS n FROM dw GROUP BY 1),
+idf AS (SELECT w, ln(((SELECT count(*) FROM documents) + 1) / (coalesce(n, 0) + 1)) + 1e-9 AS x FROM (SELECT DISTINCT w FROM tw) LEFT JOIN df USING (w)),
+ranked AS (SELECT t, i, w, x, row_number() OVER (PARTITION BY t ORDER BY x DESC, i) AS r FROM tw JOIN idf USING (w)),
+anchors AS (SELECT t, i FROM (SELECT t, p, i, row_number() OVER (PARTITION BY t, p ORDER BY x DESC, i) AS r FROM kp JOIN ranked USING (t, i)) WHERE r = 1),
+ix AS (SELECT t, i, w, x FROM ranked WHERE r <= {license_scan.RARE_WORDS} OR (t, i) IN (SELECT (t, i) FROM anchors)),
+ks AS (SELECT DISTINCT t, i, w FROM kp JOIN tw USING (t, i)),
+st AS (SELECT doc_id, t, dw.i - ks.i AS start FROM dw JOIN ks USING (w) GROUP BY 1, 2, 3 HAVING count(*) = (SELECT count(*) FROM ks k WHERE k.t = ks.t)),
+tot AS (SELECT t, sum(x) AS total FROM ix GROUP BY 1),
+hit AS (SELECT st.doc_id, st.t, st.start, sum(ix.x) AS placed FROM st JOIN ix ON ix.t = st.t JOIN dw ON dw.doc_id = st.doc_id AND dw.i = st.start + ix.i AND dw.w = ix.w GROUP BY 1, 2, 3),
+al AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(placed / total) AS score
+  FROM hit JOIN tot USING (t) JOIN (SELECT DISTINCT t, label, base FROM tw) USING (t) GROUP BY 1)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, round(least(coalesce(score, 0), 1), 6) AS score
+FROM d LEFT JOIN al USING (doc_id)"""
+
+
 ORACLES = {
+    "op3_licenses": license_sql(),
     "op7_exact_dedup": r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
