@@ -33,6 +33,7 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_SHARE = 20, 30, 0.5
 PER_CLASS, SEQUENCE_LINES = 1500, 24
 CONTENT, BOILERPLATE = 0, 1
+HASHES: dict[bytes, int] = {}  # of words, kept by each worker process
 letters_of = re.compile(r"[^\W\d_]").findall
 # Upper bounds of the feature steps.
 STEPS = {
@@ -50,13 +51,13 @@ def lines_of(text: str) -> list[str]:
     return [line for line in text.split("\n") if line.strip(BLANKS)]
 
 
-def base_counts(text: str, cache: dict) -> tuple[int, int, int, int, int]:
+def base_counts(text: str) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     words = text.encode().split()
     lines = lines_of(text)
     repeated = 0
     if len(words) > WINDOW:
-        h = window_hashes(word_hashes(words, cache), WINDOW)
+        h = window_hashes(word_hashes(words, HASHES), WINDOW)
         order = np.argsort(h, kind="stable")
         same = h[order][1:] == h[order][:-1]
         twice = np.zeros(len(h), bool)
@@ -152,8 +153,7 @@ def apply_rules(docs: DataFrame, model: Model, text_col: str = "text", min_words
     @F.arrow_udf(f"struct<{', '.join(f'{n}: bigint' for n in names)}, content_share: double>")
     def run(column: pa.Array) -> pa.Array:
         texts = [t or "" for t in column.to_pylist()]
-        cache: dict = _CACHE
-        counts = np.array([base_counts(t, cache) for t in texts], np.int64).reshape(-1, len(names))
+        counts = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, len(names))
         shares = pa.array(sent.value.shares(texts), pa.float64())
         return pa.StructArray.from_arrays([*[pa.array(counts[:, i]) for i in range(len(names))], shares], [*names, "content_share"])
 
@@ -162,7 +162,3 @@ def apply_rules(docs: DataFrame, model: Model, text_col: str = "text", min_words
     out = kept.withColumn(c, run.asNondeterministic()(docs[text_col].cast("string"))).select(*kept.columns, f"{c}.*")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("content_share") >= min_share))
-
-
-#: Hashes of words, for each worker process.
-_CACHE: dict[bytes, int] = {}
