@@ -33,10 +33,16 @@ LEXICON, BITS = 2000, 18
 SLICES = 16
 MAX_CACHED = 300_000
 UNKNOWN = "und"
-words_of = re.compile(r"[^\W\d_]+").findall
+runs_of = re.compile(r"[^\W\d_]+").findall
 crc = zlib.crc32
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters; number signs that are no decimal digits may stand inside but do not make a word."""
+    words = runs_of(text)
+    return words if text.isascii() else [w for w in words if w.isalpha() or any(map(str.isalpha, w))]
+
+
 @dataclass
 class Model:
     languages: list[str]

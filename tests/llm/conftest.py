@@ -12,6 +12,7 @@ ROWS = [
     (7, "All rights reserved. CC BY 4.0, ALL RIGHTS RESERVED", "en", None),
     (None, "the quick brown fox jumps over the lazy dog", None, "a"),
     (8, "naïve café 日本語 😀 ▁x  y", "fr", "b"),
+    (11, "½ ² ٣ 7 _", "en", "c"),
     (9, "der schnelle braune Fuchs " * 9, "de", "c"),
     (10, "the quick brown fox\n\n\x00 weird \x1f text " + "word " * 3000, "en", "c"),
 ]
