@@ -18,6 +18,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+from array import array
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -123,30 +124,26 @@ class Pieces:
 
         ``last[i]`` is None where no allowed path from the start of the pass ends at ``i``.
         """
-        ids, fits, lengths, allowed = self.ids, self.fits, self.lengths, self.allowed
+        get, fits, lengths, known = self.ids.get, self.fits, self.lengths.get, self.allowed.get
+        add_state, add_count = last.append, count.append
         for i in range(at + 1, len(s) + 1):
             state, n = None, 0
-            tail = s[i - 2 : i] if i > 1 else s[:1]
-            ls = lengths.get(tail) or lengths.get(s[i - 1])
+            ls = lengths(s[i - 2 : i] if i > 1 else s[0]) or lengths(s[i - 1])
             if ls is None:
                 before = last[i - 1]
                 if before is not None:
                     state, n = FALLBACK, count[i - 1] + (len(s[i - 1].encode()) if self.byte_ids else 1)
             else:
                 for k in ls:
-                    if k <= i and (left := last[i - k]) is not None:
-                        t = ids.get(s[i - k : i])
-                        if t is not None:
-                            ok = allowed.get(left << 32 | t) if left >= 0 else None
-                            if ok is None:
-                                ok = fits(left, t)
-                            if ok:
-                                state, n = t, count[i - k] + 1
-                                break
-            last.append(state)
-            count.append(n)
-
-    def extend_unigram(self, s: str, last: list, count: list, best: list, at: int) -> None:
+                    if k <= i and (t := get(s[i - k : i])) is not None and (left := last[i - k]) is not None:
+                        ok = known(left << 32 | t) if left >= 0 else None
+                        if ok or ok is None and fits(left, t):
+                            state, n = t, count[i - k] + 1
+                            break
+            add_state(state)
+            add_count(n)
+
+    def extend_unigram(self, s: str, last: list, count: list, at: int, best: list) -> None:
         """Like extend_bpe with the best score of each position; the first best, shortest piece wins ties as in a left-to-right pass."""
         ids, lengths, score = self.ids, self.lengths, self.score
         for i in range(at + 1, len(s) + 1):
@@ -172,18 +169,11 @@ class Pieces:
         The states of the current branch are a stack: a shared prefix is never computed again.
         """
         last, count, best, before = [RESET], [0], [0.0], ""
+        extend = self.extend_bpe if self.bpe else functools.partial(self.extend_unigram, best=best)
         for word in words:
-            shared = 0
-            for a, b in zip(before, word, strict=False):
-                if a != b:
-                    break
-                shared += 1
-            del last[shared + 1 :], count[shared + 1 :]
-            if self.bpe:
-                self.extend_bpe(word, last, count, shared)
-            else:
-                del best[shared + 1 :]
-                self.extend_unigram(word, last, count, best, shared)
+            shared = shared_prefix(before, word)
+            del last[shared + 1 :], count[shared + 1 :], best[shared + 1 :]
+            extend(word, last, count, at=shared)
             keep(word, last, count)
             before = word
 
@@ -198,11 +188,7 @@ class Pieces:
         found: dict[str, tuple[int, int]] = {}
         before = ""
         for word in words:
-            shared = 0
-            for a, b in zip(before, word, strict=False):
-                if a != b:
-                    break
-                shared += 1
+            shared = shared_prefix(before, word)
             del last[shared + 1 :], count[shared + 1 :], uni[shared + 1 :], best[shared + 1 :]
             for i in range(shared + 1, len(word) + 1):
                 state, n, m, top, one = None, 0, 0, nothing, False
@@ -276,7 +262,7 @@ class Pieces:
     def encode_all(self, marked: list[str]) -> list[np.ndarray]:
         """Ids of each text, which is given as ``marked`` returns it."""
         split = [self.units(s) for s in marked]
-        ids = lambda w, last, _: np.array(self.back(w, last, len(w)), "<i4").tobytes()
+        ids = lambda w, last, _: array("i", self.back(w, last, len(w))).tobytes()
         get = self.learn(set().union(*split), "ids", lambda ws: self.terminals(ws, ids)).__getitem__
         return [np.frombuffer(b"".join(map(get, words)), "<i4") for words in split]
 
@@ -308,7 +294,7 @@ class Pieces:
             self.extend_bpe(part, last, count, 0)
             best = [0.0 if x is not None else -math.inf for x in last]
         else:
-            self.extend_unigram(part, last, count, best, 0)
+            self.extend_unigram(part, last, count, 0, best)
         return last, best
 
     def exits(self, s: str, start: int, last: list, best: list, at: int, states: list[tuple[int, int]]) -> list[float]:
@@ -382,6 +368,18 @@ class Pieces:
         return self.back(s[start:], last, end - start)
 
 
+def shared_prefix(a: str, b: str) -> int:
+    """Length of the common prefix."""
+    if b.startswith(a):
+        return len(a)
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
 def maxplus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Product in which sums are maxima and products are sums; associative."""
     return (a[:, :, None] + b[None, :, :]).max(axis=1) if a.size and b.size else np.full((a.shape[0], b.shape[1]), -np.inf)
