@@ -27,7 +27,7 @@ MARK = "▁"  # stands for a space in pieces
 NORMAL, UNKNOWN, BYTE, USER_DEFINED = 1, 2, 6, 4  # piece types of the file format
 UNIGRAM, BPE = 1, 2  # model types of the file format
 UNKNOWN_PENALTY = 10.0  # an unknown character scores this much less than the worst piece
-MAX_CACHED = 700_000  # words kept by one worker process
+MAX_CACHED = 850_000  # words kept by one worker process
 RESET = -2  # state at a border that no piece can cross
 FALLBACK = -1  # a character without a piece, written as bytes
 
@@ -63,12 +63,16 @@ class Pieces:
         rest = rf"{MARK}*[^{MARK}{cuts}]+|{MARK}+" if spaced else (f"[^{cuts}]+" if cuts else "(?s:.+)")
         self.units = re.compile(f"{cut}|{rest}").findall
         self.border = re.compile((f"(?<!{MARK})(?={MARK})|" if spaced else "") + (f"(?={cut})|(?<={cut})" if cuts else "(?!)"))
-        # Lengths of pieces by their last two characters, long ones first.
+        # Lengths of the pieces that can end in a tail of up to three characters, long ones first.
         lengths: dict[str, set[int]] = {}
         for p in self.ids:
-            lengths.setdefault(p[-2:], set()).add(len(p))
-        singles = {p for p in self.ids if len(p) == 1}
-        self.lengths = {tail: tuple(sorted(ls | ({1} if tail[-1] in singles else set()), reverse=True)) for tail, ls in lengths.items()}
+            lengths.setdefault(p[-3:], set()).add(len(p))
+        for tail in lengths:
+            for k in (1, 2):
+                if len(tail) > k and tail[-k:] in self.ids:
+                    lengths[tail].add(k)
+        self.lengths = {tail: tuple(sorted(ls, reverse=True)) for tail, ls in lengths.items()}
+        self.packed = [array("i", [i]).tobytes() for i in range(len(self.text))]
         self.allowed: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
         self.caches: dict[str, dict[str, object]] = {}  # by what is kept of a word
@@ -128,7 +132,7 @@ class Pieces:
         add_state, add_count = last.append, count.append
         for i in range(at + 1, len(s) + 1):
             state, n = None, 0
-            ls = lengths(s[i - 2 : i] if i > 1 else s[0]) or lengths(s[i - 1])
+            ls = lengths(s[i - 3 : i] if i > 2 else s[:i]) or lengths(s[i - 2 : i]) or lengths(s[i - 1])
             if ls is None:
                 before = last[i - 1]
                 if before is not None:
@@ -145,12 +149,11 @@ class Pieces:
 
     def extend_unigram(self, s: str, last: list, count: list, at: int, best: list) -> None:
         """Like extend_bpe with the best score of each position; the first best, shortest piece wins ties as in a left-to-right pass."""
-        ids, lengths, score = self.ids, self.lengths, self.score
+        ids, lengths, score = self.ids, self.lengths.get, self.score
         for i in range(at + 1, len(s) + 1):
             state, n, top = None, 0, -math.inf
-            tail = s[i - 2 : i] if i > 1 else s[:1]
             one = False
-            for k in lengths.get(tail) or lengths.get(s[i - 1]) or ():
+            for k in lengths(s[i - 3 : i] if i > 2 else s[:i]) or lengths(s[i - 2 : i]) or lengths(s[i - 1]) or ():
                 if k <= i and (b := best[i - k]) > -math.inf:
                     t = ids.get(s[i - k : i])
                     if t is not None:
@@ -177,12 +180,45 @@ class Pieces:
             keep(word, last, count)
             before = word
 
+    def path_ids(self, words: list[str]) -> dict[str, bytes]:
+        """Packed ids of sorted distinct words; for merge files they grow along the trie, like the states."""
+        if not self.bpe:
+            return self.terminals(words, lambda w, last, _: array("i", self.back(w, last, len(w))).tobytes())
+        get, fits, lengths, known, packed = self.ids.get, self.fits, self.lengths.get, self.allowed.get, self.packed
+        last, path, before = [RESET], [b""], ""
+        found: dict[str, bytes] = {}
+        for word in words:
+            shared = shared_prefix(before, word)
+            del last[shared + 1 :], path[shared + 1 :]
+            for i in range(shared + 1, len(word) + 1):
+                state, ids = None, b""
+                ls = lengths(word[i - 3 : i] if i > 2 else word[:i]) or lengths(word[i - 2 : i]) or lengths(word[i - 1])
+                if ls is None:
+                    if last[i - 1] is not None:
+                        state, ids = FALLBACK, path[i - 1] + self.fallback(word[i - 1])
+                else:
+                    for k in ls:
+                        if k <= i and (t := get(word[i - k : i])) is not None and (left := last[i - k]) is not None:
+                            ok = known(left << 32 | t) if left >= 0 else None
+                            if ok or ok is None and fits(left, t):
+                                state, ids = t, path[i - k] + packed[t]
+                                break
+                last.append(state)
+                path.append(ids)
+            found[word] = path[-1]
+            before = word
+        return found
+
+    def fallback(self, char: str) -> bytes:
+        """Packed ids of a character without a piece."""
+        return array("i", [self.byte_ids[b] for b in char.encode()] if self.byte_ids else [self.unknown]).tobytes()
+
     def both_counts(self, words: list[str]) -> dict[str, tuple[int, int]]:
         """(merge count, unigram count) of sorted distinct words, in one walk of their trie.
 
         Both passes look at the same pieces that end at a position, so these are looked up once.
         """
-        ids, lengths, score, allowed, fits, worst = self.ids, self.lengths, self.score, self.allowed, self.fits, self.worst
+        ids, lengths, score, allowed, fits, worst = self.ids, self.lengths.get, self.score, self.allowed, self.fits, self.worst
         nothing = -math.inf
         last, count, uni, best = [RESET], [0], [0], [0.0]
         found: dict[str, tuple[int, int]] = {}
@@ -192,7 +228,7 @@ class Pieces:
             del last[shared + 1 :], count[shared + 1 :], uni[shared + 1 :], best[shared + 1 :]
             for i in range(shared + 1, len(word) + 1):
                 state, n, m, top, one = None, 0, 0, nothing, False
-                for k in lengths.get(word[i - 2 : i] if i > 1 else word[0]) or lengths.get(word[i - 1]) or ():
+                for k in lengths(word[i - 3 : i] if i > 2 else word[:i]) or lengths(word[i - 2 : i]) or lengths(word[i - 1]) or ():
                     if k <= i:
                         t = ids.get(word[i - k : i])
                         if t is not None:
@@ -240,7 +276,7 @@ class Pieces:
     def learn(self, words: set[str], kind: str, work) -> dict[str, object]:
         """The cache of this kind with all the words in it; ``work(sorted words)`` gives what is kept of new ones."""
         cache = self.caches.setdefault(kind, {})
-        missing = sorted(w for w in words if w not in cache)
+        missing = sorted(words.difference(cache))
         if len(cache) + len(missing) > MAX_CACHED:
             cache.clear()
             missing = sorted(words)
@@ -262,8 +298,7 @@ class Pieces:
     def encode_all(self, marked: list[str]) -> list[np.ndarray]:
         """Ids of each text, which is given as ``marked`` returns it."""
         split = [self.units(s) for s in marked]
-        ids = lambda w, last, _: array("i", self.back(w, last, len(w))).tobytes()
-        get = self.learn(set().union(*split), "ids", lambda ws: self.terminals(ws, ids)).__getitem__
+        get = self.learn(set().union(*split), "ids", self.path_ids).__getitem__
         return [np.frombuffer(b"".join(map(get, words)), "<i4") for words in split]
 
     def decode(self, ids: np.ndarray) -> bytes:
