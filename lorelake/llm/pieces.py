@@ -27,7 +27,9 @@ MARK = "▁"  # stands for a space in pieces
 NORMAL, UNKNOWN, BYTE, USER_DEFINED = 1, 2, 6, 4  # piece types of the file format
 UNIGRAM, BPE = 1, 2  # model types of the file format
 UNKNOWN_PENALTY = 10.0  # an unknown character scores this much less than the worst piece
-MAX_CACHED = 850_000  # words kept by one worker process
+# Kept by one worker process: words with their count, words with their ids, judged pairs of pieces.
+MAX_CACHED = {"count": 1_000_000, "both": 1_000_000, "ids": 600_000}
+MAX_PAIRS = 300_000
 RESET = -2  # state at a border that no piece can cross
 FALLBACK = -1  # a character without a piece, written as bytes
 
@@ -276,8 +278,10 @@ class Pieces:
     def learn(self, words: set[str], kind: str, work) -> dict[str, object]:
         """The cache of this kind with all the words in it; ``work(sorted words)`` gives what is kept of new ones."""
         cache = self.caches.setdefault(kind, {})
+        if len(self.allowed) > MAX_PAIRS:
+            self.allowed.clear()
         missing = sorted(words.difference(cache))
-        if len(cache) + len(missing) > MAX_CACHED:
+        if len(cache) + len(missing) > MAX_CACHED[kind]:
             cache.clear()
             missing = sorted(words)
         cache.update(work(missing))
