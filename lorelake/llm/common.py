@@ -9,13 +9,14 @@ from lorelake import checkpoints
 
 # Words of the contracts: maximal runs without ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
-# Rows of one Arrow batch; texts average a few kB and may be very long.
-BATCH_ROWS = 256
+# Rows and size of one Arrow batch; texts average a few kB and may be very long.
+BATCH_ROWS, BATCH_SIZE = 256, "4m"
 
 
 def prepare(spark: SparkSession) -> None:
     """Bound what one Arrow batch of whole texts holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_SIZE)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

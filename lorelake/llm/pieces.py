@@ -27,9 +27,11 @@ MARK = "▁"  # stands for a space in pieces
 NORMAL, UNKNOWN, BYTE, USER_DEFINED = 1, 2, 6, 4  # piece types of the file format
 UNIGRAM, BPE = 1, 2  # model types of the file format
 UNKNOWN_PENALTY = 10.0  # an unknown character scores this much less than the worst piece
-# Kept by one worker process: words with their count, words with their ids, judged pairs of pieces.
-MAX_CACHED = {"count": 1_000_000, "both": 1_000_000, "ids": 600_000}
+# Kept by one worker process: words in each of two generations (with a count, both counts, ids), judged pairs of pieces.
+MAX_CACHED = {"count": 300_000, "both": 300_000, "ids": 150_000}
 MAX_PAIRS = 300_000
+# Characters of the texts that are split into words at a time.
+SPLIT_CHARS = 1_000_000
 RESET = -2  # state at a border that no piece can cross
 FALLBACK = -1  # a character without a piece, written as bytes
 
@@ -77,7 +79,7 @@ class Pieces:
         self.packed = [array("i", [i]).tobytes() for i in range(len(self.text))]
         self.allowed: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
-        self.caches: dict[str, dict[str, object]] = {}  # by what is kept of a word
+        self.caches: dict[str, tuple[dict[str, object], dict[str, object]]] = {}  # by what is kept of a word: newer and older words
         self.decoded = [b"" if p.type in (UNKNOWN, 3) else (bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(MARK, " ").encode()) for p in proto.pieces]
 
     def marked(self, text: str) -> str:
@@ -276,16 +278,35 @@ class Pieces:
     # -- words -------------------------------------------------------------------------
 
     def learn(self, words: set[str], kind: str, work) -> dict[str, object]:
-        """The cache of this kind with all the words in it; ``work(sorted words)`` gives what is kept of new ones."""
-        cache = self.caches.setdefault(kind, {})
+        """The newer words of this kind, with all of ``words`` among them; ``work(sorted words)`` gives what is kept of new ones.
+
+        When the newer generation is full it becomes the older one, and what that held is forgotten unless met again.
+        """
+        newer, older = self.caches.get(kind, ({}, {}))
         if len(self.allowed) > MAX_PAIRS:
             self.allowed.clear()
-        missing = sorted(words.difference(cache))
-        if len(cache) + len(missing) > MAX_CACHED[kind]:
-            cache.clear()
-            missing = sorted(words)
-        cache.update(work(missing))
-        return cache
+        missing = words.difference(newer)
+        if newer and len(newer) + len(missing) > MAX_CACHED[kind]:
+            newer, older, missing = {}, newer, words
+        known = missing.intersection(older)
+        newer.update((w, older[w]) for w in known)
+        newer.update(work(sorted(missing - known)))
+        self.caches[kind] = newer, older
+        return newer
+
+    def fold(self, texts: list[str], kind: str, work, value) -> list:
+        """``value(kept of each word)`` of each text as ``marked`` returns it; words of a bounded stretch of texts are held at a time."""
+        out: list = []
+        at = 0
+        while at < len(texts):
+            end, chars = at + 1, len(texts[at])
+            while end < len(texts) and (chars := chars + len(texts[end])) <= SPLIT_CHARS:
+                end += 1
+            split = [self.units(s) for s in texts[at:end]]
+            get = self.learn(set().union(*split), kind, work).__getitem__
+            out += [value(map(get, words)) for words in split]
+            at = end
+        return out
 
     def terminals(self, words: list[str], value) -> dict[str, object]:
         """``value(word, last, count)`` at the trie's terminals."""
@@ -295,15 +316,11 @@ class Pieces:
 
     def count_all(self, texts: list[str]) -> list[int]:
         """Number of pieces of each text."""
-        split = [self.units(self.marked(t)) for t in texts]
-        get = self.learn(set().union(*split), "count", lambda ws: self.terminals(ws, lambda w, last, count: count[-1])).__getitem__
-        return [sum(map(get, words)) for words in split]
+        return self.fold([self.marked(t) for t in texts], "count", lambda ws: self.terminals(ws, lambda w, last, count: count[-1]), sum)
 
     def encode_all(self, marked: list[str]) -> list[np.ndarray]:
         """Ids of each text, which is given as ``marked`` returns it."""
-        split = [self.units(s) for s in marked]
-        get = self.learn(set().union(*split), "ids", self.path_ids).__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), "<i4") for words in split]
+        return self.fold(marked, "ids", self.path_ids, lambda ids: np.frombuffer(b"".join(ids), "<i4"))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 bytes of a run of ids; the prefix space of the text's first run is still there."""

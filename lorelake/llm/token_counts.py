@@ -32,11 +32,9 @@ def counts_of(data: bytes, texts: list[str]) -> list[tuple[int, int]]:
     p = pieces.load(data)
     if not p.bpe:
         return [(n, n) for n in p.count_all(texts)]
-    split = [p.units(p.marked(t)) for t in texts]
     # Both counts in one number, so that one sum over a text's words gives both.
     work = lambda words: {w: n + HALF * m for w, (n, m) in p.both_counts(words).items()}
-    get = p.learn(set().union(*split), "both", work).__getitem__
-    return [(s % HALF, s // HALF) for s in (sum(map(get, words)) for words in split)]
+    return [(s % HALF, s // HALF) for s in p.fold([p.marked(t) for t in texts], "both", work, sum)]
 
 
 def token_counts(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
