@@ -28,7 +28,7 @@ NORMAL, UNKNOWN, BYTE, USER_DEFINED = 1, 2, 6, 4  # piece types of the file form
 UNIGRAM, BPE = 1, 2  # model types of the file format
 UNKNOWN_PENALTY = 10.0  # an unknown character scores this much less than the worst piece
 # Kept by one worker process: words in each of two generations (with a count, both counts, ids), judged pairs of pieces.
-MAX_CACHED = {"count": 500_000, "both": 500_000, "ids": 150_000}
+MAX_CACHED = {"count": 500_000, "both": 500_000, "ids": 300_000}
 MAX_PAIRS = 300_000
 # Characters of the texts that are split into words at a time.
 SPLIT_CHARS = 1_000_000
