@@ -10,6 +10,7 @@ from lorelake.llm.common import documents, labels, prepare, stash
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 QUALITY_THRESHOLD = 0.3
+CACHED_WORDS = 150_000  # of a worker, which shares its executor with what earlier stages left
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document; giant documents have a row for each chunk."""
     prepare(spark)
-    ids = sentencepiece_codec.encode(docs, MODEL_PATH)
+    ids = sentencepiece_codec.encode(docs, MODEL_PATH, cached_words=CACHED_WORDS)
     return ids.select("doc_id", "lang", "source", "chunk_no", "n_chunks", F.size("ids").cast("long").alias("n_ids"), "ids")
 
 

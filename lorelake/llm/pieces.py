@@ -79,6 +79,7 @@ class Pieces:
         self.packed = [array("i", [i]).tobytes() for i in range(len(self.text))]
         self.allowed: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
+        self.most = dict(MAX_CACHED)
         self.caches: dict[str, tuple[dict[str, object], dict[str, object]]] = {}  # by what is kept of a word: newer and older words
         self.decoded = [b"" if p.type in (UNKNOWN, 3) else (bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(MARK, " ").encode()) for p in proto.pieces]
 
@@ -286,7 +287,7 @@ class Pieces:
         if len(self.allowed) > MAX_PAIRS:
             self.allowed.clear()
         missing = words.difference(newer)
-        if newer and len(newer) + len(missing) > MAX_CACHED[kind]:
+        if newer and len(newer) + len(missing) > self.most[kind]:
             newer, older, missing = {}, newer, words
         known = missing.intersection(older)
         newer.update((w, older[w]) for w in known)

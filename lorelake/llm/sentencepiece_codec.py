@@ -73,12 +73,12 @@ def scan(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": part["key"], "chunk_no": part["chunk_no"], "entry": states[:-1], "leave": states[1:]})
 
 
-def encode(docs: DataFrame, model_path: str, text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, text_col: str = "text", chunk_chars: int = CHUNK_CHARS, cached_words: int = pieces.MAX_CACHED["ids"]) -> DataFrame:
     """One row for each text, or for each chunk of a giant text, in place of the text column's row.
 
     The text column then holds the row's own stretch of text; added are ``chunk_no``
     and ``n_chunks`` (int) and ``ids`` (array<int>). The ids of a text are those of its
-    chunks in order.
+    chunks in order. ``cached_words`` bounds the memory of a worker, not the result.
     """
     spark = docs.sparkSession
     with open(model_path, "rb") as file:
@@ -87,6 +87,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", chunk_chars
     @F.arrow_udf("array<int>")
     def whole(texts: pa.Array) -> pa.Array:
         p = pieces.load(data.value)
+        p.most["ids"] = cached_words
         given = texts.to_pylist()
         found = p.encode_all([p.marked(t or "") for t in given])
         return list_array([None if t is None else ids for t, ids in zip(given, found, strict=True)])
