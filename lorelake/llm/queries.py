@@ -50,10 +50,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document (giant ones: of each chunk), decoded again and compared."""
-    encoded = sentencepiece_codec.encode(documents(spark, sf_dir), corpus_pipeline.MODEL_PATH)
-    back = sentencepiece_codec.decode(encoded, corpus_pipeline.MODEL_PATH)
-    size = F.size("ids").cast("long")
-    return back.select("doc_id", "chunk_no", "n_chunks", size.alias("n_ids"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    encoded = sentencepiece_codec.encode(documents(spark, sf_dir), corpus_pipeline.MODEL_PATH, round_trip=True)
+    return encoded.select("doc_id", "chunk_no", "n_chunks", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,12 @@ def list_array(arrays: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), pa.array(values), mask=mask)
 
 
+def row_text(p: pieces.Pieces, ids: np.ndarray, first: bool) -> str:
+    """Text of a row's ids; ``first`` marks the row that begins a text."""
+    raw = p.decode(ids).decode("utf-8", "replace")
+    return raw[1:] if first and p.dummy_prefix else raw
+
+
 def splitter(data, chunk_chars: int):
     """Map (key, text) to chunks with their transfer matrices."""
 
@@ -73,49 +79,60 @@ def scan(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": part["key"], "chunk_no": part["chunk_no"], "entry": states[:-1], "leave": states[1:]})
 
 
-def encode(docs: DataFrame, model_path: str, text_col: str = "text", chunk_chars: int = CHUNK_CHARS, cached_words: int = pieces.MAX_CACHED["ids"]) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, text_col: str = "text", chunk_chars: int = CHUNK_CHARS, cached_words: int = pieces.MAX_CACHED["ids"], round_trip: bool = False) -> DataFrame:
     """One row for each text, or for each chunk of a giant text, in place of the text column's row.
 
     The text column then holds the row's own stretch of text; added are ``chunk_no``
     and ``n_chunks`` (int) and ``ids`` (array<int>). The ids of a text are those of its
-    chunks in order. ``cached_words`` bounds the memory of a worker, not the result.
+    chunks in order. ``cached_words`` bounds the memory of a worker, not the result. With
+    ``round_trip`` the ids of each row are decoded again where they were made; the boolean
+    column ``round_trip`` tells whether they give the row's text (null text: true).
     """
     spark = docs.sparkSession
     with open(model_path, "rb") as file:
         data = spark.sparkContext.broadcast(file.read())
 
-    @F.arrow_udf("array<int>")
+    added = ["ids", "round_trip"] if round_trip else ["ids"]
+    done_type = "ids: array<int>" + (", round_trip: boolean" if round_trip else "")
+
+    @F.arrow_udf(f"struct<{done_type}>")
     def whole(texts: pa.Array) -> pa.Array:
         p = pieces.load(data.value)
         p.most["ids"] = cached_words
         given = texts.to_pylist()
         found = p.encode_all([p.marked(t or "") for t in given])
-        return list_array([None if t is None else ids for t, ids in zip(given, found, strict=True)])
+        columns = [list_array([None if t is None else ids for t, ids in zip(given, found, strict=True)])]
+        if round_trip:
+            columns.append(pa.array([t is None or row_text(p, ids, True) == t for t, ids in zip(given, found, strict=True)], pa.bool_()))
+        return pa.StructArray.from_arrays(columns, added)
 
-    @F.arrow_udf("struct<piece_text: string, ids: array<int>>")
+    @F.arrow_udf(f"struct<piece_text: string, {done_type}>")
     def one(stretch: pa.Array, p0: pa.Array, p1: pa.Array, origin: pa.Array, entry: pa.Array, leave: pa.Array) -> pa.Array:
         p = pieces.load(data.value)
-        texts, found = [], []
+        texts, found, same = [], [], []
         for s, a, b, o, x, y in zip(*(c.to_pylist() for c in (stretch, p0, p1, origin, entry, leave)), strict=True):
             # The very start and end of the text have one state; elsewhere the context is long enough for all of them.
             found.append(p.chunk_ids(s, a, b, x, y))
             start, end = a + p.states(s, a)[x][0], b + p.states(s, b)[y][0]
-            own = s[start:end].replace(pieces.MARK, " ")
-            texts.append(own[1:] if p.dummy_prefix and o + start == 0 else own)
-        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), list_array(found)], ["piece_text", "ids"])
+            own, first = s[start:end].replace(pieces.MARK, " "), o + start == 0
+            texts.append(own[1:] if p.dummy_prefix and first else own)
+            same.append(round_trip and row_text(p, found[-1], first) == texts[-1])
+        columns = [pa.array(texts, pa.string()), list_array(found), pa.array(same, pa.bool_())]
+        return pa.StructArray.from_arrays(columns[: 1 + len(added)], ["piece_text", *added])
 
-    kept = adding(docs, "chunk_no", "n_chunks", "ids").withColumn(text_col, F.col(text_col).cast("string"))
+    kept = adding(docs, "chunk_no", "n_chunks", *added).withColumn(text_col, F.col(text_col).cast("string"))
     giant = F.coalesce(F.length(text_col), F.lit(0)) > chunk_chars
-    small = kept.filter(~giant).select("*", F.lit(0).alias("chunk_no"), F.lit(1).alias("n_chunks"), whole.asNondeterministic()(F.col(text_col)).alias("ids"))
-
     key, part = fresh(kept, "giant_key", "encoded_part")
+    small = kept.filter(~giant).withColumn(part, whole.asNondeterministic()(F.col(text_col)))
+    small = small.select(*kept.columns, F.lit(0).alias("chunk_no"), F.lit(1).alias("n_chunks"), *[f"{part}.{c}" for c in added])
+
     long = stash(kept.filter(giant).withColumn(key, F.monotonically_increasing_id()))
     parts = stash(long.select(key, text_col).mapInArrow(splitter(data, chunk_chars), PART))
     states = parts.select("key", "chunk_no", "n_left", "n_right", "matrix").groupBy("key").applyInPandas(scan, "key bigint, chunk_no int, entry int, leave int")
     done = parts.drop("matrix", "n_left", "n_right").join(states, ["key", "chunk_no"])
     done = done.select("key", "chunk_no", "n_chunks", one.asNondeterministic()(*[F.col(c) for c in ("stretch", "p0", "p1", "origin", "entry", "leave")]).alias("done"))
     rest = long.drop(text_col).join(done.select(F.col("key").alias(key), "chunk_no", "n_chunks", F.col("done").alias(part)), key)
-    large = rest.select(*[F.col(f"{part}.piece_text").alias(c) if c == text_col else F.col(c) for c in kept.columns], "chunk_no", "n_chunks", f"{part}.ids")
+    large = rest.select(*[F.col(f"{part}.piece_text").alias(c) if c == text_col else F.col(c) for c in kept.columns], "chunk_no", "n_chunks", *[f"{part}.{c}" for c in added])
     return small.unionByName(large)
 
 
@@ -131,8 +148,7 @@ def decode(encoded: DataFrame, model_path: str, out: str = "decoded") -> DataFra
         values, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
         for valid, a, b, no in zip(ids.is_valid().to_pylist(), starts, ends, chunk_no.to_pylist(), strict=True):
-            raw = p.decode(values[a:b]).decode("utf-8", "replace") if valid else None
-            texts.append(raw[1:] if raw and no == 0 and p.dummy_prefix else raw)
+            texts.append(row_text(p, values[a:b], no == 0) if valid else None)
         return pa.array(texts, pa.string())
 
     return adding(encoded, out).withColumn(out, text.asNondeterministic()(F.col("ids"), F.col("chunk_no")))

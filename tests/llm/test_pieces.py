@@ -119,7 +119,7 @@ def test_both_counts_are_those_of_the_single_passes(spark, small):
 
 @pytest.mark.parametrize("chunk", [1000, 65_536])
 def test_codec(odd_docs, no_docs, library, chunk):
-    encoded = sentencepiece_codec.encode(odd_docs, corpus_pipeline.MODEL_PATH, chunk_chars=chunk)
+    encoded = sentencepiece_codec.encode(odd_docs, corpus_pipeline.MODEL_PATH, chunk_chars=chunk, round_trip=True)
     rows = sentencepiece_codec.decode(encoded, corpus_pipeline.MODEL_PATH).collect()
     got: dict = {}
     for r in sorted(rows, key=lambda r: r["chunk_no"]):
@@ -127,6 +127,7 @@ def test_codec(odd_docs, no_docs, library, chunk):
         got.setdefault(key, []).append(r)
         assert r["done"] == "own done"
         assert r["decoded"] == (r["text"].replace("▁", " ") if r["text"] is not None else None)
+        assert r["round_trip"] == (r["decoded"] == r["text"])
     for doc_id, text, lang, source in ROWS:
         parts = got[(doc_id, source, lang)]
         if text is None:
