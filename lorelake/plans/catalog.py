@@ -178,6 +178,12 @@ def highlights(spark, sf):
         "doc_id", se.highlight(F.left("text", F.lit(300)), F.lit('"the de" un (x')).alias("marked"))
 
 
+@query
+def highlights_whole(spark, sf):
+    """Marks in whole texts, of which ``highlights`` shows the beginnings."""
+    return ad.table(spark, sf, "documents").select("doc_id", F.md5(se.highlight(F.col("text"), F.lit('"the de" un (x'))).alias("marked_hash"))
+
+
 # -- filters and requests --------------------------------------------------
 
 
@@ -862,14 +868,24 @@ def dot_folded_paths(spark, sf):
     return raw.select("page_id", "position", tx.fold_dots(F.col("raw")).alias("folded"))
 
 
-@query
-def escaped_texts(spark, sf):
-    text = F.concat(F.left("html", F.lit(200)), F.lit("|'\n"))
+def _escaped(spark, sf, html):
+    text = F.concat(html, F.lit("|'\n"))
     return ad.table(spark, sf, "pages").select(
         "page_id", F.md5(tx.escape_xml(text)).alias("xml"), F.md5(tx.escape_xml_attribute(text)).alias("attribute"),
         F.md5(tx.escape_command(text)).alias("command"), F.md5(tx.escape_cell(text)).alias("cell"))
 
 
+@query
+def escaped_texts(spark, sf):
+    return _escaped(spark, sf, F.left("html", F.lit(200)))
+
+
+@query
+def escaped_texts_whole(spark, sf):
+    """Whole pages, of which ``escaped_texts`` escapes the beginnings."""
+    return _escaped(spark, sf, F.col("html"))
+
+
 @query
 def display_values(spark, sf):
     d = ad.corpus_docs(spark, sf)

@@ -326,6 +326,7 @@ ORACLES: dict[str, str] = {
     "query_terms": f"SELECT item_id, array_to_string({qterms('text')}, ' ') AS terms FROM benchmark",
     "snippets": "WITH " + snippet_cte("documents", "text", qterms("string_split(text, ' ')[-1]"), "doc_id") + f" SELECT doc_id, {SNIP} AS snippet FROM s3",
     "highlights": "SELECT doc_id, regexp_replace(left(text, 300), '(the|un|de|\\(x)', '<mark>\\1</mark>', 'gi') AS marked FROM documents",
+    "highlights_whole": "SELECT doc_id, md5(regexp_replace(text, '(the|un|de|\\(x)', '<mark>\\1</mark>', 'gi')) AS marked_hash FROM documents",
     "filter_documents": f"WITH {DOCS} SELECT location_id, relative_path, type, status FROM docs WHERE type IN ('Type src1', 'Type src2', 'Type src3') AND list_has_any(tags, ['t1', 't2', 't5']) AND kind = 'concept' AND status IS NOT NULL AND finding_count > 0",
     "filter_freshness": f"WITH {DOCS} SELECT location_id, relative_path, stale_after, {FRESH} AS freshness FROM docs WHERE {FRESH} = 'stale' AND finding_count = 0",
     "path_prefix_search": f"WITH {DOCS} SELECT location_id, count(*) AS n FROM docs WHERE starts_with(relative_path, 'src1') GROUP BY 1",
@@ -555,6 +556,9 @@ After making changes, run the OKF linter again and report the remaining findings
     "escaped_texts": """WITH t AS (SELECT page_id, left(html, 200) || '|''' || chr(10) AS x FROM pages), e AS (SELECT *, replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS xml FROM t)
       SELECT page_id, md5(xml) AS xml, md5(replace(replace(xml, '"', '&quot;'), '''', '&apos;')) AS attribute,
       md5(replace(replace(replace(replace(replace(x, '%', '%25'), chr(13), '%0D'), chr(10), '%0A'), ':', '%3A'), ',', '%2C')) AS command, md5(replace(replace(x, '|', '\\|'), chr(10), ' ')) AS cell FROM e""",
+    "escaped_texts_whole": """WITH t AS (SELECT page_id, html || '|''' || chr(10) AS x FROM pages), e AS (SELECT *, replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS xml FROM t)
+      SELECT page_id, md5(xml) AS xml, md5(replace(replace(xml, '"', '&quot;'), '''', '&apos;')) AS attribute,
+      md5(replace(replace(replace(replace(replace(x, '%', '%25'), chr(13), '%0D'), chr(10), '%0A'), ':', '%3A'), ',', '%2C')) AS command, md5(replace(replace(x, '|', '\\|'), chr(10), ' ')) AS cell FROM e""",
     "display_values": f"""WITH {DOCS} SELECT location_id, relative_path, CASE trust_tier WHEN 'humanReviewed' THEN 'Human Reviewed' WHEN 'machineConfirmed' THEN 'Machine Confirmed' WHEN 'unverified' THEN 'Unverified' END AS label,
       CASE WHEN d < 60000 THEN 'now' WHEN d < 3600000 THEN (d // 60000)::VARCHAR || 'm' ELSE (d // 3600000)::VARCHAR || 'h' END AS age, finding_count::VARCHAR || CASE WHEN finding_count = 1 THEN ' finding' ELSE ' findings' END AS counted
       FROM (SELECT *, greatest(0, 1700000900000 - modified_at_ms) AS d FROM docs)""",
