@@ -369,6 +369,13 @@ def source_positions(spark, sf):
     return ad.table(spark, sf, "documents").select("doc_id", line.alias("line"), column.alias("column"))
 
 
+@query
+def source_positions_deep(spark, sf):
+    """Offsets anywhere in the text, its end included."""
+    line, column = ins.source_position(F.col("text"), F.expr("cast(pmod(doc_id * 7919, length(text) + 1) AS int)"))
+    return ad.table(spark, sf, "documents").select("doc_id", line.alias("line"), column.alias("column"))
+
+
 @query
 def log_entries(spark, sf):
     return rp.log_entries(ad.log_documents(spark, sf)).select("location_id", "relative_path", "scope", "date", "summary")

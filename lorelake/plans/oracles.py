@@ -382,6 +382,8 @@ ORACLES: dict[str, str] = {
     "content_hashes": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
     "source_positions": """SELECT doc_id, (length(p) - length(replace(p, chr(10), '')) + 1)::INT AS line, (length(string_split(p, chr(10))[-1]) + 1)::INT AS column
       FROM (SELECT doc_id, left(text, doc_id % 300) AS p FROM documents)""",
+    "source_positions_deep": """SELECT doc_id, (length(p) - length(replace(p, chr(10), '')) + 1)::INT AS line, (length(string_split(p, chr(10))[-1]) + 1)::INT AS column
+      FROM (SELECT doc_id, left(text, doc_id * 7919 % (length(text) + 1)) AS p FROM documents)""",
     "log_entries": f"WITH {LOGS} SELECT location_id, relative_path, scope, date, summary FROM entries",
     "recent_logs": f"""WITH {LOGS} SELECT location_id, rank::INT AS rank, relative_path, date, summary FROM (SELECT *, row_number() OVER (PARTITION BY location_id
       ORDER BY date DESC NULLS LAST, relative_path, ord) AS rank FROM entries) WHERE rank <= 20""",
