@@ -693,17 +693,39 @@ def matched_renames(spark, sf):
     return hi.match_renames(_moved(spark, sf))
 
 
+@query
+def change_events(spark, sf):
+    moved = _moved(spark, sf)
+    return hi.change_events(moved, hi.match_renames(moved), 1700000000000).select(
+        "location_id", "path", "previous_path", "kind", "observed_at", "available")
+
+
+def _every_order(spark, sf):
+    """orders → changes: every order leaves, arrives or changes in its place, by its key."""
+    return ad.table(spark, sf, "orders").selectExpr(
+        "concat('s', cast(o_custkey % 4 AS string)) AS location_id", "concat('o', lpad(cast(o_orderkey AS string), 9, '0'), '.md') AS relative_path",
+        "CASE o_orderkey % 3 WHEN 0 THEN 'removed' WHEN 1 THEN 'added' ELSE 'changed' END AS change",
+        "cast(o_custkey % 50 AS bigint) AS size", "1700000000000 + o_orderkey DIV 1000 * 1000000 + o_orderkey % 1000 AS modified_at_ms")
+
+
+@query
+def matched_renames_every_order(spark, sf):
+    """Bulk moves over all orders; changed files never match."""
+    return hi.match_renames(_every_order(spark, sf))
+
+
 @query
 def matched_renames_long_chains(spark, sf):
-    """Long chains: mtimes 700 ms apart, first fit inside ±2,500 ms."""
-    moved = _moved(spark, sf).withColumn("modified_at_ms", F.expr("1700000000000 + cast(substr(relative_path, 2, 9) AS bigint) * 7"))
+    """Long chains over all orders: mtimes 7 ms a key apart, first fit inside ±2,500 ms."""
+    moved = _every_order(spark, sf).withColumn("modified_at_ms", F.expr("1700000000000 + cast(substr(relative_path, 2, 9) AS bigint) * 7"))
     return hi.match_renames(moved)
 
 
 @query
-def change_events(spark, sf):
-    moved = _moved(spark, sf)
-    return hi.change_events(moved, hi.match_renames(moved), 1700000000000).select(
+def change_events_every_order(spark, sf):
+    """Renamed, created, removed and modified files over all orders."""
+    changes = _every_order(spark, sf)
+    return hi.change_events(changes, hi.match_renames(changes), 1700000000000).select(
         "location_id", "path", "previous_path", "kind", "observed_at", "available")
 
 

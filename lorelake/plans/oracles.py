@@ -228,6 +228,12 @@ numbered AS (SELECT *, row_number() OVER (PARTITION BY location_id, size, chain,
 ren AS (SELECT r.location_id, r.relative_path AS previous_path, a.relative_path FROM numbered r JOIN numbered a USING (location_id, size, chain, no)
  WHERE r.change = 'removed' AND a.change = 'added')"""
 
+ALL_MOVED = """moved AS (SELECT 's' || (o_custkey % 4)::VARCHAR AS location_id, 'o' || lpad(o_orderkey::VARCHAR, 9, '0') || '.md' AS relative_path,
+ (['removed', 'added', 'changed'])[o_orderkey % 3 + 1] AS change, o_custkey % 50 AS size, o_orderkey // 1000 AS chain FROM orders),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY location_id, size, chain, change ORDER BY relative_path) AS no FROM moved),
+ren AS (SELECT r.location_id, r.relative_path AS previous_path, a.relative_path FROM numbered r JOIN numbered a USING (location_id, size, chain, no)
+ WHERE r.change = 'removed' AND a.change = 'added')"""
+
 PACK = """ref AS (SELECT 'p' || conv_id::VARCHAR AS pack_id, conv_id, turn AS pos, role AS location_id,
   't/' || conv_id::VARCHAR || '-' || turn::VARCHAR || '.md' AS relative_path,
   CASE WHEN turn % 3 = 0 THEN 'Selected manually' ELSE role || ' said' END AS reason, substr(text, 1, 16) AS title,
@@ -519,6 +525,10 @@ After making changes, run the OKF linter again and report the remaining findings
     "change_events": f"""WITH {MOVED} SELECT location_id, relative_path AS path, previous_path, 'renamed' AS kind, 1700000000000 AS observed_at, TRUE AS available FROM ren
       UNION ALL SELECT location_id, relative_path, NULL, CASE change WHEN 'added' THEN 'created' ELSE 'removed' END, 1700000000000, change = 'added' FROM moved
       WHERE relative_path NOT IN (SELECT relative_path FROM ren UNION ALL SELECT previous_path FROM ren)""",
+    "matched_renames_every_order": f"WITH {ALL_MOVED} SELECT * FROM ren",
+    "change_events_every_order": f"""WITH {ALL_MOVED} SELECT location_id, relative_path AS path, previous_path, 'renamed' AS kind, 1700000000000 AS observed_at, TRUE AS available FROM ren
+      UNION ALL SELECT location_id, relative_path, NULL, CASE change WHEN 'added' THEN 'created' WHEN 'removed' THEN 'removed' ELSE 'modified' END, 1700000000000, change <> 'removed' FROM moved
+      WHERE relative_path NOT IN (SELECT relative_path FROM ren UNION ALL SELECT previous_path FROM ren)""",
     "file_identity": f"WITH RECURSIVE {IDENT} SELECT DISTINCT location_id, path, identity FROM hist JOIN ident ON ident.node = hist.user_id",
     "deduped_history": f"""WITH RECURSIVE {IDENT} SELECT event_id, location_id, path, kind, observed_at FROM hist JOIN ident ON ident.node = hist.user_id
       QUALIFY row_number() OVER (PARTITION BY identity ORDER BY observed_at DESC, event_id) = 1""",
