@@ -126,21 +126,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 
 def taken(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **limits) -> DataFrame:
-    """One row for each row of ``docs``: id, size, source_size, target, taken (words in the mix, repeats counted)."""
+    """One row for each row of ``docs``: id, size, source_size, target, taken (words in the mix, repeats counted), text_key, of."""
     placed, shares, pieces = mix(docs, id_col, source_col, text_col, **limits)
     sums = pieces.groupBy("row_no").agg(F.sum("words").alias("taken"))
     out = placed.join(sums, "row_no", "left").join(sizes.small(shares.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of")))
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "text_key")
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "text_key", "of")
 
 
 def repeat(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **limits) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them: taken / size, rounded half up; all columns kept.
 
-    Rows that repeat id and text share their number of takes evenly.
+    Rows that repeat id and text share their number of takes evenly. The text in which a source's
+    target ends is gained or lost whole; a source with a target that would lose all of its texts
+    keeps the one of which most is taken.
     """
     key, of_id, of_key, times = fresh(docs, "text_key", "of_id", "of_key", "times")
-    counts = taken(docs, id_col, source_col, text_col, **limits).filter("taken > 0").groupBy(F.col(id_col).alias(of_id), F.col("text_key").alias(of_key))
-    counts = counts.agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias(times)).filter(F.col(times) > 0)
+    given = taken(docs, id_col, source_col, text_col, **limits).filter("size > 0 and target > 0").groupBy(F.col(id_col).alias(of_id), F.col("text_key").alias(of_key))
+    share = F.sum("taken") / F.sum("size")
+    given = stash(given.agg(share.alias("share"), F.floor(share + 0.5).cast("int").alias(times), F.collect_set(F.struct("of")).alias("sources")))
+    best = given.withColumn("source", F.explode("sources")).groupBy("source").agg(F.max(times).alias("most"), F.max(F.struct("share", of_id, of_key)).alias("best"))
+    kept = best.filter("most = 0").select(F.col(f"best.{of_id}").alias("kept_id"), F.col(f"best.{of_key}").alias("kept_key")).distinct()
+    counts = given.join(sizes.small(stash(kept)), F.col(of_id).eqNullSafe(F.col("kept_id")) & (F.col(of_key) == F.col("kept_key")), "left")
+    counts = counts.select(of_id, of_key, F.when(F.col("kept_key").isNotNull(), F.lit(1)).otherwise(F.col(times)).alias(times)).filter(F.col(times) > 0)
     keyed = docs.withColumn(key, text_key(F.col(text_col)))
     joined = keyed.join(sizes.small(stash(counts)), keyed[id_col].eqNullSafe(F.col(of_id)) & (F.col(key) == F.col(of_key)))
     return joined.withColumn(of_key, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*docs.columns)

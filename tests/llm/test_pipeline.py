@@ -112,3 +112,13 @@ def test_held_out_languages_are_not_read(spark):
     turned = docs.withColumn("lang", F.when(language_crf.held_out(F.col("doc_id")), "xx").otherwise(F.col("lang")))
     a, b = language_crf.fit(docs), language_crf.fit(turned)
     assert a.languages == b.languages and (a.chain.weights == b.chain.weights).all()
+
+
+def test_mixed_stage_keeps_a_source_of_one_long_text(spark):
+    """A text of 5,000 words whose source may have fewer than half of them; the other sources have plenty."""
+    rows = [(i, "b" * 3 + f" word{i}" * 20, "en", "big") for i in range(40)] + [(100, "long " * 5000, "en", "one"), (101, None, "en", "none")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    target = {r["of"]: r["target"] for r in mixing.taken(docs, weights=(100, 1, 1), volume=0.2).collect()}
+    assert 0 < target["one"] < 2500
+    got = Counter(r["source"] for r in mixing.repeat(docs, weights=(100, 1, 1), volume=0.2).collect())
+    assert got["one"] == 1 and got["none"] == 0 and got["big"] > 0
