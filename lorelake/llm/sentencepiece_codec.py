@@ -26,7 +26,7 @@ from lorelake.llm import pieces
 from lorelake.llm.common import adding, fresh, stash
 
 CHUNK_CHARS = 65_536
-PART = "key bigint, chunk_no int, n_chunks int, stretch string, p0 int, p1 int, origin bigint, n_left int, n_right int, matrix binary"
+CHUNK = "key bigint, chunk_no int, n_chunks int, stretch string, p0 int, p1 int, origin bigint"
 
 
 def list_array(arrays: list[np.ndarray | None]) -> pa.Array:
@@ -44,7 +44,8 @@ def row_text(p: pieces.Pieces, ids: np.ndarray, first: bool) -> str:
 
 
 def splitter(data, chunk_chars: int):
-    """Map (key, text) to chunks with their transfer matrices."""
+    """Map (key, text) to chunks, each with the context that its edges need; nothing is computed here."""
+    schema = pa.schema([("key", pa.int64()), ("chunk_no", pa.int32()), ("n_chunks", pa.int32()), ("stretch", pa.string()), ("p0", pa.int32()), ("p1", pa.int32()), ("origin", pa.int64())])
 
     def split(batches):
         p = pieces.load(data.value)
@@ -55,16 +56,27 @@ def splitter(data, chunk_chars: int):
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     # Context for the states at both edges and for pieces that lie across them.
                     lo, hi = max(0, a - 2 * p.longest), min(len(s), b + 2 * p.longest)
-                    stretch, p0, p1 = s[lo:hi], a - lo, b - lo
-                    m = p.transfer(stretch, p0, p1)
-                    yield pa.RecordBatch.from_pylist([{
-                        "key": key, "chunk_no": k, "n_chunks": len(cuts) - 1, "stretch": stretch, "p0": p0, "p1": p1, "origin": lo,
-                        "n_left": m.shape[0], "n_right": m.shape[1], "matrix": m.tobytes(),
-                    }], schema=pa.schema([("key", pa.int64()), ("chunk_no", pa.int32()), ("n_chunks", pa.int32()), ("stretch", pa.string()), ("p0", pa.int32()), ("p1", pa.int32()), ("origin", pa.int64()), ("n_left", pa.int32()), ("n_right", pa.int32()), ("matrix", pa.binary())]))
+                    yield pa.RecordBatch.from_pylist([{"key": key, "chunk_no": k, "n_chunks": len(cuts) - 1, "stretch": s[lo:hi], "p0": a - lo, "p1": b - lo, "origin": lo}], schema=schema)
 
     return split
 
 
+def chunks(long: DataFrame, key: str, text_col: str, data, chunk_chars: int) -> DataFrame:
+    """Chunks of giant texts, dealt out one by one, with a transfer matrix made from each row alone."""
+
+    @F.arrow_udf("struct<n_left: int, n_right: int, matrix: binary>")
+    def transfer(stretch: pa.Array, p0: pa.Array, p1: pa.Array) -> pa.Array:
+        p = pieces.load(data.value)
+        mats = [p.transfer(s, a, b) for s, a, b in zip(stretch.to_pylist(), p0.to_pylist(), p1.to_pylist(), strict=True)]
+        columns = [pa.array([m.shape[0] for m in mats], pa.int32()), pa.array([m.shape[1] for m in mats], pa.int32()), pa.array([m.tobytes() for m in mats], pa.binary())]
+        return pa.StructArray.from_arrays(columns, ["n_left", "n_right", "matrix"])
+
+    cut = long.select(key, text_col).mapInArrow(splitter(data, chunk_chars), CHUNK)
+    # A fixed number of partitions: rows are few and small beside their work, and would be put together again.
+    cut = cut.repartition(int(long.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "chunk_no")
+    return cut.withColumn("own", transfer.asNondeterministic()("stretch", "p0", "p1")).select(*cut.columns, "own.*")
+
+
 def scan(part: pd.DataFrame) -> pd.DataFrame:
     """States at both edges of every chunk of one text (its matrices only)."""
     part = part.sort_values("chunk_no")
@@ -127,7 +139,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", chunk_chars
     small = small.select(*kept.columns, F.lit(0).alias("chunk_no"), F.lit(1).alias("n_chunks"), *[f"{part}.{c}" for c in added])
 
     long = stash(kept.filter(giant).withColumn(key, F.monotonically_increasing_id()))
-    parts = stash(long.select(key, text_col).mapInArrow(splitter(data, chunk_chars), PART))
+    parts = stash(chunks(long, key, text_col, data, chunk_chars))
     states = parts.select("key", "chunk_no", "n_left", "n_right", "matrix").groupBy("key").applyInPandas(scan, "key bigint, chunk_no int, entry int, leave int")
     done = parts.drop("matrix", "n_left", "n_right").join(states, ["key", "chunk_no"])
     done = done.select("key", "chunk_no", "n_chunks", one.asNondeterministic()(*[F.col(c) for c in ("stretch", "p0", "p1", "origin", "entry", "leave")]).alias("done"))

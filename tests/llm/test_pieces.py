@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as pb
 
 import corpus_pipeline
@@ -140,3 +141,13 @@ def test_codec(odd_docs, no_docs, library, chunk):
             assert "".join(p["text"] for p in parts) == text
     assert max(r["n_chunks"] for r in rows) == -(-(len(LONG) + 1) // chunk)
     assert sentencepiece_codec.encode(no_docs, corpus_pipeline.MODEL_PATH).count() == 0
+
+
+def test_chunks_of_one_text_are_work_of_many_tasks(spark, library):
+    data = spark.sparkContext.broadcast(DATA)
+    long = spark.createDataFrame([(1, LONG)], "key bigint, text string").coalesce(1)
+    rows = sentencepiece_codec.chunks(long, "key", "text", data, 1000).withColumn("task", F.spark_partition_id()).collect()
+    assert [r["chunk_no"] for r in sorted(rows, key=lambda r: r["chunk_no"])] == list(range(151))
+    assert len({r["task"] for r in rows}) > 1
+    p = pieces.Pieces(DATA)
+    assert all(r["matrix"] == p.transfer(r["stretch"], r["p0"], r["p1"]).tobytes() and len(r["stretch"]) <= 1000 + 4 * p.longest for r in rows)
