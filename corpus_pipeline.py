@@ -39,10 +39,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document; giant documents have a row for each chunk."""
+    """Token ids of every document, decoded again and compared; giant documents have a row for each chunk."""
     prepare(spark)
-    ids = sentencepiece_codec.encode(docs, MODEL_PATH, cached_words=CACHED_WORDS)
-    return ids.select("doc_id", "lang", "source", "chunk_no", "n_chunks", F.size("ids").cast("long").alias("n_ids"), "ids")
+    ids = sentencepiece_codec.encode(docs, MODEL_PATH, cached_words=CACHED_WORDS, round_trip=True)
+    return ids.select("doc_id", "lang", "source", "chunk_no", "n_chunks", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
 
 
 STAGES = [("quality", quality), ("exact_duplicates", exact_duplicates), ("near_duplicates", near_duplicates), ("mixed", mixed), ("encoded", encoded)]

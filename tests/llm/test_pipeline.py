@@ -122,3 +122,8 @@ def test_mixed_stage_keeps_a_source_of_one_long_text(spark):
     assert 0 < target["one"] < 2500
     got = Counter(r["source"] for r in mixing.repeat(docs, weights=(100, 1, 1), volume=0.2).collect())
     assert got["one"] == 1 and got["none"] == 0 and got["big"] > 0
+
+
+def test_encoded_stage_decodes_again(stages):
+    rows = stages[5].select("round_trip").collect()
+    assert rows and all(r["round_trip"] for r in rows)
