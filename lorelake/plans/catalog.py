@@ -312,13 +312,23 @@ def split_front_matter(spark, sf):
                        "body_offset")
 
 
-@query
-def inspected_documents(spark, sf):
-    return _docs(_inspected(spark, sf)).where("part_key IS NOT NULL").select(
+def _document_rows(documents):
+    return documents.select(
         "location_id", "relative_path", "kind", "title", "description", "type", _joined("tags"), "headings_text", "metadata_text",
         "status", "trust_tier", "stale_after", "timestamp", "finding_count", "is_conformant")
 
 
+@query
+def inspected_documents(spark, sf):
+    return _document_rows(_docs(_inspected(spark, sf)).where("part_key IS NOT NULL"))
+
+
+@query
+def inspected_root_indexes(spark, sf):
+    """The root index files, which ``inspected_documents`` and its SQL leave out."""
+    return _document_rows(_docs(_inspected(spark, sf)).where("part_key IS NULL"))
+
+
 @query
 def inspected_links(spark, sf):
     return _links(_stored(spark, sf)).select(

@@ -376,6 +376,9 @@ ORACLES: dict[str, str] = {
         WHEN 8 THEN 'status draft' WHEN 9 THEN 'resource ../../outside.md' END, CASE k % 3 WHEN 0 THEN 'verified by human:a at 2024-01-03' WHEN 1 THEN 'verified by process:n at 2024-01-03' END,
         CASE WHEN k % 7 = 0 THEN 'generated at 2024-01-05T00:00:00Z' END) END AS metadata_text,
       status, trust_tier, stale_after, timestamp, finding_count::BIGINT AS finding_count, r NOT IN (0, 1, 2) AS is_conformant FROM pdocs""",
+    "inspected_root_indexes": f"""WITH {PARTS}, {ROOTS} SELECT location_id, 'index.md' AS relative_path, 'index' AS kind, 'Bundle of ' || n::VARCHAR AS title, NULL::VARCHAR AS description,
+      NULL::VARCHAR AS type, '' AS tags, 'Bundle of ' || n::VARCHAR AS headings_text, CASE WHEN location_id = 'b0' THEN 'okf_version 0.2' ELSE '' END AS metadata_text, NULL::VARCHAR AS status,
+      NULL::VARCHAR AS trust_tier, NULL::VARCHAR AS stale_after, NULL::VARCHAR AS timestamp, 0::BIGINT AS finding_count, TRUE AS is_conformant FROM roots""",
     "inspected_links": f"WITH {PLINKS} SELECT * FROM plinks",
     "document_findings": f"""WITH {FINDINGS} SELECT *, NULL::INT AS start_line FROM fndx""",
     "bundle_findings": f"""WITH {FINDINGS}, x AS (SELECT location_id, code, severity, tier FROM fndx UNION ALL SELECT location_id, 'OKF_LINK_BROKEN', 'warning', 'hygiene' FROM parts WHERE k % 11 = 0
