@@ -14,12 +14,18 @@ from lorelake.llm import (
     mixing,
     ngram_join,
     quality_rules,
+    retrieval_packing,
     sentencepiece_codec,
     sharding,
+    term_ranking,
     token_counts,
+    vector_codes,
 )
 from lorelake.llm.common import documents, labels
 
+# Where the public tokenizer files are; a parameter of the operators.
+WORD_TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+
 
 def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards, row counts at most one apart."""
@@ -84,9 +90,30 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_crf.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows of 4096 ids, each filled with lexical neighbours of its seed."""
+    pieces = retrieval_packing.pack(documents(spark, sf_dir), WORD_TOKENIZER)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings in 8 parts of 16 entries after 6 rounds."""
+    rows, books = vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    rows = vector_codes.with_label_error(rows)
+    return rows.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return term_ranking.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_shards, op2_token_counts, op3_licenses, op4_quality_rules, op5_sentencepiece, op6_mix, op7_exact_dedup, op8_ngram_join, op9_quality, op10_language)
+    for f in (
+        op1_shards, op2_token_counts, op3_licenses, op4_quality_rules, op5_sentencepiece, op6_mix, op7_exact_dedup, op8_ngram_join, op9_quality, op10_language,
+        op11_pack, op12_vector_codes, op13_ranked_search,
+    )
 } | {"pipeline": corpus_pipeline.run}
 
 def license_sql() -> str:
@@ -123,7 +150,52 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_ba
 FROM d LEFT JOIN al USING (doc_id)"""
 
 
+def vector_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS, scale: int = vector_codes.SCALE) -> str:
+    """Plain Lloyd rounds in SQL: every part against every entry, six times over."""
+    steps = []
+    for k in range(rounds + 1):
+        # Distance and entry in one number: the smallest has the lower index of equal distances.
+        steps.append(f"""a{k} AS MATERIALIZED (
+  SELECT r, s.p, min(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT * {entries} + e) AS m
+  FROM s JOIN c{k} ON c{k}.p = s.p GROUP BY 1, 2)""")
+        if k < rounds:
+            steps.append(f"""n{k} AS (
+  SELECT p, e, i, sum(x[i])::BIGINT AS t, count(*) AS n FROM (SELECT s.p, m % {entries} AS e, x FROM s JOIN a{k} USING (r, p)), width, range(1, w + 1) z(i) GROUP BY 1, 2, 3),
+c{k + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(b.c, c{k}.c) AS c FROM c{k} LEFT JOIN (SELECT p, e, list((t - ((t % n) + n) % n) // n ORDER BY i) AS c FROM n{k} GROUP BY 1, 2) b USING (p, e))""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+width AS MATERIALIZED (SELECT max(len(q)) // {parts} AS w FROM v),
+s AS MATERIALIZED (SELECT r, p, list_slice(q, p * w + 1, (p + 1) * w) AS x FROM v, width, range({parts}) y(p)),
+f AS (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, q) - 1 AS e FROM v),
+c0 AS MATERIALIZED (SELECT p, e, x AS c FROM s JOIN f USING (r) WHERE e < {entries}),
+{", ".join(steps)},
+o AS (SELECT r, string_agg(printf('%02x', (m % {entries})::INT), '' ORDER BY p) AS code, sum(m // {entries})::BIGINT AS error FROM a{rounds} GROUP BY 1),
+h AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM c{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM o JOIN v USING (r), h"""
+
+
+RANKED_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+t AS (SELECT count(*) AS nn, sum(len(ws)) AS ll FROM d WHERE len(ws) > 0),
+i AS MATERIALIZED (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+f AS MATERIALIZED (SELECT r, w, count(*) AS tf FROM (SELECT r, unnest(ws) AS w FROM d) WHERE w IN (SELECT w FROM i) GROUP BY 1, 2),
+g AS (SELECT w, CAST(floor(1000 * ln((2 * any_value(nn) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM f, t GROUP BY 1),
+m AS (SELECT r, doc_id, CAST(50 + (50 * len(ws) * nn) // ll AS BIGINT) AS m FROM d, t WHERE len(ws) > 0),
+s AS (
+  SELECT item_id, doc_id, r, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM f JOIN g USING (w) JOIN m USING (r) JOIN i USING (w) GROUP BY 1, 2, 3)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50"""
+
+
 ORACLES = {
+    "op12_vector_codes": vector_sql(),
+    "op13_ranked_search": RANKED_SQL,
     "op3_licenses": license_sql(),
     "op7_exact_dedup": r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
