@@ -36,34 +36,46 @@ from lorelake.llm import word_ids
 from lorelake.llm.common import fresh, stash, text_key
 
 WINDOW, END_ID = 4096, 2
-SHARD_TOKENS, PART_TOKENS = 1 << 21, 1 << 23
+SHARD_TOKENS, PART_TOKENS = 1 << 20, 1 << 23
 K1, B = 1.2, 0.75
 RANKED = 64  # neighbours that are sorted at first; all others follow if these do not fill the window
-OUT_BYTES = 4 << 20
+STRETCH_BYTES, OUT_BYTES = 8 << 20, 4 << 20  # texts whose words are numbered together; ids in one batch of pieces
 PIECE = "start bigint, length bigint, ids binary, doc_tokens bigint"
 
 
 @functools.lru_cache(maxsize=4)
 def id_hashes(size: int) -> np.ndarray:
     """Two fixed hashes of each id."""
-    return np.random.default_rng(20_240_611).integers(0, 1 << 31, (2, size), dtype=np.int64)
+    return np.random.default_rng(20_240_611).integers(0, 1 << 31, (2, size), dtype=np.uint32)
+
+
+def stretches(batches, most: int):
+    """Consecutive batches put together up to ``most`` bytes, or a single larger one."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def encoder(spec, end_id: int):
-    """Map (row, text) to its ids and the key that brings similar rests together."""
+    """Map (row, text) to its ids and the key that brings similar texts together."""
 
     def run(batches):
         words = word_ids.load(spec.value)
-        kind, end = np.dtype(f"<u{2 if words.code == 'H' else 4}"), words.packed([end_id])
-        hashes = id_hashes(max(words.tokenizer.get_vocab_size(), end_id + 1))
-        for batch in batches:
-            ids, order = [], []
-            for text in batch.column(1).to_pylist():
-                ids.append((words.ids(text) if text else b"") + end)
-                first, second = hashes[:, np.frombuffer(ids[-1], kind)].min(axis=1).tolist()
-                order.append(first << 31 | second)
+        end = np.array([end_id], words.kind)
+        hashes = id_hashes(max(words.size, end_id + 1))
+        for batch in stretches(batches, STRETCH_BYTES):
+            ids, starts = words.ids(batch.column(1))
+            each = [np.concatenate([ids[a:b], end]) for a, b in zip(starts, starts[1:], strict=False)]
+            order = [int(hashes[0][x].min()) << 31 | int(hashes[1][x].min()) for x in each]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) // kind.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(order, pa.int64())],
+                [batch.column(0), pa.array([len(x) for x in each], pa.int64()), pa.array([x.tobytes() for x in each], pa.binary()), pa.array(order, pa.int64())],
                 ["row", "doc_tokens", "packed", "order_key"],
             )
 
@@ -92,15 +104,14 @@ class Shard:
 
     def __init__(self, rests: list[np.ndarray], idf: np.ndarray, mean: float):
         self.lengths = np.array([len(r) for r in rests], np.int64)
-        vocabulary = len(idf)
-        owner = np.repeat(np.arange(len(rests)), self.lengths)
-        cells, tf = np.unique(owner * vocabulary + np.concatenate(rests), return_counts=True)
-        doc, self.terms = cells // vocabulary, cells % vocabulary
-        self.of_doc = np.searchsorted(doc, np.arange(len(rests) + 1))
+        found = [np.unique(r, return_counts=True) for r in rests]
+        self.of_doc = np.concatenate([[0], np.cumsum([len(t) for t, _ in found])])
+        self.terms, tf = np.concatenate([t for t, _ in found]), np.concatenate([n for _, n in found])
+        doc = np.repeat(np.arange(len(rests)), np.diff(self.of_doc))
         weight = idf[self.terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.lengths[doc] / mean))
         by_term = np.argsort(self.terms, kind="stable")
         self.docs, self.weights = doc[by_term], weight[by_term]
-        self.starts = np.searchsorted(self.terms[by_term], np.arange(vocabulary + 1))
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(self.terms, minlength=len(idf)))])
         self.unused = np.ones(len(rests), bool)
         self.indexed = len(rests)
 
@@ -115,10 +126,9 @@ class Shard:
     def neighbours(self, seed: int):
         """Unused rests by falling score, equal scores in order."""
         terms = self.terms[self.of_doc[seed] : self.of_doc[seed + 1]]
-        first = self.starts[terms]
-        count = self.starts[terms + 1] - first
-        at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-        scores = np.bincount(self.docs[at], self.weights[at], len(self.lengths))
+        spans = [slice(a, b) for a, b in zip(self.starts[:-1][terms].tolist(), self.starts[1:][terms].tolist(), strict=True) if a < b]
+        docs, weights = (np.concatenate([x[s] for s in spans] or [x[:0]]) for x in (self.docs, self.weights))
+        scores = np.bincount(docs, weights, len(self.lengths))
         free = np.flatnonzero(self.unused)
         scores = scores[free]
         if len(free) > RANKED:
@@ -202,7 +212,7 @@ def packer(kind: str, window: int, shard_tokens: int, statistics):
                 names = [("row", batch.schema.field(0).type), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence", pa.int64()), ("offset", pa.int64())]
                 schema, out, size = pa.schema(names), [[] for _ in names], 0
             for key, start, doc_tokens, raw in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
-                rest = np.frombuffer(raw, kind).astype(np.int64)
+                rest = np.frombuffer(raw, kind)
                 if held and tokens + len(rest) > shard_tokens:
                     yield from packed()
                     held, rows, tokens = [], [], 0
@@ -257,8 +267,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     with open(tokenizer_path, encoding="utf-8") as file:
         text = file.read()
     words = word_ids.load(text)
-    size = max(words.tokenizer.get_vocab_size(), end_id + 1)
-    kind, width = ("<u2", 2) if words.code == "H" else ("<u4", 4)
+    size, kind, width = max(words.size, end_id + 1), words.kind, words.width
     if end_id >= 1 << 8 * width:
         raise ValueError("the end id is outside of the vocabulary")
     spec = spark.sparkContext.broadcast(text)

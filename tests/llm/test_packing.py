@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -56,7 +57,7 @@ def test_windows_follow_the_plain_rule():
             df[list(set(r))] += 1
         mean = sum(map(len, rests)) / size
         idf = np.log1p((size - df + 0.5) / (df + 0.5))
-        got = list(retrieval_packing.windows([np.array(r, np.int64) for r in rests], idf, mean, window))
+        got = list(retrieval_packing.windows([np.array(r, "<u2") for r in rests], idf, mean, window))
         assert got == plain_windows(rests, df.tolist(), size, mean, window)
 
 
@@ -117,25 +118,30 @@ def test_copies_share_windows(spark):
     assert sum(kinds) / len(kinds) <= 3
 
 
+def ids_of_all(words, texts):
+    ids, starts = words.ids(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)]
+
+
 def test_word_ids_equal_the_library(spark):
     words, ids_of, rng = word_ids.Words(open(PATH, encoding="utf-8").read()), library(), random.Random(3)
     pool = [chr(c) for c in [*range(0x300), 0x307, 0x3A3, 0x3C2, 0xFB01, 0x2028, 0x3000, 0x4E00, 0xAC00, 0x1F600, 0x660]] + ["'s", "'LL", " ", "\n", "<|endoftext|>"] * 30
-    texts = ["".join(rng.choices(pool, k=rng.randint(0, 60))) for _ in range(500)] + ["a" * 100_000, "日本" * 20_000, "a b" * 30_000]
+    texts = ["".join(rng.choices(pool, k=rng.randint(0, 60))) for _ in range(500)] + ["a" * 100_000, "日本" * 20_000, "a b" * 30_000, "", None, " \n "]
+    texts += [t for c in range(0x400) for t in (f"a{chr(c)}b", f"{chr(c)}{chr(c)} '{chr(c)}s", f"A{chr(c)}.")]
     texts += [r["text"] for r in documents(spark, "/root/testdata/sf0.001").collect()]
     assert words.by_word
-    for t in texts:
-        assert np.frombuffer(words.ids(t), "<u2").tolist() == ids_of(t)
+    assert ids_of_all(words, texts) == [ids_of(t) for t in texts]
+    assert ids_of_all(words, []) == [] and ids_of_all(words, [None]) == [[]]
     words.by_word = False
-    assert np.frombuffer(words.ids("Some Text, it's"), "<u2").tolist() == ids_of("Some Text, it's")
+    assert ids_of_all(words, ["Some Text, it's", None]) == [ids_of("Some Text, it's"), []]
 
 
-def test_caches_are_bounded(monkeypatch):
-    monkeypatch.setattr(word_ids, "MAX_WORDS", 50)
-    monkeypatch.setattr(word_ids, "MAX_PARTS", 50)
-    words, ids_of = word_ids.Words(open(PATH, encoding="utf-8").read()), library()
-    text = " ".join(f"w{i % 300}x" for i in range(2000))
-    assert np.frombuffer(words.ids(text), "<u2").tolist() == ids_of(text)
-    assert len(words.words) <= 50 and len(words.older) <= 50 and len(words.parts) <= 50
+def test_caches_are_bounded():
+    words, ids_of = word_ids.Words(open(PATH, encoding="utf-8").read(), most=50), library()
+    texts = [" ".join(f"w{'abc'[i % 3]}{'xyzuv'[i % 5] * (i % 40)}" for i in range(2000)), "k" * 1000]
+    for _ in range(2):
+        assert ids_of_all(words, texts) == [ids_of(t) for t in texts]
+        assert 0 < len(words.parts) <= 50 and len(words.older) <= 50 and "k" * 1000 not in words.parts
 
 
 def test_order_key_is_the_same_for_equal_texts(spark):
