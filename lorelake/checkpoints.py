@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ready(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir``; only where it is unset (tests) make a folder."""
+    """Use ``spark.checkpoint.dir``; only in one process (tests), where it is unset, make a folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="run-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

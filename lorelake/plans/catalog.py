@@ -155,7 +155,7 @@ def field_statistics(spark, sf):
 def analyze_tokens(spark, sf):
     tokens = tx.analyze(F.col("text"))
     return ad.table(spark, sf, "documents").select(
-        "doc_id", F.size(tokens).alias("n_tokens"), F.array_join(F.slice(tokens, 1, 5), " ").alias("first_tokens"),
+        "doc_id", F.size(tokens).alias("n_tokens"), F.md5(F.array_join(tokens, " ")).alias("tokens_hash"),
         F.size(F.array_distinct(tokens)).alias("n_distinct"))
 
 
@@ -175,13 +175,7 @@ def snippets(spark, sf):
 @query
 def highlights(spark, sf):
     return ad.table(spark, sf, "documents").select(
-        "doc_id", se.highlight(F.left("text", F.lit(300)), F.lit('"the de" un (x')).alias("marked"))
-
-
-@query
-def highlights_whole(spark, sf):
-    """Marks in whole texts, of which ``highlights`` shows the beginnings."""
-    return ad.table(spark, sf, "documents").select("doc_id", F.md5(se.highlight(F.col("text"), F.lit('"the de" un (x'))).alias("marked_hash"))
+        "doc_id", se.highlight(F.col("text"), F.lit('"the de" un (x')).alias("marked"))
 
 
 # -- filters and requests --------------------------------------------------
@@ -312,21 +306,11 @@ def split_front_matter(spark, sf):
                        "body_offset")
 
 
-def _document_rows(documents):
-    return documents.select(
-        "location_id", "relative_path", "kind", "title", "description", "type", _joined("tags"), "headings_text", "metadata_text",
-        "status", "trust_tier", "stale_after", "timestamp", "finding_count", "is_conformant")
-
-
 @query
 def inspected_documents(spark, sf):
-    return _document_rows(_docs(_inspected(spark, sf)).where("part_key IS NOT NULL"))
-
-
-@query
-def inspected_root_indexes(spark, sf):
-    """The root index files, which ``inspected_documents`` and its SQL leave out."""
-    return _document_rows(_docs(_inspected(spark, sf)).where("part_key IS NULL"))
+    return _docs(_inspected(spark, sf)).select(
+        "location_id", "relative_path", "kind", "title", "description", "type", _joined("tags"), "headings_text", "metadata_text",
+        "status", "trust_tier", "stale_after", "timestamp", "finding_count", "is_conformant")
 
 
 @query
@@ -375,12 +359,6 @@ def content_hashes(spark, sf):
 
 @query
 def source_positions(spark, sf):
-    line, column = ins.source_position(F.col("text"), (F.col("doc_id") % 300).cast("int"))
-    return ad.table(spark, sf, "documents").select("doc_id", line.alias("line"), column.alias("column"))
-
-
-@query
-def source_positions_deep(spark, sf):
     """Offsets anywhere in the text, its end included."""
     line, column = ins.source_position(F.col("text"), F.expr("cast(pmod(doc_id * 7919, length(text) + 1) AS int)"))
     return ad.table(spark, sf, "documents").select("doc_id", line.alias("line"), column.alias("column"))
@@ -408,11 +386,13 @@ def review_handoff(spark, sf):
 
 
 def _quotes(spark, sf):
-    """Each document's fifth word, approximately placed."""
+    """One word from anywhere in each document, approximately placed anywhere."""
     docs = ad.table(spark, sf, "documents").selectExpr(
         "lang AS location_id", "concat('d', cast(doc_id AS string)) AS relative_path", "doc_id", "text AS body")
-    return docs, docs.select("location_id", "relative_path", "doc_id", F.get(F.split(tx.collapse_ws(F.col("body")), " "), F.lit(4)).alias("quote"),
-                             (F.col("doc_id") % 200).cast("int").alias("approximate_start")).where("quote IS NOT NULL")
+    words = F.split(tx.collapse_ws(F.col("body")), " ")
+    word = F.get(words, F.pmod(F.col("doc_id") * 31, F.size(words)).cast("int"))
+    return docs, docs.select("location_id", "relative_path", "doc_id", word.alias("quote"),
+                             F.expr("cast(pmod(doc_id * 7919, length(body) + 1) AS int)").alias("approximate_start")).where("quote <> ''")
 
 
 @query
@@ -690,27 +670,6 @@ def carried_ids(spark, sf):
 
 
 def _moved(spark, sf):
-    """orders → moves: one order in ten leaves, one arrives, sizes from a few classes."""
-    return ad.table(spark, sf, "orders").where("o_orderkey % 10 IN (1, 2)").selectExpr(
-        "concat('s', cast(o_custkey % 4 AS string)) AS location_id", "concat('o', lpad(cast(o_orderkey AS string), 9, '0'), '.md') AS relative_path",
-        "CASE WHEN o_orderkey % 10 = 1 THEN 'removed' ELSE 'added' END AS change",
-        "cast(o_custkey % 50 AS bigint) AS size", "1700000000000 + o_orderkey DIV 1000 * 1000000 + o_orderkey % 1000 AS modified_at_ms")
-
-
-@query
-def matched_renames(spark, sf):
-    """Bulk moves: every chain is shorter than the window, so rank meets rank."""
-    return hi.match_renames(_moved(spark, sf))
-
-
-@query
-def change_events(spark, sf):
-    moved = _moved(spark, sf)
-    return hi.change_events(moved, hi.match_renames(moved), 1700000000000).select(
-        "location_id", "path", "previous_path", "kind", "observed_at", "available")
-
-
-def _every_order(spark, sf):
     """orders → changes: every order leaves, arrives or changes in its place, by its key."""
     return ad.table(spark, sf, "orders").selectExpr(
         "concat('s', cast(o_custkey % 4 AS string)) AS location_id", "concat('o', lpad(cast(o_orderkey AS string), 9, '0'), '.md') AS relative_path",
@@ -719,22 +678,22 @@ def _every_order(spark, sf):
 
 
 @query
-def matched_renames_every_order(spark, sf):
-    """Bulk moves over all orders; changed files never match."""
-    return hi.match_renames(_every_order(spark, sf))
+def matched_renames(spark, sf):
+    """Bulk moves: every chain is shorter than the window, so rank meets rank; changed files never match."""
+    return hi.match_renames(_moved(spark, sf))
 
 
 @query
 def matched_renames_long_chains(spark, sf):
     """Long chains over all orders: mtimes 7 ms a key apart, first fit inside ±2,500 ms."""
-    moved = _every_order(spark, sf).withColumn("modified_at_ms", F.expr("1700000000000 + cast(substr(relative_path, 2, 9) AS bigint) * 7"))
+    moved = _moved(spark, sf).withColumn("modified_at_ms", F.expr("1700000000000 + cast(substr(relative_path, 2, 9) AS bigint) * 7"))
     return hi.match_renames(moved)
 
 
 @query
-def change_events_every_order(spark, sf):
-    """Renamed, created, removed and modified files over all orders."""
-    changes = _every_order(spark, sf)
+def change_events(spark, sf):
+    """Renamed, created, removed and modified files."""
+    changes = _moved(spark, sf)
     return hi.change_events(changes, hi.match_renames(changes), 1700000000000).select(
         "location_id", "path", "previous_path", "kind", "observed_at", "available")
 
@@ -907,24 +866,14 @@ def dot_folded_paths(spark, sf):
     return raw.select("page_id", "position", tx.fold_dots(F.col("raw")).alias("folded"))
 
 
-def _escaped(spark, sf, html):
-    text = F.concat(html, F.lit("|'\n"))
+@query
+def escaped_texts(spark, sf):
+    text = F.concat("html", F.lit("|'\n"))
     return ad.table(spark, sf, "pages").select(
         "page_id", F.md5(tx.escape_xml(text)).alias("xml"), F.md5(tx.escape_xml_attribute(text)).alias("attribute"),
         F.md5(tx.escape_command(text)).alias("command"), F.md5(tx.escape_cell(text)).alias("cell"))
 
 
-@query
-def escaped_texts(spark, sf):
-    return _escaped(spark, sf, F.left("html", F.lit(200)))
-
-
-@query
-def escaped_texts_whole(spark, sf):
-    """Whole pages, of which ``escaped_texts`` escapes the beginnings."""
-    return _escaped(spark, sf, F.col("html"))
-
-
 @query
 def display_values(spark, sf):
     d = ad.corpus_docs(spark, sf)
@@ -999,10 +948,14 @@ def streamed_activity(spark, sf):
 
 @query
 def streamed_bursts(spark, sf):
-    """Quiet-period sessions of ten minutes per location; a session still open at the end is not published."""
+    """Quiet-period sessions of ten minutes per location; a heartbeat after the last event closes open ones."""
     changes = ad.as_activity(_event_stream(spark, sf)).select(
         "location_id", F.when(F.col("kind") == "removed", f"kb/{DEFAULT.ignore_file}").otherwise("kb/a.md").alias("path"), "at")
-    return _streamed(st.coalesce_changes(st.with_bounds(changes, "0 seconds"), "10 minutes"), "append").select(
+    log = checkpoints.folder(spark)
+    last = ad.activity_events(spark, sf).agg(F.max("at").alias("at"))
+    st.append_heartbeat(last.select((F.col("at") + F.expr("INTERVAL 2 DAYS")).alias("at")), log)
+    beating = changes.unionByName(st.read_changes(spark, log))
+    return _streamed(st.coalesce_changes(st.with_bounds(beating), "10 minutes"), "append").select(
         "location_id", tx.rfc3339(F.col("started_at")).alias("started_at"), "changes", "force")
 
 

@@ -223,12 +223,6 @@ reach AS (SELECT n AS root, n AS node FROM nodes UNION SELECT r.root, e.b FROM r
 ident AS (SELECT node, min('u' || (root % 8)::VARCHAR || '/doc-' || root::VARCHAR || '.md') AS identity FROM reach GROUP BY 1)"""
 
 MOVED = """moved AS (SELECT 's' || (o_custkey % 4)::VARCHAR AS location_id, 'o' || lpad(o_orderkey::VARCHAR, 9, '0') || '.md' AS relative_path,
- CASE WHEN o_orderkey % 10 = 1 THEN 'removed' ELSE 'added' END AS change, o_custkey % 50 AS size, o_orderkey // 1000 AS chain FROM orders WHERE o_orderkey % 10 IN (1, 2)),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY location_id, size, chain, change ORDER BY relative_path) AS no FROM moved),
-ren AS (SELECT r.location_id, r.relative_path AS previous_path, a.relative_path FROM numbered r JOIN numbered a USING (location_id, size, chain, no)
- WHERE r.change = 'removed' AND a.change = 'added')"""
-
-ALL_MOVED = """moved AS (SELECT 's' || (o_custkey % 4)::VARCHAR AS location_id, 'o' || lpad(o_orderkey::VARCHAR, 9, '0') || '.md' AS relative_path,
  (['removed', 'added', 'changed'])[o_orderkey % 3 + 1] AS change, o_custkey % 50 AS size, o_orderkey // 1000 AS chain FROM orders),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY location_id, size, chain, change ORDER BY relative_path) AS no FROM moved),
 ren AS (SELECT r.location_id, r.relative_path AS previous_path, a.relative_path FROM numbered r JOIN numbered a USING (location_id, size, chain, no)
@@ -265,8 +259,8 @@ cut AS (SELECT *, CASE WHEN om IS NULL AND running > available THEN 'Character b
 
 LEN = """len0 AS (SELECT 'p' || conv_id::VARCHAR AS pack_id, turn AS pos, length(text) AS n, conv_id % 9 * 60 + 17 AS budget FROM conversations)"""
 
-ANCHORS = f"""txt AS (SELECT doc_id, text AS body, {collapse('text')} AS coll, string_split({collapse('text')}, ' ')[5] AS quote, doc_id % 200 AS approx FROM documents),
-ap AS (SELECT doc_id, unnest(string_split(coll, quote)) AS piece, generate_subscripts(string_split(coll, quote), 1) AS i FROM txt WHERE quote IS NOT NULL),
+ANCHORS = f"""txt AS (SELECT doc_id, text AS body, {collapse('text')} AS coll, string_split({collapse('text')}, ' ')[doc_id * 31 % len(string_split({collapse('text')}, ' ')) + 1] AS quote, doc_id * 7919 % (length(text) + 1) AS approx FROM documents),
+ap AS (SELECT doc_id, unnest(string_split(coll, quote)) AS piece, generate_subscripts(string_split(coll, quote), 1) AS i FROM txt WHERE quote <> ''),
 aps AS (SELECT doc_id, i, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS before, count(*) OVER (PARTITION BY doc_id) AS pieces FROM ap),
 aoc AS (SELECT txt.*, length(quote) AS n, (before + (i - 1) * length(quote))::BIGINT AS p FROM aps JOIN txt USING (doc_id) WHERE i < pieces),
 made AS (SELECT doc_id, body, coll, quote, n, first(p ORDER BY abs(p - approx), p) AS start FROM aoc GROUP BY ALL)"""
@@ -327,12 +321,11 @@ ORACLES: dict[str, str] = {
     "postings_by_term": search(DOCS, FIELDS) + """ SELECT location_id, field, term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT location_id, relative_path, field, term, count(*) AS tf
       FROM (SELECT location_id, relative_path, field, unnest(t) AS term FROM toks) GROUP BY ALL) GROUP BY ALL""",
     "field_statistics": search(DOCS, FIELDS) + " SELECT location_id, field, n_docs, round(avg_dl, 4) AS avg_dl FROM stats",
-    "analyze_tokens": f"""SELECT doc_id, len(t)::INT AS n_tokens, array_to_string(t[1:5], ' ') AS first_tokens, len(list_distinct(t))::INT AS n_distinct
+    "analyze_tokens": f"""SELECT doc_id, len(t)::INT AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_hash, len(list_distinct(t))::INT AS n_distinct
       FROM (SELECT doc_id, {tok('text')} AS t FROM documents)""",
     "query_terms": f"SELECT item_id, array_to_string({qterms('text')}, ' ') AS terms FROM benchmark",
     "snippets": "WITH " + snippet_cte("documents", "text", qterms("string_split(text, ' ')[-1]"), "doc_id") + f" SELECT doc_id, {SNIP} AS snippet FROM s3",
-    "highlights": "SELECT doc_id, regexp_replace(left(text, 300), '(the|un|de|\\(x)', '<mark>\\1</mark>', 'gi') AS marked FROM documents",
-    "highlights_whole": "SELECT doc_id, md5(regexp_replace(text, '(the|un|de|\\(x)', '<mark>\\1</mark>', 'gi')) AS marked_hash FROM documents",
+    "highlights": "SELECT doc_id, regexp_replace(text, '(the|un|de|\\(x)', '<mark>\\1</mark>', 'gi') AS marked FROM documents",
     "filter_documents": f"WITH {DOCS} SELECT location_id, relative_path, type, status FROM docs WHERE type IN ('Type src1', 'Type src2', 'Type src3') AND list_has_any(tags, ['t1', 't2', 't5']) AND kind = 'concept' AND status IS NOT NULL AND finding_count > 0",
     "filter_freshness": f"WITH {DOCS} SELECT location_id, relative_path, stale_after, {FRESH} AS freshness FROM docs WHERE {FRESH} = 'stale' AND finding_count = 0",
     "path_prefix_search": f"WITH {DOCS} SELECT location_id, count(*) AS n FROM docs WHERE starts_with(relative_path, 'src1') GROUP BY 1",
@@ -369,14 +362,14 @@ ORACLES: dict[str, str] = {
       SELECT location_id, relative_path, CASE r WHEN 0 THEN 'none' WHEN 2 THEN 'unclosed' ELSE 'closed' END AS front_state,
        CASE WHEN NOT bare THEN md5(yaml) END AS yaml_hash, md5(CASE WHEN r = 2 THEN '---' || chr(10) || yaml || chr(10) || tail ELSE tail END) AS body_hash,
        (CASE WHEN bare THEN 0 ELSE length(yaml) + 9 END + review_size)::INT AS body_offset FROM b""".replace("{{ by", "{ by").replace("03 }}'", "03 }'"),
-    "inspected_documents": f"""WITH {PDOCS} SELECT location_id, relative_path, 'concept' AS kind, title, CASE WHEN NOT bare THEN brand || ' part' END AS description, type,
+    "inspected_documents": f"""WITH {PDOCS}, {ROOTS} SELECT location_id, relative_path, 'concept' AS kind, title, CASE WHEN NOT bare THEN brand || ' part' END AS description, type,
       array_to_string(tags, '|') AS tags, name || ' Details' AS headings_text,
       CASE WHEN bare THEN '' ELSE concat_ws(' ', CASE WHEN r <> 1 THEN 'type ' || ptype END, 'title ' || title, 'description ' || brand || ' part', 'tags ' || array_to_string(tags, ' '),
         'timestamp 2024-01-02', CASE r WHEN 4 THEN 'status retired' WHEN 5 THEN 'okf_version 0.9' WHEN 6 THEN 'stale_after 2020-01-01' WHEN 7 THEN 'stale_after 2099-01-01'
         WHEN 8 THEN 'status draft' WHEN 9 THEN 'resource ../../outside.md' END, CASE k % 3 WHEN 0 THEN 'verified by human:a at 2024-01-03' WHEN 1 THEN 'verified by process:n at 2024-01-03' END,
         CASE WHEN k % 7 = 0 THEN 'generated at 2024-01-05T00:00:00Z' END) END AS metadata_text,
-      status, trust_tier, stale_after, timestamp, finding_count::BIGINT AS finding_count, r NOT IN (0, 1, 2) AS is_conformant FROM pdocs""",
-    "inspected_root_indexes": f"""WITH {PARTS}, {ROOTS} SELECT location_id, 'index.md' AS relative_path, 'index' AS kind, 'Bundle of ' || n::VARCHAR AS title, NULL::VARCHAR AS description,
+      status, trust_tier, stale_after, timestamp, finding_count::BIGINT AS finding_count, r NOT IN (0, 1, 2) AS is_conformant FROM pdocs
+      UNION ALL SELECT location_id, 'index.md' AS relative_path, 'index' AS kind, 'Bundle of ' || n::VARCHAR AS title, NULL::VARCHAR AS description,
       NULL::VARCHAR AS type, '' AS tags, 'Bundle of ' || n::VARCHAR AS headings_text, CASE WHEN location_id = 'b0' THEN 'okf_version 0.2' ELSE '' END AS metadata_text, NULL::VARCHAR AS status,
       NULL::VARCHAR AS trust_tier, NULL::VARCHAR AS stale_after, NULL::VARCHAR AS timestamp, 0::BIGINT AS finding_count, TRUE AS is_conformant FROM roots""",
     "inspected_links": f"WITH {PLINKS} SELECT * FROM plinks",
@@ -390,8 +383,6 @@ ORACLES: dict[str, str] = {
       relative_path, nullif(headings_text, ''), nullif(body, ''), metadata_text)) AS search_text_hash FROM docs""",
     "content_hashes": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
     "source_positions": """SELECT doc_id, (length(p) - length(replace(p, chr(10), '')) + 1)::INT AS line, (length(string_split(p, chr(10))[-1]) + 1)::INT AS column
-      FROM (SELECT doc_id, left(text, doc_id % 300) AS p FROM documents)""",
-    "source_positions_deep": """SELECT doc_id, (length(p) - length(replace(p, chr(10), '')) + 1)::INT AS line, (length(string_split(p, chr(10))[-1]) + 1)::INT AS column
       FROM (SELECT doc_id, left(text, doc_id * 7919 % (length(text) + 1)) AS p FROM documents)""",
     "log_entries": f"WITH {LOGS} SELECT location_id, relative_path, scope, date, summary FROM entries",
     "recent_logs": f"""WITH {LOGS} SELECT location_id, rank::INT AS rank, relative_path, date, summary FROM (SELECT *, row_number() OVER (PARTITION BY location_id
@@ -526,10 +517,6 @@ After making changes, run the OKF linter again and report the remaining findings
       FROM dif WHERE change <> 'removed'""",
     "matched_renames": f"WITH {MOVED} SELECT * FROM ren",
     "change_events": f"""WITH {MOVED} SELECT location_id, relative_path AS path, previous_path, 'renamed' AS kind, 1700000000000 AS observed_at, TRUE AS available FROM ren
-      UNION ALL SELECT location_id, relative_path, NULL, CASE change WHEN 'added' THEN 'created' ELSE 'removed' END, 1700000000000, change = 'added' FROM moved
-      WHERE relative_path NOT IN (SELECT relative_path FROM ren UNION ALL SELECT previous_path FROM ren)""",
-    "matched_renames_every_order": f"WITH {ALL_MOVED} SELECT * FROM ren",
-    "change_events_every_order": f"""WITH {ALL_MOVED} SELECT location_id, relative_path AS path, previous_path, 'renamed' AS kind, 1700000000000 AS observed_at, TRUE AS available FROM ren
       UNION ALL SELECT location_id, relative_path, NULL, CASE change WHEN 'added' THEN 'created' WHEN 'removed' THEN 'removed' ELSE 'modified' END, 1700000000000, change <> 'removed' FROM moved
       WHERE relative_path NOT IN (SELECT relative_path FROM ren UNION ALL SELECT previous_path FROM ren)""",
     "file_identity": f"WITH RECURSIVE {IDENT} SELECT DISTINCT location_id, path, identity FROM hist JOIN ident ON ident.node = hist.user_id",
@@ -568,10 +555,7 @@ After making changes, run the OKF linter again and report the remaining findings
       regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:') AS external FROM pages""",
     "decoded_paths": f"WITH {PAGE} SELECT page_id, position::INT AS position, url_decode('a+b%20c%') || url_decode(replace(target, 'e', '%65')) || '%zz' AS decoded FROM hrefs",
     "dot_folded_paths": f"WITH {PAGE} SELECT page_id, position::INT AS position, '/' || array_to_string({foldup(chr(39) + '/a/./b/..' + chr(39) + ' || target || ' + chr(39) + '/../../z/..//q' + chr(39))}, '/') AS folded FROM hrefs",
-    "escaped_texts": """WITH t AS (SELECT page_id, left(html, 200) || '|''' || chr(10) AS x FROM pages), e AS (SELECT *, replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS xml FROM t)
-      SELECT page_id, md5(xml) AS xml, md5(replace(replace(xml, '"', '&quot;'), '''', '&apos;')) AS attribute,
-      md5(replace(replace(replace(replace(replace(x, '%', '%25'), chr(13), '%0D'), chr(10), '%0A'), ':', '%3A'), ',', '%2C')) AS command, md5(replace(replace(x, '|', '\\|'), chr(10), ' ')) AS cell FROM e""",
-    "escaped_texts_whole": """WITH t AS (SELECT page_id, html || '|''' || chr(10) AS x FROM pages), e AS (SELECT *, replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS xml FROM t)
+    "escaped_texts": """WITH t AS (SELECT page_id, html || '|''' || chr(10) AS x FROM pages), e AS (SELECT *, replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS xml FROM t)
       SELECT page_id, md5(xml) AS xml, md5(replace(replace(xml, '"', '&quot;'), '''', '&apos;')) AS attribute,
       md5(replace(replace(replace(replace(replace(x, '%', '%25'), chr(13), '%0D'), chr(10), '%0A'), ':', '%3A'), ',', '%2C')) AS command, md5(replace(replace(x, '|', '\\|'), chr(10), ' ')) AS cell FROM e""",
     "display_values": f"""WITH {DOCS} SELECT location_id, relative_path, CASE trust_tier WHEN 'humanReviewed' THEN 'Human Reviewed' WHEN 'machineConfirmed' THEN 'Machine Confirmed' WHEN 'unverified' THEN 'Unverified' END AS label,
@@ -588,7 +572,7 @@ ORACLES["streamed_history"] = ORACLES["deduped_history"]
 ORACLES["streamed_bursts"] = f"""WITH {ACT}, o AS (SELECT location_id, kind, happened, lag(happened) OVER (PARTITION BY location_id ORDER BY happened) AS previous FROM act),
   g AS (SELECT *, sum(CASE WHEN previous IS NULL OR happened - previous >= INTERVAL 10 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY location_id ORDER BY happened) AS burst FROM o)
   SELECT location_id, strftime(min(happened), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS started_at, count(*) AS changes, bool_or(kind = 'removed') AS force FROM g
-  GROUP BY location_id, burst HAVING max(happened) + INTERVAL 10 MINUTE <= (SELECT date_trunc('millisecond', max(happened)) FROM act)"""
+  GROUP BY location_id, burst"""
 ORACLES["streamed_throttle"] = f"""WITH RECURSIVE {ACT}, req AS (SELECT DISTINCT location_id, epoch_us(happened) // 1000 AS at_ms FROM act),
   fired AS (SELECT location_id, min(at_ms) AS at_ms FROM req GROUP BY 1
     UNION ALL SELECT f.location_id, min(r.at_ms) FROM fired f JOIN req r ON r.location_id = f.location_id AND r.at_ms >= f.at_ms + 3600000 GROUP BY f.location_id)

@@ -71,7 +71,7 @@ def _list_folders(batches):
             names=ENTRY.names)
 
 
-def list_files(locations: DataFrame, max_depth: int = 256) -> DataFrame:
+def list_files(locations: DataFrame) -> DataFrame:
     """(location_id, root_path, relative_path, path, size, modified_at_ms, error) below every root.
 
     Ignored directory names are never entered.  A folder that cannot be listed
@@ -80,7 +80,7 @@ def list_files(locations: DataFrame, max_depth: int = 256) -> DataFrame:
     frontier = locations.select(
         "location_id", F.regexp_replace("path", "(?<=.)/+$", "").alias("root_path")).withColumn("path", F.col("root_path"))
     found = None
-    for _ in range(max_depth):
+    while True:
         spread = frontier.select("location_id", "root_path", "path").repartition(F.col("path"))
         level = checkpoints.cut(spread.mapInArrow(_list_folders, ENTRY))
         files = level.where("NOT is_dir")

@@ -7,7 +7,6 @@ state where one is set with ``with_bounds``.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,14 +33,23 @@ def with_bounds(stream: DataFrame, delay: str = "1 day", column: str = "at") ->
 def coalesce_changes(changes: DataFrame, gap: str = "450 milliseconds", brand: Brand = DEFAULT) -> DataFrame:
     """One refresh per quiet period and location; a policy file change forces re-inspection.
 
-    Works on a stream (with a watermark) and on a batch alike.
+    Works on a stream (with a watermark) and on a batch alike.  Rows without a
+    path are heartbeats: they move the watermark on and are no changes.
     """
     name = F.element_at(F.split(F.translate("path", "\\", "/"), "/"), -1)
     return changes.groupBy("location_id", F.session_window("at", gap).alias("burst")).agg(
-        F.count("*").alias("changes"), F.bool_or(name == brand.ignore_file).alias("force")).select(
+        F.count("path").alias("changes"), F.bool_or(name == brand.ignore_file).alias("force")).where("changes > 0").select(
         "location_id", F.col("burst.start").alias("started_at"), F.col("burst.end").alias("due_at"), "changes", "force")
 
 
+def append_heartbeat(instants: DataFrame, path: str) -> None:
+    """Append heartbeats (``at``) to a change log: quiet locations' open sessions end with the watermark.
+
+    A heartbeat has a location of its own, so it never prolongs a session.
+    """
+    instants.select(F.lit("").alias("location_id"), F.lit(None).cast("string").alias("path"), "at").write.mode("append").parquet(path)
+
+
 RUN = T.StructType([
     T.StructField("location_id", T.StringType()), T.StructField("at_ms", T.LongType()), T.StructField("applied", T.BooleanType())])
 LAST = T.StructType([T.StructField("last_ms", T.LongType())])
@@ -179,11 +187,10 @@ def sync_stream(bursts: DataFrame, locations: DataFrame, base: str, checkpoint:
             .trigger(availableNow=True).start())
 
 
-def await_all(query, seconds: int = 600) -> None:
-    """Wait for an ``availableNow`` query, stop it when the time is over."""
-    end = time.time() + seconds
-    while query.isActive and time.time() < end:
-        query.awaitTermination(5)
-    if query.isActive:
+def await_all(query, seconds: int | None = None) -> None:
+    """Wait for an ``availableNow`` query to end; only a caller that gives ``seconds`` has it stopped."""
+    if seconds is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(seconds):
         query.stop()
         raise TimeoutError("the stream did not finish")
