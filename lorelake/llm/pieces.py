@@ -32,6 +32,8 @@ MAX_CACHED = {"count": 500_000, "both": 500_000, "ids": 300_000}
 MAX_PAIRS = 300_000
 # Characters of the texts that are split into words at a time.
 SPLIT_CHARS = 1_000_000
+# Longer words (texts without spaces, encoded data) are traced back once and not kept.
+LONG_WORD = 64
 RESET = -2  # state at a border that no piece can cross
 FALLBACK = -1  # a character without a piece, written as bytes
 
@@ -46,12 +48,14 @@ class Pieces:
         proto.ParseFromString(data)
         if proto.normalizer_spec.name != "identity" or proto.normalizer_spec.remove_extra_whitespaces:
             raise ValueError("only models with identity normalization are read")
+        if any(p.type == USER_DEFINED for p in proto.pieces):
+            raise ValueError("models with user-defined pieces are not read")
         self.dummy_prefix = proto.normalizer_spec.add_dummy_prefix
         kind = {"file": proto.trainer_spec.model_type, "unigram": UNIGRAM, "bpe": BPE}[reading]
         if kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models are read")
         self.bpe = kind == BPE
-        self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type in (NORMAL, USER_DEFINED)}
+        self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == NORMAL}
         self.text = [p.piece for p in proto.pieces]
         self.score = [p.score for p in proto.pieces]
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == UNKNOWN)
@@ -186,12 +190,18 @@ class Pieces:
             before = word
 
     def path_ids(self, words: list[str]) -> dict[str, bytes]:
-        """Packed ids of sorted distinct words; for merge files they grow along the trie, like the states."""
+        """Packed ids of sorted distinct words.
+
+        For merge files those of short words grow along the trie, like the states. Long words
+        keep one state a position and are traced back at their terminal: their memory is linear.
+        """
+        traced = words if not self.bpe else [w for w in words if len(w) > LONG_WORD]
+        found: dict[str, bytes] = self.terminals(traced, lambda w, last, _: array("i", self.back(w, last, len(w))).tobytes())
         if not self.bpe:
-            return self.terminals(words, lambda w, last, _: array("i", self.back(w, last, len(w))).tobytes())
+            return found
+        words = [w for w in words if len(w) <= LONG_WORD]
         get, fits, lengths, known, packed = self.ids.get, self.fits, self.lengths.get, self.allowed.get, self.packed
         last, path, before = [RESET], [b""], ""
-        found: dict[str, bytes] = {}
         for word in words:
             shared = shared_prefix(before, word)
             del last[shared + 1 :], path[shared + 1 :]
@@ -304,8 +314,12 @@ class Pieces:
             while end < len(texts) and (chars := chars + len(texts[end])) <= SPLIT_CHARS:
                 end += 1
             split = [self.units(s) for s in texts[at:end]]
-            get = self.learn(set().union(*split), kind, work).__getitem__
-            out += [value(map(get, words)) for words in split]
+            words = set().union(*split)
+            known = self.learn(words, kind, work)
+            out += [value(map(known.__getitem__, ws)) for ws in split]
+            for w in words:
+                if len(w) > LONG_WORD:
+                    del known[w]
             at = end
         return out
 

@@ -3,8 +3,10 @@
 Texts up to ``chunk_chars`` are encoded where they are. A longer text is split into
 chunks. For each chunk a max-plus transfer matrix says which state at its left edge
 (overhang and id of the piece across the edge) can reach which state at its right
-edge, at what weight. The matrices are combined per text, which is associative;
-that fixes both states of every chunk, and each chunk is then traced back alone.
+edge, at what weight. Matrices of neighbours are combined in rounds, which is associative,
+until one is left for each text; the states at its edges are then handed down the same
+rounds to every chunk, and each chunk is traced back alone. No task sees more than ``FAN``
+matrices of a text at a time.
 For a unigram file weights are score sums; for a merge (BPE) file they are 0 or
 minus infinity (see pieces.py). Ids are those of the tokenizer that the file holds; of
 unigram paths with equal scores, texts in chunks may take another one than whole texts.
@@ -16,6 +18,8 @@ as that character stands for spaces in the pieces.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -26,6 +30,8 @@ from lorelake.llm import pieces
 from lorelake.llm.common import adding, fresh, stash
 
 CHUNK_CHARS = 65_536
+FAN = 16  # neighbours whose matrices are combined in one round
+NODE = "key bigint, no int, n_left int, n_right int, matrix binary"
 CHUNK = "key bigint, chunk_no int, n_chunks int, stretch string, p0 int, p1 int, origin bigint"
 
 
@@ -77,18 +83,46 @@ def chunks(long: DataFrame, key: str, text_col: str, data, chunk_chars: int) ->
     return cut.withColumn("own", transfer.asNondeterministic()("stretch", "p0", "p1")).select(*cut.columns, "own.*")
 
 
-def scan(part: pd.DataFrame) -> pd.DataFrame:
-    """States at both edges of every chunk of one text (its matrices only)."""
-    part = part.sort_values("chunk_no")
-    mats = [np.frombuffer(m, float).reshape(a, b) for m, a, b in zip(part["matrix"], part["n_left"], part["n_right"], strict=True)]
-    reach = [np.zeros((1, 1))]
+def matrices(part: pd.DataFrame) -> list[np.ndarray]:
+    return [np.frombuffer(m, float).reshape(a, b) for m, a, b in zip(part["matrix"], part["n_left"], part["n_right"], strict=True)]
+
+
+def combined(part: pd.DataFrame) -> pd.DataFrame:
+    """The matrix of a few neighbours."""
+    whole = functools.reduce(pieces.maxplus, matrices(part.sort_values("no")))
+    first = part.iloc[0]
+    return pd.DataFrame({"key": [first["key"]], "no": [first["up"]], "n_left": [whole.shape[0]], "n_right": [whole.shape[1]], "matrix": [whole.tobytes()]})
+
+
+def handed_down(part: pd.DataFrame) -> pd.DataFrame:
+    """States at both edges of a few neighbours, from those at the edges of all of them."""
+    part = part.sort_values("no")
+    mats, first = matrices(part), part.iloc[0]
+    reach = [np.full(mats[0].shape[0], -np.inf)]
+    reach[0][first["of_entry"]] = 0.0
     for m in mats:
-        reach.append(pieces.maxplus(reach[-1], m))
-    states = [0]
+        reach.append((reach[-1][:, None] + m).max(axis=0))
+    states = [int(first["of_leave"])]
     for k in range(len(mats) - 1, -1, -1):
-        states.append(int(np.argmax(reach[k][0] + mats[k][:, states[-1]])))
+        states.append(int(np.argmax(reach[k] + mats[k][:, states[-1]])))
     states.reverse()
-    return pd.DataFrame({"key": part["key"], "chunk_no": part["chunk_no"], "entry": states[:-1], "leave": states[1:]})
+    return pd.DataFrame({"key": part["key"], "no": part["no"], "entry": states[:-1], "leave": states[1:]})
+
+
+def edge_states(parts: DataFrame) -> DataFrame:
+    """(key, chunk_no, entry, leave) of all chunks: matrices combined upwards, states handed down."""
+    levels = [parts.select("key", F.col("chunk_no").alias("no"), "n_left", "n_right", "matrix")]
+    last = parts.agg(F.max("chunk_no")).first()[0] or 0
+    up = F.floor(F.col("no") / FAN).cast("int")
+    while last:
+        levels.append(stash(levels[-1].withColumn("up", up).groupBy("key", "up").applyInPandas(combined, NODE)))
+        last //= FAN
+    states = levels.pop().select("key", "no", F.lit(0).alias("entry"), F.lit(0).alias("leave"))
+    for level in reversed(levels):
+        above = states.select("key", F.col("no").alias("up"), F.col("entry").alias("of_entry"), F.col("leave").alias("of_leave"))
+        below = level.withColumn("up", up).join(above, ["key", "up"])
+        states = stash(below.groupBy("key", "up").applyInPandas(handed_down, "key bigint, no int, entry int, leave int"))
+    return states.withColumnRenamed("no", "chunk_no")
 
 
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", chunk_chars: int = CHUNK_CHARS, cached_words: int = pieces.MAX_CACHED["ids"], round_trip: bool = False) -> DataFrame:
@@ -140,8 +174,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", chunk_chars
 
     long = stash(kept.filter(giant).withColumn(key, F.monotonically_increasing_id()))
     parts = stash(chunks(long, key, text_col, data, chunk_chars))
-    states = parts.select("key", "chunk_no", "n_left", "n_right", "matrix").groupBy("key").applyInPandas(scan, "key bigint, chunk_no int, entry int, leave int")
-    done = parts.drop("matrix", "n_left", "n_right").join(states, ["key", "chunk_no"])
+    done = parts.drop("matrix", "n_left", "n_right").join(edge_states(parts), ["key", "chunk_no"])
     done = done.select("key", "chunk_no", "n_chunks", one.asNondeterministic()(*[F.col(c) for c in ("stretch", "p0", "p1", "origin", "entry", "leave")]).alias("done"))
     rest = long.drop(text_col).join(done.select(F.col("key").alias(key), "chunk_no", "n_chunks", F.col("done").alias(part)), key)
     large = rest.select(*[F.col(f"{part}.piece_text").alias(c) if c == text_col else F.col(c) for c in kept.columns], "chunk_no", "n_chunks", *[f"{part}.{c}" for c in added])

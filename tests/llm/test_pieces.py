@@ -1,7 +1,9 @@
 """Forward passes, counts and codec against the SentencePiece library and against plain loops."""
 
+import base64
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -151,3 +153,57 @@ def test_chunks_of_one_text_are_work_of_many_tasks(spark, library):
     assert len({r["task"] for r in rows}) > 1
     p = pieces.Pieces(DATA)
     assert all(r["matrix"] == p.transfer(r["stretch"], r["p0"], r["p1"]).tobytes() and len(r["stretch"]) <= 1000 + 4 * p.longest for r in rows)
+
+
+def unbroken():
+    rng = random.Random(11)
+    mixed = "".join(chr(rng.choice([rng.randrange(0x4E00, 0x9FA5), rng.randrange(0x3041, 0x3097), rng.randrange(0xE01, 0xE2F), rng.randrange(0xAC00, 0xD7A0)])) for _ in range(65_000))
+    return {"one letter": "한" * 60_000, "many letters": mixed, "encoded data": base64.b64encode(rng.randbytes(48_000)).decode()}
+
+
+@pytest.mark.parametrize("name", list(unbroken()))
+def test_long_texts_without_borders_take_linear_memory(library, name):
+    text = unbroken()[name]
+    p = pieces.Pieces(DATA)
+    tracemalloc.start()
+    ids = p.encode_all([p.marked(text)])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids.tolist() == library.encode(text)
+    assert peak < 60_000_000
+    # Such a word is not kept.
+    assert all(len(w) <= pieces.LONG_WORD for part in p.caches["ids"] for w in part)
+    assert token_counts.counts_of(DATA, [text])[0][0] == len(ids)
+
+
+def test_long_texts_without_borders_in_both_paths(spark, library):
+    texts = unbroken() | {"giant": unbroken()["many letters"] * 3}
+    docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id bigint, text string")
+    for size in (65_536, 4_000):  # the second one: several rounds of neighbours
+        rows = sentencepiece_codec.encode(docs, corpus_pipeline.MODEL_PATH, chunk_chars=size, round_trip=True).collect()
+        assert all(r["round_trip"] for r in rows)
+        for k, text in enumerate(texts.values()):
+            own = sorted((r for r in rows if r["doc_id"] == k), key=lambda r: r["chunk_no"])
+            assert [i for r in own for i in r["ids"]] == library.encode(text)
+            assert "".join(r["text"] for r in own) == text
+
+
+def test_neighbours_are_combined_a_few_at_a_time(spark, monkeypatch):
+    """States of many chunks from rounds of few neighbours are those of one pass over all of them."""
+    rng = np.random.default_rng(2)
+    rows, want = [], {}
+    for key, count in enumerate((1, 2, 3, 17, 40)):
+        widths = [1, *rng.integers(1, 4, count - 1).tolist(), 1]
+        mats = [rng.normal(size=(a, b)) for a, b in zip(widths, widths[1:], strict=False)]
+        rows += [(key, k, *m.shape, m.tobytes()) for k, m in enumerate(mats)]
+        reach = [np.zeros((1, 1))]
+        for m in mats:
+            reach.append(pieces.maxplus(reach[-1], m))
+        states = [0]
+        for k in range(count - 1, -1, -1):
+            states.append(int(np.argmax(reach[k][0] + mats[k][:, states[-1]])))
+        states.reverse()
+        want |= {(key, k): (states[k], states[k + 1]) for k in range(count)}
+    monkeypatch.setattr(sentencepiece_codec, "FAN", 3)
+    parts = spark.createDataFrame(rows, "key bigint, chunk_no int, n_left int, n_right int, matrix binary")
+    assert {(r["key"], r["chunk_no"]): (r["entry"], r["leave"]) for r in sentencepiece_codec.edge_states(parts).collect()} == want
