@@ -4,7 +4,9 @@ Texts of a source are shuffled by a hash and laid end to end; that line of words
 cut into blocks of equal length. Slot ``i`` of the mix takes the golden-ratio point
 ``frac((i + 1/2) / phi)``; the cumulative target shares map it to a source, so every
 stretch of the mix has near its target shares. The k-th slot of a source takes its
-k-th block, beginning again after the last one, at most ``max_passes`` times.
+k-th block, beginning again after the last one, at most ``max_passes`` times. The mix is
+the sequence of slots: the points decide where in it a text's words come, the target how
+often they come in all.
 
 Targets: sources in code-point order (null last) weigh ``weights`` in turn and share
 ``volume`` times all words; a target stops at ``max_passes`` times its source's words
@@ -17,6 +19,8 @@ rows. Only per-source totals (a row for each source) go through one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,7 +63,9 @@ def schedule(shares: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Slots of the mix: (slot, source, rank), ranks from 0. ``shares`` has source, source_size and target.
 
     The points give every source near its number of blocks, a few more or less; ranks beyond
-    that number are not used, and the few missing ones follow after the last point.
+    that number are not used, and the missing ones follow after the last point (a few for
+    each source, most where very many sources are smaller than a block). Slots are increasing,
+    not gapless.
     """
     spark = shares.sparkSession
     everything = Window.partitionBy()
@@ -81,8 +87,11 @@ def schedule(shares: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     short = short.withColumn("from", F.coalesce(F.col("last") + 1, F.lit(0).cast("long"))).withColumn("to", blocks_of(F.floor("target"), F.col("source_size"), block_words))
     short = short.filter(F.col("from") < F.col("to")).select("source", F.explode(F.sequence(F.col("from"), F.col("to") - 1)).alias("rank"))
     end = -(-int(total) // block_words) - 1
-    tail = short.select((F.row_number().over(Window.orderBy("rank", F.col("source").isNull(), "source")) + F.lit(end).cast("long")).alias("slot"), "source", "rank")
-    return ranked.unionByName(tail)
+    order = [F.col("rank"), F.col("source").isNull(), F.col("source")]
+    # Ranges of the missing slots are numbered apart, then put one after the other.
+    ranged = stash(short.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).withColumn("one", F.lit(1).cast("long")))
+    tail = running_sum(ranged, [], "part", order, "one", "place")
+    return ranked.unionByName(tail.select((F.col("place") + F.lit(end + 1).cast("long")).alias("slot"), "source", "rank"))
 
 
 def blocks_of(words: Column, source_size: Column, block_words: int) -> Column:
@@ -103,8 +112,8 @@ def positions(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> D
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights=WEIGHTS, volume: float = VOLUME, max_passes: int = MAX_PASSES, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(placed, shares, pieces): texts on their lines, targets, and the mix itself.
 
-    ``pieces`` has a row for each stretch of a text that a slot takes: slot, id, row_no,
-    first word (from 0) and number of words. A source's last slot is cut at its target.
+    ``pieces`` has a row for each stretch of a text that a slot takes: slot, pass (from 0),
+    id, row_no, first word (from 0) and number of words. A source's last slot is cut at its target.
     """
     placed = stash(positions(docs, id_col, source_col, text_col))
     shares = stash(targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, volume, max_passes))
@@ -113,7 +122,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     per_pass = F.ceil(F.col("source_size") / block_words)
     dealt = slots.join(sizes.small(shares.select(F.col("source").alias("of"), "source_size", "target")), F.col("source").eqNullSafe(F.col("of")))
     before = F.floor(F.col("rank") / per_pass) * F.col("source_size") + F.col("rank") % per_pass * block_words
-    dealt = dealt.withColumn("left", F.floor("target") - before).filter("left > 0").select("slot", "of", (F.col("rank") % per_pass).alias("of_block"), "left")
+    dealt = dealt.withColumn("left", F.floor("target") - before).filter("left > 0").select("slot", "of", F.floor(F.col("rank") / per_pass).alias("pass"), (F.col("rank") % per_pass).alias("of_block"), "left")
     first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
     cut = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
     begin = F.greatest(F.col("start"), F.col("block") * block_words)
@@ -121,33 +130,51 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     cut = cut.withColumn("from_word", begin - F.col("start")).withColumn("words", end - begin)
     met = cut.join(dealt, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("of_block")))
     met = met.withColumn("words", F.least("words", F.col("of_block") * block_words + F.col("left") - F.col("start") - F.col("from_word"))).filter("words > 0")
-    pieces = met.select("slot", "source", "id", "text_key", "row_no", "from_word", "words")
+    pieces = met.select("slot", "pass", "source", "id", "text_key", "row_no", "from_word", "words")
     return placed, shares, pieces
 
 
 def taken(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **limits) -> DataFrame:
-    """One row for each row of ``docs``: id, size, source_size, target, taken (words in the mix, repeats counted), text_key, of."""
+    """One row for each row of ``docs``: id, size, source_size, target, taken (words in the mix, repeats counted),
+    n_slots, first_slot, last_slot (null if nothing is taken), pass_slots (the first slot of each pass), text_key, of.
+    """
     placed, shares, pieces = mix(docs, id_col, source_col, text_col, **limits)
-    sums = pieces.groupBy("row_no").agg(F.sum("words").alias("taken"))
+    passes = range(math.ceil(limits.get("max_passes", MAX_PASSES)))
+    firsts = F.array_compact(F.array(*[F.min(F.when(F.col("pass") == p, F.col("slot"))) for p in passes]))
+    sums = pieces.groupBy("row_no").agg(
+        F.sum("words").alias("taken"), F.count("*").alias("n_slots"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), firsts.alias("pass_slots"))
     out = placed.join(sums, "row_no", "left").join(sizes.small(shares.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of")))
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "text_key", "of")
+    none = F.lit(0).cast("long")
+    return out.select(
+        F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", none).alias("taken"), F.coalesce("n_slots", none).alias("n_slots"),
+        "first_slot", "last_slot", "pass_slots", "text_key", "of")
 
 
-def repeat(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **limits) -> DataFrame:
+def repeat(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", slot_col: str | None = None, **limits) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them: taken / size, rounded half up; all columns kept.
 
+    Rows come in the order of the mix, one range of slots in each partition; a text's n-th copy
+    stands where its words first come in the n-th pass. ``slot_col`` names a column to add for it.
     Rows that repeat id and text share their number of takes evenly. The text in which a source's
     target ends is gained or lost whole; a source with a target that would lose all of its texts
     keeps the one of which most is taken.
     """
-    key, of_id, of_key, times = fresh(docs, "text_key", "of_id", "of_key", "times")
+    key, of_id, of_key, times, slots, slot = fresh(docs, "text_key", "of_id", "of_key", "times", "pass_slots_of", "slot_of")
     given = taken(docs, id_col, source_col, text_col, **limits).filter("size > 0 and target > 0").groupBy(F.col(id_col).alias(of_id), F.col("text_key").alias(of_key))
     share = F.sum("taken") / F.sum("size")
-    given = stash(given.agg(share.alias("share"), F.floor(share + 0.5).cast("int").alias(times), F.collect_set(F.struct("of")).alias("sources")))
+    # Passes of rows that repeat id and text come one after the other.
+    ordered = F.array_sort(F.flatten(F.collect_list(F.coalesce("pass_slots", F.array().cast("array<bigint>")))))
+    given = stash(given.agg(share.alias("share"), F.floor(share + 0.5).cast("int").alias(times), F.collect_set(F.struct("of")).alias("sources"), ordered.alias(slots)))
     best = given.withColumn("source", F.explode("sources")).groupBy("source").agg(F.max(times).alias("most"), F.max(F.struct("share", of_id, of_key)).alias("best"))
     kept = best.filter("most = 0").select(F.col(f"best.{of_id}").alias("kept_id"), F.col(f"best.{of_key}").alias("kept_key")).distinct()
     counts = given.join(sizes.small(stash(kept)), F.col(of_id).eqNullSafe(F.col("kept_id")) & (F.col(of_key) == F.col("kept_key")), "left")
-    counts = counts.select(of_id, of_key, F.when(F.col("kept_key").isNotNull(), F.lit(1)).otherwise(F.col(times)).alias(times)).filter(F.col(times) > 0)
+    counts = counts.select(of_id, of_key, F.when(F.col("kept_key").isNotNull(), F.lit(1)).otherwise(F.col(times)).alias(times), slots).filter(F.col(times) > 0)
     keyed = docs.withColumn(key, text_key(F.col(text_col)))
     joined = keyed.join(sizes.small(stash(counts)), keyed[id_col].eqNullSafe(F.col(of_id)) & (F.col(key) == F.col(of_key)))
-    return joined.withColumn(of_key, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*docs.columns)
+    copies = joined.withColumn(of_key, F.explode(F.sequence(F.lit(1), F.col(times))))
+    # A copy beyond the passes, or a text kept by rounding, stands at the last slot of its text or before all others.
+    placed = copies.withColumn(slot, F.coalesce(F.get(slots, F.col(of_key) - 1), F.get(slots, F.size(slots) - 1), F.lit(-1).cast("long")))
+    placed = placed.repartitionByRange(slot).sortWithinPartitions(slot)
+    if slot_col is None:
+        return placed.select(*docs.columns)
+    return placed.select(*[c for c in docs.columns if c.lower() != slot_col.lower()], F.col(slot).alias(slot_col))

@@ -61,8 +61,8 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of every document."""
-    return mixing.taken(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    """Words that the mix takes of every document, and the slots of the schedule that take them."""
+    return mixing.taken(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "n_slots", "first_slot", "last_slot")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Exact duplicates, near duplicates and the mix against plain loops."""
 
+import bisect
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -179,6 +181,86 @@ def test_any_stretch_of_the_mix_has_near_its_shares(spark):
     assert sorted(slots[slots["source"] == "a"]["rank"]) == list(range((slots["source"] == "a").sum()))
 
 
+def plain_mix(lines, shares, block):
+    """lines: source -> texts in order as (row_no, size); shares: source -> (size, target). The schedule's points decide the slots."""
+    order = sorted((s for s in shares if shares[s][1] > 0), key=lambda s: (s is None, s or ""))
+    total = sum(shares[s][1] for s in order)
+    bounds, at = [], 0.0
+    for s in order:
+        at += shares[s][1]
+        bounds.append(at / total)
+    bounds[-1] = 1.0
+    count = -(-int(total) // block)
+    need = {}
+    for s in order:
+        size, target = shares[s][0], math.floor(shares[s][1])
+        need[s] = [(k, b * block, min((b + 1) * block, size)) for k in range(3) for b in range(-(-size // block)) if k * size + b * block < target]
+        need[s] = [(b, min(e, target - k * size)) for k, b, e in need[s]]  # the last block ends at the target
+    slots, taken = {s: [] for s in order}, {}
+    for slot in range(count):
+        x = (slot + 0.5) * mixing.GOLDEN
+        s = order[bisect.bisect_right(bounds, x - math.floor(x))]
+        if len(slots[s]) < len(need[s]):
+            slots[s].append(slot)
+    missing = sorted((r, s is None, s or "") for s in order for r in range(len(slots[s]), len(need[s])))
+    for slot, (_, none, s) in enumerate(missing, count):
+        slots[None if none else s].append(slot)
+    for s in order:
+        for slot, (b, e) in zip(slots[s], need[s], strict=True):
+            at = 0
+            for row_no, size in lines[s]:
+                words = min(e, at + size) - max(b, at)
+                if words > 0:
+                    n, w, of = taken.get(row_no, (0, 0, []))
+                    taken[row_no] = (n + 1, w + words, [*of, slot])
+                at += size
+    return {r: (w, n, min(of), max(of)) for r, (n, w, of) in taken.items()}
+
+
+@pytest.mark.parametrize("block", [37, 1024])
+def test_taken_words_and_slots_equal_plain_loops(odd_docs, spark, small, block):
+    for docs in (odd_docs, documents(spark, small)):
+        lines, shares = {}, {}
+        for r in mixing.positions(docs, "doc_id", "source", "text").orderBy("start").collect():
+            lines.setdefault(r["source"], []).append((r["row_no"], r["size"]))
+        rows = mixing.taken(docs, block_words=block).collect()
+        for r in rows:
+            shares[r["of"]] = (r["source_size"], r["target"])
+        want = Counter()
+        sizes = {n: size for line in lines.values() for n, size in line}
+        plain = plain_mix(lines, shares, block)
+        for n, size in sizes.items():
+            want[(size, *plain.get(n, (0, 0, None, None)))] += 1
+        assert Counter((r["size"], r["taken"], r["n_slots"], r["first_slot"], r["last_slot"]) for r in rows) == want
+
+
+def test_the_mix_depends_on_its_points(spark, small, monkeypatch):
+    """Near its shares at every stretch with the golden ratio; sources one after the other with points near 0."""
+
+    def worst(slots):
+        shares = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame([("a", 10**6), ("b", 10**6), ("c", 10**6)], "source string, source_size bigint")).collect()}
+        given = spark.createDataFrame([(s, 10**6, t) for s, t in shares.items()], "source string, source_size bigint, target double")
+        got = sorted((r["slot"], r["source"]) for r in mixing.schedule(given, 1000).collect())[:slots]
+        return max(abs(sum(s == x for _, s in got) / slots - shares[x] / sum(shares.values())) for x in shares)
+
+    def result():
+        return sorted((r["doc_id"], r["first_slot"] if r["first_slot"] is not None else -1) for r in mixing.taken(documents(spark, small), block_words=64).collect())
+
+    assert worst(500) < 0.02
+    golden = result()
+    copies = [r["slot"] for r in mixing.repeat(documents(spark, small), slot_col="slot").withColumn("part", F.spark_partition_id()).orderBy("part").collect()]
+    assert len(set(copies)) > 100
+    monkeypatch.setattr(mixing, "GOLDEN", 1e-6)
+    assert worst(500) > 0.2 and result() != golden
+
+
+def test_many_tiny_sources(spark):
+    docs = spark.createDataFrame([(i, "w " * (i % 4), f"s{i}") for i in range(600)], "doc_id bigint, text string, source string")
+    rows = mixing.taken(docs).collect()
+    assert len(rows) == 600 and all(abs(r["taken"] - r["target"]) <= 1 for r in rows)
+    assert len({r["first_slot"] for r in rows if r["n_slots"]}) == sum(r["n_slots"] > 0 for r in rows)
+
+
 def test_running_sum(spark):
     from lorelake.llm.common import running_sum
 
