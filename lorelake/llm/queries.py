@@ -42,7 +42,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases of every document."""
-    found = license_scan.scan(documents(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    found = license_scan.scan(documents(spark, sf_dir), keep=["doc_id"]).withColumn("score", F.round("score", 6))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 

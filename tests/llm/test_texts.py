@@ -6,6 +6,8 @@ from collections import Counter
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from lorelake.llm import compression_quality, crf, language_crf, license_scan, quality_rules
 from lorelake.llm.common import documents, labels
 from tests.llm.conftest import ROWS
@@ -154,3 +156,55 @@ def test_chunked_passes_are_single_passes():
             want, path = plain_chain(e[at : at + n], a)
             assert np.allclose(want, p[at : at + n], atol=1e-8) and path == labels_[at : at + n].tolist()
             at += n
+
+
+def test_many_templates_are_data(spark):
+    """The plan of 500 templates is that of 13; results equal plain loops over a table of templates."""
+    import random
+
+    rng = random.Random(4)
+    names = [f"word{i}" for i in range(400)] + ["license", "the", "of"] * 60
+    table = {}
+    for k in range(500):
+        words = [rng.choice(names) for _ in range(rng.randint(6, 14))]
+        a = rng.randrange(len(words) - 3)
+        table[f"t{k:03d}"] = (" ".join(words), [" ".join(words[a : a + 3])])
+    given = spark.createDataFrame([(k, *v) for k, v in table.items()], "label string, words string, phrases array<string>")
+    texts = [" ".join(rng.choices(names, k=200)) for _ in range(10)] + [" ".join(rng.sample([w for w, _ in table.values()], 3)) for _ in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = license_scan.scan(docs, templates_given=given).collect()
+    listed = license_scan.templates(given)
+    assert len(listed) == 503
+    for r in rows:
+        w, want = plain_words(r["text"]), set()
+        for label, t, phrases, _ in listed:
+            offsets = [(license_scan.find(t, p), p) for p in phrases]
+            for s in range(-len(t), len(w)):
+                if all(s + o >= 0 and w[s + o : s + o + len(p)] == p for o, p in offsets):
+                    want.add((label, s))
+        assert {(p["label"], p["start"]) for p in r["places"] or []} == want
+        assert r["labels"] == ",".join(sorted({x for x, _ in want}))
+    assert sum(len(r["places"] or []) for r in rows) > 30
+
+
+def test_postings_are_intersected_before_phrases_are_verified(spark):
+    """A lone rare word implies a start; only where the other postings agree is it left."""
+    listed = license_scan.templates()
+    vocabulary = sorted({w for _, ws, _, _ in listed for w in ws})
+    numbers = license_scan.Codes(spark, vocabulary)
+    postings, _, _ = license_scan.indexed(listed, {w: 1.0 + (w == "apache") for w in vocabulary})
+    texts = ["apache " * 50, "the apache license version 2 0", "license version 2 0 apache", "nothing of the kind"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    coded = docs.select("k", numbers.coded(license_scan.words_of(F.col("text"))).alias("codes")).withColumn("spots", license_scan.spots_of(F.col("codes"), numbers, postings))
+    rounds = license_scan.starts_of(F.col("spots"), numbers, postings)
+    apache = next(t for t, x in enumerate(listed) if x[0] == "apache-2.0") * license_scan.SHIFT
+    rows = coded.select("k", "spots", *[r.alias(f"r{i}") for i, r in enumerate(rounds)]).orderBy("k").collect()
+    of = lambda keys: {x for x in keys or [] if apache <= x < apache + license_scan.SHIFT}
+    first, agreed = [of(r["r0"]) for r in rows], [set.intersection(*[of(r[f"r{i}"]) for i in range(len(rounds))]) for r in rows]
+    assert [len(x) for x in first[:3]] == [50, 1, 1] and rows[3]["spots"] is None
+    assert [len(x) for x in agreed[:3]] == [0, 1, 0]
+
+
+def test_words_are_those_of_the_pattern(spark):
+    text = "".join(map(chr, range(256))) + " a\x00b  É_x½ 日本　語 ｆ"
+    assert spark.createDataFrame([(text,), (None,)], "t string").select(license_scan.words_of(F.col("t")).alias("w")).collect() == [(plain_words(text),), ([],)]
