@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorelake.functions import text as tx
+from lorelake.sizes import small
 
 
 def resolve_links(links: DataFrame, files: DataFrame) -> DataFrame:
@@ -19,6 +20,22 @@ def refresh_links(links: DataFrame, files: DataFrame) -> DataFrame:
     return _refresh(links, files, F.col("status") != "fragment")
 
 
+def refresh_affected(links: DataFrame, came: DataFrame, went: DataFrame) -> DataFrame:
+    """All links of the sources with a link to a path that came or went, resolved again.
+
+    ``came`` and ``went`` (location_id, relative_path) are one run's changes: the
+    links are filtered by them where they lie, other links are not looked at.
+    """
+    keys = ["location_id", "target_relative_path"]
+    moved = came.select("location_id", F.col("relative_path").alias("target_relative_path"), F.lit("resolved").alias("_now")).union(
+        went.select("location_id", F.col("relative_path").alias("target_relative_path"), F.lit("unresolved").alias("_now")))
+    moved = small(moved.groupBy(*keys).agg(F.min("_now").alias("_now")))
+    sources = small(links.where("status <> 'fragment'").join(moved, keys, "left_semi").select("location_id", "source_relative_path").distinct())
+    again = links.join(sources, ["location_id", "source_relative_path"], "left_semi").join(moved, keys, "left")
+    status = F.when(F.col("status") != "fragment", F.coalesce("_now", F.col("status"))).otherwise(F.col("status"))
+    return again.withColumn("status", status).select(*links.columns)
+
+
 def _refresh(links: DataFrame, files: DataFrame, applies) -> DataFrame:
     known = files.select("location_id", F.col("relative_path").alias("target_relative_path")).distinct().withColumn(
         "_known", F.lit(True))

@@ -6,6 +6,7 @@ compare equal values.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,9 @@ from lorelake.operators import packs as pk
 from lorelake.operators import report as rp
 from lorelake.operators import review as rv
 from lorelake.operators import search as se
+from lorelake.operators import sync
 from lorelake.sources import adapters as ad
+from lorelake.sources import corpus
 from lorelake.sources import tables as tb
 from lorelake.streaming import streams as st
 
@@ -306,13 +309,17 @@ def split_front_matter(spark, sf):
                        "body_offset")
 
 
-@query
-def inspected_documents(spark, sf):
-    return _docs(_inspected(spark, sf)).select(
+def _document_rows(documents: DataFrame) -> DataFrame:
+    return documents.select(
         "location_id", "relative_path", "kind", "title", "description", "type", _joined("tags"), "headings_text", "metadata_text",
         "status", "trust_tier", "stale_after", "timestamp", "finding_count", "is_conformant")
 
 
+@query
+def inspected_documents(spark, sf):
+    return _document_rows(_docs(_inspected(spark, sf)))
+
+
 @query
 def inspected_links(spark, sf):
     return _links(_stored(spark, sf)).select(
@@ -628,6 +635,19 @@ def refreshed_links(spark, sf):
     return gr.refresh_links(links, left).groupBy("location_id", "origin", "status").agg(F.count("*").alias("n"))
 
 
+@query
+def refreshed_links_delta(spark, sf):
+    """The same change, with only the links looked at whose target went; all other links stay as they are."""
+    links = _links(_stored(spark, sf))
+    files = ad.concept_files(spark, sf)
+    went = files.where("part_key % 7 = 3")
+    # Root indexes are no concept files; the first listing does not have them either.
+    root = _stored(spark, sf).where("relative_path = 'index.md'").select("location_id", "relative_path")
+    again = gr.refresh_affected(links, files.limit(0), went.select("location_id", "relative_path").union(root))
+    rest = links.join(again.select("location_id", "source_relative_path").distinct(), ["location_id", "source_relative_path"], "left_anti")
+    return rest.unionByName(again).groupBy("location_id", "origin", "status").agg(F.count("*").alias("n"))
+
+
 @query
 def resolved_targets(spark, sf):
     """Page links resolved lexically against a nested source document."""
@@ -919,6 +939,75 @@ def dropped_generations(spark, sf):
     return tb.drop_generations(docs, runs).select("location_id", "relative_path", "generation")
 
 
+ORDER_ROW = "location_id string, generation bigint, relative_path string, size bigint, modified_at_ms bigint"
+
+
+def _three_generations(spark, sf):
+    """Listings of orders as three runs of one table; returns its folder.
+
+    The first run writes all rows, the second what the snapshots differ in, the third takes
+    away the keys that end in 4 and brings those back that the second had taken away.
+    """
+    base = checkpoints.folder(spark)
+    before, after = ad.snapshot(spark, sf, "before"), ad.snapshot(spark, sf, "after")
+    changes = checkpoints.cut(hi.diff(before, after).where("change <> 'unchanged'"))
+    number = F.regexp_extract("relative_path", "[0-9]+", 0).cast("long")
+    back = before.where(number % 10 == 2).withColumn("size", F.col("size") + 5)
+    runs = [
+        (before, before.limit(0)),
+        (changes.where("change <> 'removed'"), changes.where("change = 'removed'")),
+        (back, before.where(number % 10 == 4)),
+    ]
+    for generation, (rows, gone) in enumerate(runs, 1):
+        number_of = F.lit(generation).cast("long").alias("generation")
+        put = rows.select("location_id", number_of, "relative_path", "size", "modified_at_ms")
+        keys = put.select("location_id", "relative_path", "generation").union(gone.select("location_id", "relative_path", number_of))
+        attempt = tb.attempt_name(f"run {generation}")
+        tb.write_attempt(put, keys, base, "listing", attempt)
+        states = before.select("location_id").distinct().select(
+            "location_id", F.lit(generation).alias("active_generation"), F.lit("ready").alias("state"),
+            *[F.lit(0).alias(c) for c in ("indexed", "failed", "changed", "removed")], F.lit(True).alias("complete"), F.lit(None).alias("error"),
+            F.current_timestamp().alias("finished_at"), F.lit(attempt).alias("attempt"), F.lit(generation == 1).alias("is_base"), F.lit(None).alias("batch_key"))
+        tb.finish_run(states, base)
+    # An attempt that wrote its rows and died is not seen.
+    tb.write_attempt(put.withColumn("size", F.lit(0).cast("long")), keys, base, "listing", tb.attempt_name("died"))
+    return base
+
+
+@query
+def merged_generations(spark, sf):
+    """Rows of a table after three runs, each of which wrote only what it changed."""
+    return tb.read_table(spark, _three_generations(spark, sf), "listing", ORDER_ROW)
+
+
+@query
+def compacted_generations(spark, sf):
+    """The same rows from the one base that compaction wrote, and the number of attempts read."""
+    base = _three_generations(spark, sf)
+    tb.compact(spark, base, {"listing": ORDER_ROW}, share=0.01)
+    attempts = tb.live_attempts(spark, base).select("attempt").distinct().count()
+    return tb.read_table(spark, base, "listing", ORDER_ROW).withColumn("attempts", F.lit(attempts).cast("long"))
+
+
+@query
+def reconciled_documents(spark, sf):
+    """Documents after two runs over files: the second finds new, changed and removed ones; a repeat of its batch does nothing."""
+    files = ad.bundle_files(spark, sf)
+    # A shared folder that is mounted is read as plain files.
+    root, base = re.sub("^file:/+", "/", checkpoints.folder(spark)), checkpoints.folder(spark)
+    key = F.coalesce("part_key", F.lit(0))
+    older = files.where(key % 3 != 1).withColumn("content", F.when(key % 5 == 1, F.concat("content", F.lit("older text\n"))).otherwise(F.col("content")))
+    extra = files.where(key % 8 == 3).withColumn("relative_path", F.concat(F.lit("gone/"), "relative_path"))
+    corpus.write_files(older.unionByName(extra), root)
+    where = files.select("location_id").distinct().select("location_id", F.concat(F.lit(f"{root}/"), "location_id").alias("path"), F.lit(True).alias("okf_bundle"))
+    sync.reconcile(spark, base, where)
+    corpus.write_files(files.where((key % 3 == 1) | (key % 5 == 1)), root)
+    corpus.remove_files(extra, root)
+    for _ in range(2):
+        sync.reconcile(spark, base, where, batch_key="second")
+    return _document_rows(tb.read_table(spark, base, "documents", sync.DOCUMENT_SCHEMA))
+
+
 # -- streams ---------------------------------------------------------------
 
 

@@ -579,3 +579,10 @@ ORACLES["streamed_throttle"] = f"""WITH RECURSIVE {ACT}, req AS (SELECT DISTINCT
   SELECT location_id, at_ms FROM fired"""
 ORACLES["merged_findings"] = f"""WITH {FIN} SELECT location_id, code, message, CASE WHEN severity = 'info' THEN 'late' ELSE severity END AS severity FROM fin"""
 ORACLES["dropped_generations"] = f"""WITH {SNAP} SELECT location_id, relative_path, size % 3 AS generation FROM aft WHERE size % 3 = substr(location_id, 2)::BIGINT"""
+ORACLES["refreshed_links_delta"] = ORACLES["refreshed_links"]
+ORACLES["reconciled_documents"] = ORACLES["inspected_documents"]
+GENERATIONS = f"""WITH {SNAP}, g AS (SELECT location_id, ok, relative_path, size, modified_at_ms FROM snap),
+  m AS (SELECT location_id, CASE ok % 10 WHEN 1 THEN 2 WHEN 3 THEN 2 WHEN 2 THEN 3 ELSE 1 END::BIGINT AS generation, relative_path,
+    size + CASE ok % 10 WHEN 3 THEN 1 WHEN 2 THEN 5 ELSE 0 END AS size, modified_at_ms FROM g WHERE ok % 10 <> 4)"""
+ORACLES["merged_generations"] = f"{GENERATIONS} SELECT * FROM m"
+ORACLES["compacted_generations"] = f"{GENERATIONS} SELECT *, 1::BIGINT AS attempts FROM m"

@@ -26,8 +26,7 @@ ENTRY = T.StructType([
     T.StructField("path", T.StringType()), T.StructField("is_dir", T.BooleanType()),
     T.StructField("size", T.LongType()), T.StructField("modified_at_ms", T.LongType()),
     T.StructField("error", T.StringType())])
-CONTENT = T.StructType([
-    T.StructField("path", T.StringType()), T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())])
+CONTENT = [T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())]
 
 _IGNORED = {name.lower() for name in IGNORED_DIRECTORIES}
 _MARKDOWN = re.compile(r"(?i)[^/]\.(md|markdown)$")
@@ -93,8 +92,10 @@ def list_files(locations: DataFrame) -> DataFrame:
 
 
 def _read_files(batches):
+    """Each row with its file's content; one file at a time is held."""
     for batch in batches:
-        for path in batch["path"].to_pylist():
+        place = batch.schema.get_field_index("path")
+        for i, path in enumerate(batch.column(place).to_pylist()):
             content, error = None, None
             try:
                 if "://" in path:
@@ -108,14 +109,55 @@ def _read_files(batches):
                         content = stream.read()
             except OSError as problem:
                 error = f"Could not read this Markdown file: {problem.strerror}"
+            own = batch.slice(i, 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([path]), pa.array([content], pa.binary()), pa.array([error], pa.string())], names=CONTENT.names)
+                [*own.columns, pa.array([content], pa.binary()), pa.array([error], pa.string())], names=[*own.schema.names, "content", "error"])
 
 
 def read_contents(files: DataFrame) -> DataFrame:
-    """Add binary ``content`` and a read ``error``; files are spread by path before reading."""
-    paths = files.select("path").repartition(F.col("path"))
-    return files.drop("error").join(paths.mapInArrow(_read_files, CONTENT), "path")
+    """Add binary ``content`` and a read ``error``; files are spread by path before they are read, contents stay where they are."""
+    spread = files.drop("error").repartition(F.col("path"))
+    return spread.mapInArrow(_read_files, T.StructType([*spread.schema.fields, *CONTENT]))
+
+
+def _file_system(folder: str):
+    """(file system, path in it) of a folder, local or remote."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+
+
+def _each_file(root: str, work):
+    def run(batches):
+        system, base = _file_system(root)
+        for batch in batches:
+            column = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
+            for location, path, content in zip(column["location_id"], column["relative_path"], column["content"]):
+                work(system, f"{base}/{location}/{path}", content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return run
+
+
+def _write_file(system, path: str, content: str) -> None:
+    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(path) as stream:
+        stream.write(content.encode())
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """Write (location_id, relative_path, content) as files below ``root``, from the executors; a repeat overwrites."""
+    spread = files.select("location_id", "relative_path", "content").repartition("location_id", "relative_path")
+    return spread.mapInArrow(_each_file(root, _write_file), "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
+def remove_files(files: DataFrame, root: str) -> int:
+    """Remove files below ``root`` that ``write_files`` wrote."""
+    def remove(system, path, _):
+        if system.get_file_info(path).is_file:
+            system.delete_file(path)
+
+    return files.select("location_id", "relative_path", "content").mapInArrow(_each_file(root, remove), "n bigint").agg(F.sum("n")).first()[0] or 0
 
 
 def scan_corpus(locations: DataFrame) -> DataFrame:

@@ -176,12 +176,16 @@ def expire_activity(table: DataFrame, as_of: str) -> DataFrame:
 
 
 def sync_stream(bursts: DataFrame, locations: DataFrame, base: str, checkpoint: str, brand: Brand = DEFAULT):
-    """Reconcile the touched locations of every micro-batch of change bursts."""
+    """Reconcile the touched locations of every micro-batch of change bursts, each batch once.
+
+    The batch key is the checkpoint's own name and the batch id, so a batch that is repeated
+    after a failure replaces what its dead attempt wrote and is skipped if it had finished.
+    """
     from lorelake.operators.sync import reconcile
 
     def apply(rows: DataFrame, batch_id: int) -> None:
         touched = locations.join(rows.select("location_id").distinct(), "location_id", "left_semi")
-        reconcile(rows.sparkSession, base, touched, brand)
+        reconcile(rows.sparkSession, base, touched, brand, f"{checkpoint}/{batch_id}")
 
     return (bursts.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -55,12 +55,68 @@ def test_incremental_runs(spark, tmp_path):
     assert rows["a.md"].title == "A2 longer" and rows["a.md"].continuity_id == ids["a.md"]
     links = {r.source_relative_path: r.status for r in tables.read_table(spark, base, "links", sync.LINK_SCHEMA).collect()}
     assert links == {"index.md": "resolved", "a.md": "unresolved"}
-    activity = {(r.relative_path, r.kind) for r in spark.read.parquet(base + "/activity_events").collect()}
+    activity = {(r.relative_path, r.kind) for r in sync.read_activity(spark, base).collect()}
     assert activity == {("a.md", "changed"), ("bad.md", "created"), ("b.md", "removed")}
     third = sync.reconcile(spark, base, where).first()
     assert (third.changed, third.removed, third.indexed) == (0, 0, 3)
-    assert tables.vacuum(spark, base, "documents") == 2
-    assert tables.read_table(spark, base, "documents", sync.DOCUMENT_SCHEMA).count() == 3
+    assert tables.vacuum(spark, base, "documents", 0) == 0
+    before = {t: sorted(map(str, tables.read_table(spark, base, t, s).collect())) for t, s in sync.SCHEMAS.items()}
+    assert sync.compact(spark, base) == 1 and sync.compact(spark, base) == 0
+    assert tables.live_attempts(spark, base).count() == 1
+    assert {t: sorted(map(str, tables.read_table(spark, base, t, s).collect())) for t, s in sync.SCHEMAS.items()} == before
+    assert tables.vacuum(spark, base, "documents") == 0  # too young
+    assert tables.vacuum(spark, base, "documents", 0) == 3
+    assert {t: sorted(map(str, tables.read_table(spark, base, t, s).collect())) for t, s in sync.SCHEMAS.items()} == before
+
+
+def snapshot(spark, base):
+    """Tables and activity without the attempts' names and times."""
+    rows = {t: sorted(map(str, tables.read_table(spark, base, t, s).collect())) for t, s in sync.SCHEMAS.items()}
+    return rows | {"activity": sorted((r.location_id, r.relative_path, r.kind) for r in sync.read_activity(spark, base).collect())}
+
+
+def test_a_run_that_died_is_repeated(spark, tmp_path, monkeypatch):
+    """Killed after the activity and before the run rows: nothing is seen of it, and its repeat equals a run that lived."""
+    root = tmp_path / "kb"
+    write(root, {f"d{i}.md": f"---\ntype: T\n---\n# D{i}\n[n](d{i + 1}.md)" for i in range(40)} | {"bad.md": b"\xff", "l.md": "[b](bad.md)"})
+    where, finish = locations(spark, root), tables.finish_run
+    bases = {key: str(tmp_path / f"t{key}") for key in (None, "q/7")}
+    lived = str(tmp_path / "lived")
+    for base in (*bases.values(), lived):
+        sync.reconcile(spark, base, where)
+    os.remove(root / "d3.md")
+    os.remove(root / "bad.md")
+    write(root, {"d5.md": "---\ntype: T\n---\n# changed", "d40.md": "# new"})
+
+    def die(*_):
+        raise RuntimeError("killed")
+
+    for key, base in bases.items():
+        before = snapshot(spark, base)
+        monkeypatch.setattr(tables, "finish_run", die)
+        try:
+            sync.reconcile(spark, base, where, batch_key=key)
+            raise AssertionError("the run did not die")
+        except RuntimeError:
+            pass
+        monkeypatch.setattr(tables, "finish_run", finish)
+        assert snapshot(spark, base) == before
+        sync.reconcile(spark, base, where, batch_key=key)
+    sync.reconcile(spark, lived, where)
+    want = snapshot(spark, lived)
+    assert want["activity"] == [("loc", "d3.md", "removed"), ("loc", "d40.md", "created"), ("loc", "d5.md", "changed")]
+    for key, base in bases.items():
+        assert snapshot(spark, base) == want
+        # Only the changed rows were written: two documents, three touched keys.
+        names = [r.attempt for r in tables.live_attempts(spark, base).where("NOT is_base").collect()]
+        assert len(names) == 1
+        assert spark.read.parquet(f"{base}/documents/{names[0]}/rows").count() == 2
+        assert spark.read.parquet(f"{base}/documents/{names[0]}/keys").count() == 3
+        assert {r.source_relative_path for r in spark.read.parquet(f"{base}/links/{names[0]}/keys").collect()} == {"d2.md", "d3.md", "d39.md", "d40.md", "d5.md", "l.md"}
+    again = sync.reconcile(spark, bases["q/7"], where, batch_key="q/7").collect()
+    assert [r.batch_key for r in again] == ["q/7"] and snapshot(spark, bases["q/7"]) == want
+    links = {(r.source_relative_path, r.status) for r in tables.read_table(spark, lived, "links", sync.LINK_SCHEMA).collect()}
+    assert {("l.md", "unresolved"), ("d2.md", "unresolved"), ("d39.md", "resolved"), ("d1.md", "resolved")} <= links
 
 
 def test_lint(spark, tmp_path):
