@@ -87,7 +87,7 @@ def test_run_is_the_chain(spark, stages):
 
 def test_queries_are_registered():
     assert set(queries.QUERIES) <= set(contract.queries()) and set(queries.ORACLES) <= set(contract.oracle_sql())
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
 
 
 @pytest.mark.parametrize("name", ["op1_shards", "op4_quality_rules", "op6_mix", "op9_quality", "op10_language"])
