@@ -13,6 +13,7 @@ from lorelake.functions import text as tx
 RENAME_WINDOW_MS = 2500
 HISTORY_DAYS = 30
 HISTORY_CAP = 5000
+SEGMENT_ROWS = 200_000
 
 
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -84,28 +85,41 @@ def spread_rank(df: DataFrame, keys: list[str], order: str, name: str) -> DataFr
         name, F.col("_inside") + F.col("_offset")).drop("_part", "_inside", "_offset")
 
 
-_PAIR = T.StructType([T.StructField("location_id", T.StringType()), T.StructField("removed_no", T.LongType()),
-                      T.StructField("size", T.LongType()), T.StructField("chain", T.LongType()),
-                      T.StructField("added_no", T.LongType())])
+_PAIR = T.StructType([T.StructField("location_id", T.StringType()), T.StructField("size", T.LongType()),
+                      T.StructField("chain", T.LongType()), T.StructField("segment", T.LongType()),
+                      T.StructField("removed_no", T.LongType()), T.StructField("added_no", T.LongType())])
 
 
-def _match_chain(table):
-    """First-fit matching of one chain on numbers only (a min tree over added mtimes)."""
+def _first_fit(table):
+    """First fit of one segment's removed files, on numbers only (a min tree over added mtimes).
+
+    An added file with ``held`` is gone for every removed file after that number.
+    """
     import bisect
 
     import pyarrow as pa
 
-    sides, numbers = table["side"].to_pylist(), table["no"].to_pylist()
-    times = table["modified_at_ms"].to_pylist()
-    added = sorted((t, n) for s, n, t in zip(sides, numbers, times) if s == "added")
-    removed = sorted((n, t) for s, n, t in zip(sides, numbers, times) if s == "removed")
-    at, width, none = [t for t, _ in added], max(1, len(added)), 1 << 62
-    tree = [none] * width + [n for _, n in added] + [none] * (width - len(added))
-    place = {n: i for i, (_, n) in enumerate(added)}
+    rows = list(zip(*(table[c].to_pylist() for c in ("side", "no", "modified_at_ms", "held"))))
+    added = sorted((t, n, h) for s, n, t, h in rows if s == "added")
+    removed = sorted((n, t) for s, n, t, _ in rows if s == "removed")
+    at, width, none = [t for t, _, _ in added], max(1, len(added)), 1 << 62
+    tree = [none] * width + [n for _, n, _ in added] + [none] * (width - len(added))
+    place = {n: i for i, (_, n, _) in enumerate(added)}
+    leaving = sorted(((h, n) for _, n, h in added if h is not None), reverse=True)
+
+    def take(number):
+        i = place[number] + width
+        tree[i] = none
+        while i > 1:
+            i >>= 1
+            tree[i] = min(tree[2 * i], tree[2 * i + 1])
+
     for i in range(width - 1, 0, -1):
         tree[i] = min(tree[2 * i], tree[2 * i + 1])
     left, right = [], []
     for number, time in removed:
+        while leaving and leaving[-1][0] < number:
+            take(leaving.pop()[1])
         low = bisect.bisect_right(at, time - RENAME_WINDOW_MS) + width
         high = bisect.bisect_left(at, time + RENAME_WINDOW_MS) + width
         best = none
@@ -116,32 +130,73 @@ def _match_chain(table):
                 high -= 1
                 best = min(best, tree[high])
             low, high = low >> 1, high >> 1
-        if best == none:
-            continue
-        left.append(number)
-        right.append(best)
-        i = place[best] + width
-        tree[i] = none
-        while i > 1:
-            i >>= 1
-            tree[i] = min(tree[2 * i], tree[2 * i + 1])
-    n = len(left)
-    one = lambda name: table[name][0].as_py()
-    return pa.table({
-        "location_id": pa.array([one("location_id")] * n, pa.string()), "removed_no": pa.array(left, pa.int64()),
-        "size": pa.array([one("size")] * n, pa.int64()), "chain": pa.array([one("chain")] * n, pa.int64()),
-        "added_no": pa.array(right, pa.int64())})
+        if best != none:
+            left.append(number)
+            right.append(best)
+            take(best)
+    same = {f.name: [table[f.name][0].as_py()] * len(left) for f in _PAIR.fields[:4]}
+    return pa.table(
+        same | {"removed_no": left, "added_no": right},
+        schema=pa.schema([(f.name, pa.string() if isinstance(f.dataType, T.StringType) else pa.int64()) for f in _PAIR.fields]))
 
 
-def match_renames(changes: DataFrame) -> DataFrame:
+def _offers(long: DataFrame, keys: list[str], segment_rows: int) -> DataFrame:
+    """Long chains cut into segments of whole window-wide bins; (…, segment, side, no, modified_at_ms, held).
+
+    A removed file is in its own segment. A file is only near files of its own and
+    the two neighbour bins, so an added file is also offered to the segments of these.
+    """
+    binned = long.select(*keys, "side", F.col("no").cast("long").alias("no"), "modified_at_ms").withColumn(
+        "bin", F.floor(F.col("modified_at_ms") / RENAME_WINDOW_MS))
+    order = W.partitionBy(*keys).orderBy("bin")
+    earlier = F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bins = binned.groupBy(*keys, "bin").agg(F.count("*").alias("n")).withColumn("segment", F.floor(earlier / segment_rows))
+    bins = bins.withColumn("near", F.array_distinct(F.array_compact(F.array(
+        "segment", F.lag("segment").over(order), F.lead("segment").over(order))))).drop("n")
+    seen = F.when(F.col("side") == "removed", F.array("segment")).otherwise(F.col("near"))
+    return binned.join(bins, [*keys, "bin"]).withColumn("segment", F.explode(seen)).select(
+        *keys, "segment", "side", "no", "modified_at_ms", F.lit(None).cast("long").alias("held"))
+
+
+def first_fit(long: DataFrame, keys: list[str], segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """(…, removed_no, added_no): first fit inside chains of any length, by deferred acceptance of segments.
+
+    Every segment matches its own removed files; an added file at a border may be
+    wanted by two or three segments. The lowest number keeps it, the other
+    segments see it as held and match again, until no border file is wanted twice.
+    Files rank each other alike on both sides, so the stable matching is the one
+    that first fit in path order gives, whatever the segments are. A file once
+    refused is refused for good, so the rounds end; only segments that lost a
+    file run again. One task holds about ``segment_rows`` rows of three numbers,
+    more only where one location has more files of one size inside one window.
+    """
+    group = [*keys, "segment"]
+    offers = checkpoints.cut(_offers(long, keys, segment_rows))
+    pairs = checkpoints.cut(offers.groupBy(*group).applyInArrow(_first_fit, _PAIR))
+    shared = offers.where("side = 'added'").groupBy(*keys, F.col("no").alias("added_no")).count().where("count > 1").drop("count")
+    while True:
+        wanted = pairs.join(shared, [*keys, "added_no"], "left_semi").select(
+            *keys, F.col("added_no").alias("no"), F.lit("added").alias("side"), F.col("segment").alias("by"), F.col("removed_no").alias("rival"))
+        wants = wanted.groupBy(*keys, "no", "side").agg(F.collect_list(F.struct("by", "rival")).alias("wants"))  # three at most
+        rival = F.array_min(F.transform(F.filter("wants", lambda w: w["by"] != F.col("segment")), lambda w: w["rival"]))
+        fresh = checkpoints.cut(offers.join(wants, [*keys, "no", "side"], "left").withColumn("now", F.least("held", rival)).select(
+            *group, "side", "no", "modified_at_ms", F.col("now").alias("held"), (~F.col("now").eqNullSafe(F.col("held"))).alias("lost")))
+        again = fresh.where("lost").select(*group).distinct()
+        if again.isEmpty():
+            return pairs.select(*keys, "removed_no", "added_no")
+        offers = fresh.drop("lost")
+        solved = offers.join(again, group, "left_semi").groupBy(*group).applyInArrow(_first_fit, _PAIR)
+        pairs = checkpoints.cut(pairs.join(again, group, "left_anti").unionByName(solved))
+
+
+def match_renames(changes: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """(location, old path, new path): removed files paired one-to-one with added files.
 
     In path order every removed file takes the first free added file of equal
     size whose mtime is less than 2,500 ms away.  Chains of mtimes are
     independent.  A chain no longer than the window is a plain rank-to-rank
     equi-join, which covers bulk operations that touch very many equal files at
-    once; only longer chains go, as three numbers per row, through one grouped
-    first-fit pass.
+    once; longer chains go through ``first_fit`` in segments.
     """
     keys = ["location_id", "size", "chain"]
     moved = changes.where("change IN ('added', 'removed')").select(
@@ -149,11 +204,9 @@ def match_renames(changes: DataFrame) -> DataFrame:
     chained = _chains(moved)
     sides = chained.groupBy(*keys).agg(F.count_if(F.col("side") == "added").alias("a"), F.count_if(F.col("side") == "removed").alias("r"))
     both = chained.join(sides.where("a > 0 AND r > 0").drop("a", "r"), keys, "left_semi")
-    ranked = spread_rank(both, [*keys, "side"], "relative_path", "no")
+    ranked = checkpoints.cut(spread_rank(both, [*keys, "side"], "relative_path", "no"))
     short = ranked.where(F.col("span") < RENAME_WINDOW_MS)
-    long = ranked.where(F.col("span") >= RENAME_WINDOW_MS)
-    pairs = long.select(*keys, "side", F.col("no").cast("long").alias("no"), "modified_at_ms").groupBy(*keys).applyInArrow(
-        _match_chain, _PAIR).select(*keys, "removed_no", "added_no")
+    pairs = first_fit(ranked.where(F.col("span") >= RENAME_WINDOW_MS), keys, segment_rows)
     same = short.where("side = 'removed'").select(*keys, F.col("no").alias("removed_no"), F.col("no").alias("added_no"))
     names = ranked.select(*keys, "side", "no", "relative_path")
     old = names.where("side = 'removed'").select(*keys, F.col("no").alias("removed_no"), F.col("relative_path").alias("previous_path"))

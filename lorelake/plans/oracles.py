@@ -516,6 +516,15 @@ After making changes, run the OKF linter again and report the remaining findings
     "carried_ids": f"""WITH {SNAP} SELECT location_id, relative_path, CASE WHEN change = 'added' THEN sha256(concat_ws(':', location_id, relative_path, modified_at_ms::VARCHAR)) ELSE 'id-' || relative_path END AS continuity_id
       FROM dif WHERE change <> 'removed'""",
     "matched_renames": f"WITH {MOVED} SELECT * FROM ren",
+    "matched_renames_long_chains": """WITH RECURSIVE moved AS (SELECT 's' || (o_custkey % 4)::VARCHAR AS location_id, o_custkey % 50 AS size, o_orderkey % 3 AS side,
+      'o' || lpad(o_orderkey::VARCHAR, 9, '0') || '.md' AS path, 1700000000000 + o_orderkey * 7 AS at FROM orders),
+      gone AS (SELECT *, row_number() OVER (PARTITION BY location_id, size ORDER BY path) AS no FROM moved WHERE side = 0),
+      walk AS (SELECT DISTINCT location_id, size, 0::BIGINT AS no, NULL::VARCHAR AS previous_path, NULL::VARCHAR AS relative_path, []::VARCHAR[] AS taken FROM gone
+       UNION ALL SELECT w.location_id, w.size, g.no, g.path, min(a.path), list_append(any_value(w.taken), min(a.path)) FROM walk w
+        JOIN gone g ON g.location_id = w.location_id AND g.size = w.size AND g.no = w.no + 1
+        LEFT JOIN moved a ON a.side = 1 AND a.location_id = g.location_id AND a.size = g.size AND abs(a.at - g.at) < 2500 AND NOT list_contains(w.taken, a.path)
+        GROUP BY w.location_id, w.size, g.no, g.path)
+      SELECT location_id, previous_path, relative_path FROM walk WHERE relative_path IS NOT NULL""",
     "change_events": f"""WITH {MOVED} SELECT location_id, relative_path AS path, previous_path, 'renamed' AS kind, 1700000000000 AS observed_at, TRUE AS available FROM ren
       UNION ALL SELECT location_id, relative_path, NULL, CASE change WHEN 'added' THEN 'created' WHEN 'removed' THEN 'removed' ELSE 'modified' END, 1700000000000, change <> 'removed' FROM moved
       WHERE relative_path NOT IN (SELECT relative_path FROM ren UNION ALL SELECT previous_path FROM ren)""",

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lorelake.functions import text as tx
@@ -35,6 +36,20 @@ def test_rename_matching_equals_greedy(spark):
     assert got == greedy(rows)
 
 
+@pytest.mark.parametrize("segment_rows", [1, 7, 100_000])
+def test_first_fit_is_the_same_whatever_the_segments(spark, segment_rows):
+    """Chains over many bins: border files are wanted by two segments, and refusals travel from segment to segment."""
+    rng = random.Random(11)
+    rows = [("a", f"f{rng.randrange(10**6):06d}-{i}", i % 2, rng.choice(["added", "removed"]), 10**12 + i * 250 + rng.randrange(900))
+            for i in range(400)]
+    # A ladder: each removed file first wants the added file that its neighbour needs.
+    rows += [("b", f"r{99 - i:03d}", 5, "removed", 10**12 + i * 2400) for i in range(60)]
+    rows += [("b", f"t{i:03d}", 5, "added", 10**12 + i * 2400 + 1200) for i in range(60)]
+    df = spark.createDataFrame(rows, "location_id string, relative_path string, size long, change string, modified_at_ms long")
+    got = sorted(tuple(r) for r in hi.match_renames(df, segment_rows).select("location_id", "previous_path", "relative_path").collect())
+    assert got == greedy(rows)
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(3)
     edges = [(f"n{rng.randrange(400)}", f"n{rng.randrange(400)}") for _ in range(330)]
