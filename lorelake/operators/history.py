@@ -275,7 +275,10 @@ def file_identity(events: DataFrame) -> DataFrame:
 
 def dedupe_history(events: DataFrame) -> DataFrame:
     """Latest event per file identity; equal instants keep the earliest row id."""
-    named = file_identity(events)
+    return newest_per_identity(file_identity(events))
+
+
+def newest_per_identity(named: DataFrame) -> DataFrame:
     columns = [F.col(c) for c in named.columns if c != "identity"]
     # The smallest (−instant, id) is the newest event with the earliest id.
     best = named.groupBy("identity").agg(F.min_by(

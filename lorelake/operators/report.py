@@ -13,6 +13,7 @@ from lorelake.operators.filters import _normal_prefix
 from lorelake.operators.listing import displayed_findings
 
 KINDS = ["changed", "served", "context", "created", "removed"]
+ACTIVITY_DAYS = 14  # days kept before the newest one
 
 
 def activity_daily(events: DataFrame) -> DataFrame:
@@ -26,12 +27,17 @@ def activity_daily(events: DataFrame) -> DataFrame:
 
 def merge_activity(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """Add new daily rows to stored ones."""
-    return stored.unionByName(fresh).groupBy("location_id", "day", "relative_path").agg(
+    return summed_activity(stored.unionByName(fresh))
+
+
+def summed_activity(rows: DataFrame) -> DataFrame:
+    """One row per (location, day, path) from partial counters."""
+    return rows.groupBy("location_id", "day", "relative_path").agg(
         *[F.sum(f"{k}_count").alias(f"{k}_count") for k in KINDS],
         F.max("last_changed_at").alias("last_changed_at"), F.max("last_served_at").alias("last_served_at"))
 
 
-def expire_activity(daily: DataFrame, as_of: str, days: int = 14) -> DataFrame:
+def expire_activity(daily: DataFrame, as_of: str, days: int = ACTIVITY_DAYS) -> DataFrame:
     return daily.where(F.col("day") >= tx.days_before(as_of, days))
 
 

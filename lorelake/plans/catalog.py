@@ -1021,18 +1021,51 @@ def _streamed(frame: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what is available and read back what it wrote."""
     spark = frame.sparkSession
     base = checkpoints.folder(spark)
-    writer = frame.writeStream.outputMode(mode).foreachBatch(st.versioned_sink(f"{base}/rows", []))
+    writer = frame.writeStream.outputMode(mode).foreachBatch(st.batch_sink(f"{base}/rows"))
     st.await_all(writer.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
     return spark.read.parquet(f"{base}/rows")
 
 
+def _daily(spark, path, **limits):
+    daily = st.read_activity(spark, path, **limits)
+    return daily.withColumns({c: tx.rfc3339(F.col(c)) for c in ("last_changed_at", "last_served_at")})
+
+
 @query
 def streamed_activity(spark, sf):
-    """Daily counters from the event stream, newest version of every row."""
+    """Daily counters from the event stream, nothing expired."""
     base = checkpoints.folder(spark)
-    st.await_all(st.run_activity(ad.as_activity(_event_stream(spark, sf)), f"{base}/daily", f"{base}/state"))
-    daily = st.read_versions(spark, f"{base}/daily", ["location_id", "day", "relative_path"])
-    return daily.withColumns({c: tx.rfc3339(F.col(c)) for c in ("last_changed_at", "last_served_at")})
+    st.await_all(st.run_activity(ad.as_activity(_event_stream(spark, sf)), f"{base}/daily", f"{base}/state", days=None))
+    return _daily(spark, f"{base}/daily", days=None)
+
+
+def _arrivals(spark, sf, schema, rows, start):
+    """Append the rows, oldest quarter of the time first, to a log and run its stream to the end after each."""
+    base = checkpoints.folder(spark)
+    bounds = rows.agg(F.min("at_ms").alias("low"), F.max("at_ms").alias("high")).first()
+    if bounds["low"] is None:
+        return base
+    quarter = F.floor((F.col("at_ms") - bounds["low"]) * 4 / (bounds["high"] - bounds["low"] + 1))
+    for number in range(4):
+        rows.where(quarter == number).drop("at_ms").write.mode("append").parquet(f"{base}/log")
+        st.await_all(start(st.read_changes(spark, f"{base}/log", schema), f"{base}/table", f"{base}/state"))
+    return base
+
+
+@query
+def streamed_activity_retained(spark, sf):
+    """Daily counters of the newest fifteen days: four arrivals, two of them write a base and expire old days."""
+    rows = ad.activity_events(spark, sf).withColumn("at_ms", F.unix_millis("at"))
+    base = _arrivals(spark, sf, st.ACTIVITY, rows, lambda *a: st.run_activity(*a, every=2))
+    return _daily(spark, f"{base}/table")
+
+
+@query
+def streamed_history_retained(spark, sf):
+    """Newest 5,000 files changed in the last twenty days: four arrivals, two of them write a base."""
+    rows = ad.history_events(spark, sf).withColumn("at_ms", F.col("observed_at"))
+    base = _arrivals(spark, sf, st.EVENT, rows, lambda *a: st.run_history(*a, days=20, every=2))
+    return st.read_history(spark, f"{base}/table", days=20).select("event_id", "location_id", "path", "kind", "observed_at")
 
 
 @query
@@ -1058,5 +1091,5 @@ def streamed_throttle(spark, sf):
 @query
 def streamed_history(spark, sf):
     base = checkpoints.folder(spark)
-    st.await_all(st.run_history(ad.as_history(_event_stream(spark, sf)), f"{base}/latest", f"{base}/state"))
-    return st.read_history(spark, f"{base}/latest").select("event_id", "location_id", "path", "kind", "observed_at")
+    st.await_all(st.run_history(ad.as_history(_event_stream(spark, sf)), f"{base}/latest", f"{base}/state", days=None, cap=None))
+    return st.read_history(spark, f"{base}/latest", days=None, cap=None).select("event_id", "location_id", "path", "kind", "observed_at")

@@ -578,6 +578,10 @@ After making changes, run the OKF linter again and report the remaining findings
 
 ORACLES["streamed_activity"] = ORACLES["activity_daily"]
 ORACLES["streamed_history"] = ORACLES["deduped_history"]
+ORACLES["streamed_activity_retained"] = f"SELECT * FROM ({ORACLES['activity_daily']}) WHERE day >= (SELECT strftime(max(ts) - INTERVAL 14 DAYS, '%Y-%m-%d') FROM events)"
+RECENT = IDENT.replace("FROM events)", "FROM events WHERE epoch_us(ts) // 1000 >= (SELECT max(epoch_us(ts) // 1000) FROM events) - 20 * 86400000)", 1)
+ORACLES["streamed_history_retained"] = f"""WITH RECURSIVE {RECENT}, newest AS (SELECT event_id, location_id, path, kind, observed_at FROM hist JOIN ident ON ident.node = hist.user_id
+  QUALIFY row_number() OVER (PARTITION BY identity ORDER BY observed_at DESC, event_id) = 1) SELECT * FROM newest ORDER BY observed_at DESC, event_id LIMIT 5000"""
 ORACLES["streamed_bursts"] = f"""WITH {ACT}, o AS (SELECT location_id, kind, happened, lag(happened) OVER (PARTITION BY location_id ORDER BY happened) AS previous FROM act),
   g AS (SELECT *, sum(CASE WHEN previous IS NULL OR happened - previous >= INTERVAL 10 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY location_id ORDER BY happened) AS burst FROM o)
   SELECT location_id, strftime(min(happened), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS started_at, count(*) AS changes, bool_or(kind = 'removed') AS force FROM g

@@ -1,8 +1,9 @@
 """Structured Streaming jobs over change and activity logs.
 
-The corpus model has no notion of late data: every event counts.  Counters run
-in update mode and are merged in ``foreachBatch``; a watermark only bounds
-state where one is set with ``with_bounds``.
+The corpus model has no notion of late data: every event counts.  Counters and
+history are reduced inside each micro-batch and merged in stored tables, which
+expire what is too old, so these streams keep no state; a watermark bounds the
+state of bursts where one is set with ``with_bounds``.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorelake import checkpoints
 from lorelake.brand import DEFAULT, Brand
+from lorelake.operators import history as hi
 from lorelake.operators import report as rp
 
 CHANGES = "location_id string, path string, at timestamp"
@@ -99,80 +102,141 @@ def throttle_batch(requests: DataFrame, minimum_ms: int = 5_000) -> DataFrame:
     return requests.select("location_id", "at_ms").distinct().groupBy("location_id").applyInArrow(fold, RUN)
 
 
-def activity_stream(events: DataFrame) -> DataFrame:
-    """Daily counters as a streaming aggregation (tumbling day windows)."""
-    kind = F.col("kind")
-    return events.where(kind.isin(rp.KINDS)).groupBy(
-        F.window("at", "1 day").alias("w"), "location_id", "relative_path").agg(
-        *[F.count_if(kind == k).alias(f"{k}_count") for k in rp.KINDS],
-        F.max(F.when(kind.isin("changed", "created", "removed"), F.col("at"))).alias("last_changed_at"),
-        F.max(F.when(kind.isin("served", "context"), F.col("at"))).alias("last_served_at"),
-    ).withColumn("day", F.date_format(F.col("w.start"), "yyyy-MM-dd")).drop("w")
+# -- merged tables -----------------------------------------------------------
 
 
-def versioned_sink(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` writer of update-mode rows: each micro-batch is its own folder.
-
-    Writing a batch again after a failure overwrites the same folder, so the
-    table is exact; ``read_versions`` takes the newest row per key.
-    """
+def batch_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` writer of append-mode rows: a folder for each micro-batch, written again by a repeat."""
     def write(rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
 
 
-def read_versions(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    rows = spark.read.parquet(path)
-    rest = [c for c in rows.columns if c not in keys and c != "batch"]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
-    return newest.select(*keys, "r.*")
+def _folders(spark: SparkSession, path: str) -> dict[str, list[int]]:
+    """Numbers of the whole ``base=N`` and ``batch=N`` folders of a merged table."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[str, list[int]] = {"base": [], "batch": []}
+    for status in system.listStatus(root) if system.exists(root) else []:
+        kind, _, number = status.getPath().getName().partition("=")
+        if kind in found and system.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            found[kind].append(int(number))
+    return found
+
+
+def read_merged(spark: SparkSession, path: str, schema: T.StructType | str, before: int | None = None) -> DataFrame:
+    """Rows of the newest base and of the batches after it (``before``: as they were before that batch)."""
+    found = _folders(spark, path)
+    upto = [n for n in found["base"] if before is None or n < before]
+    base = max(upto, default=-1)
+    after = sorted(n for n in found["batch"] if n > base and (before is None or n < before))
+    folders = [f"{path}/base={base}"] * (base >= 0) + [f"{path}/batch={n}" for n in after]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def merged_sink(path: str, reduce: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame],
+                every: int = 16) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` writer of a table that its batches add up to; the stream itself keeps no state.
+
+    A batch writes its ``reduce``d rows to a folder of its own. The last of each ``every``
+    batches writes a base instead, the ``merge`` of all rows so far, and deletes what is
+    older than the base before it. A batch that is repeated after a failure thus still finds
+    what it merges and replaces its own folder; at most twice ``every`` folders stay.
+    """
+    def write(rows: DataFrame, batch_id: int) -> None:
+        spark, fresh = rows.sparkSession, reduce(rows)
+        if (batch_id + 1) % every:
+            fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            return
+        # Cut, so that what merge asks about its rows and the write read the batch once.
+        whole = checkpoints.cut(read_merged(spark, path, fresh.schema, batch_id).unionByName(fresh))
+        merge(whole).write.mode("overwrite").parquet(f"{path}/base={batch_id}")
+        found = _folders(spark, path)
+        keep = max((n for n in found["base"] if n < batch_id), default=-1)
+        for kind, numbers in found.items():
+            for number in numbers:
+                if number < keep or (kind == "batch" and number <= keep):
+                    old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}={number}")
+                    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
+    return write
 
-def run_activity(events: DataFrame, table: str, checkpoint: str):
-    """Start the counter stream into ``table`` for what is available now."""
-    keys = ["location_id", "day", "relative_path"]
-    return (activity_stream(events).writeStream.outputMode("update").foreachBatch(versioned_sink(table, keys))
+
+def _run_merged(events: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
+    return (events.writeStream.outputMode("append").foreachBatch(sink)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-EVENT = "event_id bigint, location_id string, path string, previous_path string, kind string, observed_at bigint"
+DAILY = "location_id string, day string, relative_path string, " + ", ".join(
+    f"{k}_count bigint" for k in rp.KINDS) + ", last_changed_at timestamp, last_served_at timestamp"
+
+
+def _expired(daily: DataFrame, days: int | None) -> DataFrame:
+    """Rows of the newest day and the ``days`` before it; all without a limit."""
+    newest = None if days is None else daily.agg(F.max("day")).first()[0]
+    return daily if newest is None else rp.expire_activity(daily, newest, days)
 
 
-def latest_by_path(events: DataFrame) -> DataFrame:
-    """Newest event per (location, path), a streaming aggregation in update mode.
+def run_activity(events: DataFrame, table: str, checkpoint: str, days: int | None = rp.ACTIVITY_DAYS, every: int = 16):
+    """Start the daily counters into ``table`` for what is available now.
 
-    Rename edges are kept beside it, because identity needs them after the
-    event that carried them is no longer the newest.
+    Every event counts, however late, unless its day has expired: a new base leaves out
+    days more than ``days`` before the newest day seen (None: nothing expires).
     """
-    newest = F.min_by(F.struct("event_id", "kind", "observed_at"), F.struct((-F.col("observed_at")).alias("age"), "event_id"))
-    previous = F.collect_set("previous_path")
-    return events.groupBy("location_id", "path").agg(newest.alias("e"), previous.alias("previous_paths"))
+    merge = lambda rows: rp.summed_activity(_expired(rows, days))
+    return _run_merged(events, merged_sink(table, rp.activity_daily, merge, every), checkpoint)
 
 
-def run_history(events: DataFrame, table: str, checkpoint: str):
-    """Keep the newest event per path; ``read_history`` merges renamed paths."""
-    return (latest_by_path(events).writeStream.outputMode("update").foreachBatch(versioned_sink(table, ["location_id", "path"]))
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+def read_activity(spark: SparkSession, table: str, days: int | None = rp.ACTIVITY_DAYS) -> DataFrame:
+    """Daily counters from the table, expired days left out whether they are still stored or not."""
+    return rp.summed_activity(_expired(read_merged(spark, table, DAILY), days))
+
 
+EVENT = "event_id bigint, location_id string, path string, previous_path string, kind string, observed_at bigint"
 
-def read_history(spark: SparkSession, table: str) -> DataFrame:
-    """Latest event per file identity from the history table."""
-    from lorelake.operators import history as hi
 
-    rows = read_versions(spark, table, ["location_id", "path"])
-    edges = rows.select("location_id", "path", F.explode("previous_paths").alias("previous_path"))
-    key = lambda c: F.concat_ws("\x00", "location_id", c)
-    named = hi.components(edges.select(key("path").alias("a"), key("previous_path").alias("b")))
-    keyed = rows.withColumn("node", key("path")).join(named, "node", "left").withColumn("identity", F.coalesce("component", "node"))
-    best = keyed.groupBy("identity").agg(F.min_by(
-        F.struct("location_id", "path", "e"), F.struct((-F.col("e.observed_at")).alias("age"), F.col("e.event_id"))).alias("b"))
-    return best.select("identity", "b.location_id", "b.path", "b.e.*")
+def newest_events(events: DataFrame) -> DataFrame:
+    """Newest event of each (location, path), and of each rename edge as a row of its own.
+
+    Identity needs the edges after the events that carried them are no longer the newest.
+    The function may be applied to its own results.
+    """
+    own = events.withColumn("previous_path", F.lit(None).cast("string"))
+    both = own.unionByName(events.where("previous_path <> ''"))
+    first = F.min_by(F.struct("event_id", "kind", "observed_at"), F.struct((-F.col("observed_at")).alias("age"), "event_id"))
+    return both.groupBy("location_id", "path", "previous_path").agg(first.alias("e")).select(
+        "e.event_id", "location_id", "path", "previous_path", "e.kind", "e.observed_at")
 
 
-def expire_activity(table: DataFrame, as_of: str) -> DataFrame:
-    """Daily rows inside the 15-day retention window."""
-    return rp.expire_activity(table, as_of)
+def _recent(rows: DataFrame, days: int | None) -> DataFrame:
+    newest = None if days is None else rows.agg(F.max("observed_at")).first()[0]
+    return rows if newest is None else rows.where(F.col("observed_at") >= newest - days * 86_400_000)
+
+
+def run_history(events: DataFrame, table: str, checkpoint: str, days: int | None = hi.HISTORY_DAYS,
+                cap: int | None = hi.HISTORY_CAP, every: int = 16):
+    """Keep the newest event per path and the rename edges; ``read_history`` merges renamed paths.
+
+    A new base forgets events older than ``days`` before the newest, edges included, and
+    files behind the ``cap`` newest ones (None: no limit).
+    """
+    def merge(rows: DataFrame) -> DataFrame:
+        kept = newest_events(_recent(rows, days))
+        if cap is None or kept.where("previous_path IS NULL").count() <= cap:
+            return kept
+        named = checkpoints.cut(hi.file_identity(kept))
+        top = hi.newest_per_identity(named).orderBy(F.desc("observed_at"), "event_id").limit(cap)
+        return named.join(top.select("identity"), "identity", "left_semi").drop("identity")
+
+    return _run_merged(events, merged_sink(table, newest_events, merge, every), checkpoint)
+
+
+def read_history(spark: SparkSession, table: str, days: int | None = hi.HISTORY_DAYS, cap: int | None = hi.HISTORY_CAP) -> DataFrame:
+    """Latest event per file identity from the history table, newest ``cap`` of the last ``days`` days."""
+    rows = newest_events(_recent(read_merged(spark, table, EVENT), days))
+    latest = hi.dedupe_history(rows).select("identity", "location_id", "path", "event_id", "kind", "observed_at")
+    return latest if cap is None else latest.orderBy(F.desc("observed_at"), "event_id").limit(cap)
 
 
 def sync_stream(bursts: DataFrame, locations: DataFrame, base: str, checkpoint: str, brand: Brand = DEFAULT):

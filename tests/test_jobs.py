@@ -149,9 +149,8 @@ def test_activity_stream_equals_batch(spark, tmp_path):
     events = ad.activity_events(spark, SF)
     source = log(spark, events, tmp_path / "events")
     stream = spark.readStream.schema(st.ACTIVITY).option("maxFilesPerTrigger", 1).parquet(source)
-    st.await_all(st.run_activity(stream, str(tmp_path / "daily"), str(tmp_path / "cp")))
-    keys = ["location_id", "day", "relative_path"]
-    got = st.read_versions(spark, str(tmp_path / "daily"), keys)
+    st.await_all(st.run_activity(stream, str(tmp_path / "daily"), str(tmp_path / "cp"), days=None, every=2))
+    got = st.read_activity(spark, str(tmp_path / "daily"), days=None)
     want = rp.activity_daily(events)
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
 
@@ -193,12 +192,58 @@ def test_history_stream_equals_batch(spark, tmp_path):
     events = ad.history_events(spark, SF)
     source = log(spark, events, tmp_path / "history")
     stream = spark.readStream.schema(st.EVENT).option("maxFilesPerTrigger", 1).parquet(source)
-    st.await_all(st.run_history(stream, str(tmp_path / "table"), str(tmp_path / "cp")))
-    got = st.read_history(spark, str(tmp_path / "table")).select("identity", "event_id", "observed_at")
+    st.await_all(st.run_history(stream, str(tmp_path / "table"), str(tmp_path / "cp"), days=None, cap=None, every=2))
+    got = st.read_history(spark, str(tmp_path / "table"), days=None, cap=None).select("identity", "event_id", "observed_at")
     want = hi.dedupe_history(events).select("identity", "event_id", "observed_at")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_sixty_days_leave_fifteen(spark, tmp_path):
+    """Stored rows and folders stay bounded, the stream has no state, late events of kept days count."""
+    start, table, source = 1_704_067_200, str(tmp_path / "daily"), str(tmp_path / "events")
+    days = [(f"d{d}", d) for d in range(60)]
+    rows = [("a", path, "changed", start + 86_400 * d + 60) for path, d in days] + [("a", "late", "served", start + 86_400 * 50)]
+    events = spark.createDataFrame(rows, "location_id string, relative_path string, kind string, s long").selectExpr(
+        "location_id", "relative_path", "kind", "timestamp_seconds(s) AS at")
+    for low in range(0, 60, 10):  # the late event arrives last
+        last = "OR relative_path = 'late'" if low == 50 else "AND relative_path <> 'late'"
+        day = f"(unix_seconds(at) - {start}) div 86400"
+        events.where(f"{day} >= {low} AND {day} < {low + 10} {last}").coalesce(1).write.mode("append").parquet(source)
+        query = st.run_activity(spark.readStream.schema(st.ACTIVITY).parquet(source), table, str(tmp_path / "cp"), every=2)
+        st.await_all(query)
+        assert not any(p["stateOperators"] for p in query.recentProgress)
+    want = rp.expire_activity(rp.activity_daily(events), "2024-02-29")
+    got = st.read_activity(spark, table)
+    assert got.count() == 16 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+    folders = sorted(p.name for p in tmp_path.joinpath("daily").iterdir() if "=" in p.name)
+    assert folders == ["base=3", "base=5", "batch=4"]
+    assert spark.read.parquet(f"{table}/base=5").count() == 16
+
+
+def test_a_base_can_be_written_again(spark, tmp_path):
+    sink = st.merged_sink(str(tmp_path / "t"), rp.activity_daily, rp.summed_activity, every=2)
+    rows = spark.createDataFrame([("a", "x", "changed")], "location_id string, relative_path string, kind string").withColumn(
+        "at", F.to_timestamp(F.lit("2024-01-01 10:00:00")))
+    for batch in (0, 0, 1, 1, 2, 3, 3, 3):
+        sink(rows, batch)
+    assert [r.changed_count for r in st.read_activity(spark, str(tmp_path / "t")).collect()] == [4]
+
+
+def test_history_keeps_the_newest_files_of_the_window(spark, tmp_path):
+    day, source, table = 86_400_000, str(tmp_path / "events"), str(tmp_path / "table")
+    rows = [(d * 10 + i, "a", f"p{d}-{i}", f"p{d - 1}-{i}" if i == 0 and d % 3 else None, "renamed" if i == 0 and d % 3 else "modified", d * day + i)
+            for d in range(48) for i in range(4)]
+    events = spark.createDataFrame(rows, st.EVENT)
+    for low in range(0, 48, 12):
+        events.where(f"observed_at >= {low * day} AND observed_at < {(low + 12) * day}").coalesce(1).write.mode("append").parquet(source)
+        st.await_all(st.run_history(spark.readStream.schema(st.EVENT).parquet(source), table, str(tmp_path / "cp"), days=30, cap=50, every=2))
+    recent = events.where(f"observed_at >= {47 * day + 3 - 30 * day}")
+    want = hi.cap_history(hi.dedupe_history(recent), 47 * day + 3, cap=50).select("identity", "event_id", "path", "observed_at")
+    got = st.read_history(spark, table, days=30, cap=50).select(want.columns)
+    assert got.count() == 50 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert spark.read.parquet(f"{table}/base=3").where("previous_path IS NULL").count() <= 70
+
+
 def test_sync_stream(spark, tmp_path):
     root, base = tmp_path / "kb", str(tmp_path / "tables")
     write(root, {"a.md": "---\ntype: T\n---\n# A"})
