@@ -29,6 +29,7 @@ from lorelake.operators import sync
 from lorelake.sources import adapters as ad
 from lorelake.sources import corpus
 from lorelake.sources import tables as tb
+from lorelake.sources.search_index import SearchIndex
 from lorelake.streaming import streams as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +81,20 @@ def search_candidates(spark, sf):
         F.round("s_title", 4).alias("s_title"), F.round("s_body", 4).alias("s_body"), F.round("s_headings", 4).alias("s_headings"))
 
 
+@query
+def search_stored_index(spark, sf):
+    """The same from a kept index: other titles and copies first, then a refresh that mends and removes them."""
+    docs = ad.corpus_docs(spark, sf)
+    index = SearchIndex(spark, checkpoints.folder(spark), buckets=64)
+    copies = docs.withColumn("relative_path", F.concat(F.lit("copies/"), F.col("relative_path")))
+    index.refresh(docs.withColumn("title", F.concat(F.lit("old "), F.col("title"))).unionByName(copies))
+    index.refresh(docs, copies)
+    found = se.candidates(docs, ad.search_queries(spark, sf), AS_OF, index=index)
+    return found.select(
+        "query_id", "location_id", "relative_path", "candidate_rank", F.round("weighted_score", 4).alias("weighted_score"),
+        F.round("s_title", 4).alias("s_title"), F.round("s_body", 4).alias("s_body"), F.round("s_headings", 4).alias("s_headings"))
+
+
 @query
 def search_candidates_any_term(spark, sf):
     found = se.candidates(ad.corpus_docs(spark, sf), ad.search_queries(spark, sf), AS_OF, mode="or")

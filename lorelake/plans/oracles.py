@@ -576,6 +576,7 @@ After making changes, run the OKF linter again and report the remaining findings
     "collapsed_text": f"SELECT page_id, md5({collapse('html')}) AS collapsed_hash FROM pages",
 }
 
+ORACLES["search_stored_index"] = ORACLES["search_candidates"]
 ORACLES["streamed_activity"] = ORACLES["activity_daily"]
 ORACLES["streamed_history"] = ORACLES["deduped_history"]
 ORACLES["streamed_activity_retained"] = f"SELECT * FROM ({ORACLES['activity_daily']}) WHERE day >= (SELECT strftime(max(ts) - INTERVAL 14 DAYS, '%Y-%m-%d') FROM events)"

@@ -13,6 +13,7 @@ One writer at a time works on a location.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import time
 import uuid
@@ -174,20 +175,33 @@ def vacuum(spark: SparkSession, base: str, table: str, older_ms: int = 86_400_00
     return deleted
 
 
+POSTINGS = ("location_id string, relative_path string, field string, term string, dl bigint, tf bigint, generation bigint, bucket int")
+
+
 def write_postings(postings: DataFrame, path: str, buckets: int = 256) -> None:
-    """Term index partitioned by location and term hash, so a term lookup reads few folders.
+    """Term index partitioned by term hash, so a term lookup reads few folders.
 
     The document salt keeps a very frequent term from landing in one task.
     """
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    (postings.withColumn("bucket", bucket).repartition("location_id", "bucket", F.pmod(F.xxhash64("relative_path"), F.lit(8)))
-     .sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("location_id", "bucket").parquet(path))
+    (postings.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("relative_path"), F.lit(8)))
+     .sortWithinPartitions("bucket", "location_id", "field", "term").write.mode("overwrite").partitionBy("bucket").parquet(path))
 
 
-def read_postings(spark: SparkSession, path: str, vocabulary: DataFrame, buckets: int = 256) -> DataFrame:
-    """Postings of a query vocabulary; the bucket join prunes partitions at run time."""
-    words = vocabulary.select("term").distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    return spark.read.parquet(path).join(words, ["bucket", "term"], "left_semi").drop("bucket")
+def read_postings(spark: SparkSession, paths: str | list[str], vocabulary: DataFrame | None = None, buckets: int = 256) -> DataFrame:
+    """Postings of a query vocabulary (None: all); only the folders of its term buckets are read.
+
+    The driver sees bucket numbers only, at most ``buckets`` of them.
+    """
+    paths = [paths] if isinstance(paths, str) else paths
+    if not paths:
+        return spark.createDataFrame([], POSTINGS).drop("bucket")
+    rows = functools.reduce(DataFrame.unionByName, [spark.read.schema(POSTINGS).parquet(path) for path in paths])
+    if vocabulary is not None:
+        words = vocabulary.select("term").distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+        asked = sorted(r["bucket"] for r in words.select("bucket").distinct().collect())
+        rows = rows.where(F.col("bucket").isin(asked)).join(sizes.small(words.drop("bucket"), 200_000), "term", "left_semi")
+    return rows.drop("bucket")
 
 
 def write_lines(blocks: DataFrame, path: str, order: list, text: str = "text") -> None:

@@ -1,6 +1,7 @@
 """Files on disk → tables, incremental runs, lint, and streams equal to their batch twins."""
 
 import os
+import re
 import shutil
 
 from pyspark.sql import functions as F
@@ -265,3 +266,31 @@ def test_postings_table(spark, tmp_path):
     scored = se.bm25(stored, se.field_stats(docs), tokens)
     assert stored.count() == fresh.count()
     assert scored.count() == se.bm25(fresh, se.field_stats(docs), tokens).count()
+
+
+def test_kept_index_equals_the_scan(spark, tmp_path):
+    """After changes, removals, a dead refresh and compaction; only the buckets of the batch are opened."""
+    from lorelake.operators import search as se
+    from lorelake.sources.search_index import SearchIndex
+
+    docs, queries = ad.corpus_docs(spark, SF), ad.search_queries(spark, SF)
+    index = SearchIndex(spark, str(tmp_path / "index"), buckets=16)
+    first = docs.withColumn("body", F.concat("body", F.lit(" the old words of a first version")))
+    index.refresh(first)
+    gone = docs.where("relative_path LIKE '%7.md'").select("location_id", "relative_path")
+    kept = docs.join(gone, ["location_id", "relative_path"], "left_anti")
+    number = index.refresh(kept.where("relative_path LIKE '%1.md'"), gone)
+    shutil.rmtree(tmp_path / "index" / f"delta={number}" / "stats")
+    index.refresh(kept, gone)
+
+    def rows(found):
+        return sorted(tuple(r) for r in found.withColumn("weighted_score", F.round("weighted_score", 5)).select(
+            "query_id", "location_id", "relative_path", "candidate_rank", "weighted_score").collect())
+
+    assert gone.count()
+    want = rows(se.candidates(kept, queries, "2024-01-31"))
+    assert want and rows(se.candidates(kept, queries, "2024-01-31", index=index)) == want
+    index.compact()
+    assert rows(se.candidates(kept, queries, "2024-01-31", index=index)) == want
+    plan = index.postings(spark.createDataFrame([("the",)], "term string"))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ = \d+", plan)
