@@ -1,9 +1,8 @@
-"""Markdown structure as whole-text regular expressions and array functions.
+"""Inline Markdown as regular expressions over the blocks of ``functions.blocks``.
 
 Nothing is shuffled: every expression works inside one document row.  Known
-gaps against a full CommonMark parser: a link whose label or target spans two
-lines, code spans that span lines, indented code blocks, setext headings of
-more than one line, and character entities.
+gaps against a full CommonMark parser: character entities, a link label that
+holds quote markers of its own lines, and table cells.
 """
 
 from __future__ import annotations
@@ -11,24 +10,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lorelake.functions import blocks as bl
+from lorelake.functions.text import let
+
 FENCED = (
     r"(?dms)^ {0,3}(`{3,})[^`\n]*(?:\n.*?(?:^ {0,3}\1`*[ \t\r]*$|\z)|\z)"
     r"|^ {0,3}(~{3,})[^\n]*(?:\n.*?(?:^ {0,3}\2~*[ \t\r]*$|\z)|\z)"
     r"|<!--.*?-->"
 )
-CODE_SPAN = r"(?<!`)(`+)(?!`)[^\n]*?(?<!`)\1(?!`)"
+CODE_SPAN = r"(?s)(?<!`)(`+)(?!`).*?(?<!`)\1(?!`)"
 
-HEADING = (
-    r"(?dm)^ {0,3}#{1,6}(?:[ \t]+[^\n]*|\r?)$"
-    r"|^ {0,3}(?![#>\-*+\s]|\d+[.)]\s)[^\n]+\n {0,3}(?:=+|-+)[ \t\r]*$"
-)
+_CONTAINERS = r"^(?:[ \t]*>[ \t]?|[ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]+)*+[ \t]*"
 
-_RUN = r"(?:[^\[\]\\]++|\\.)"
+_RUN = r"(?:[^\[\]\\]++|\\[\s\S])"
 _INNER = r"!\[[^\[\]]*\](?:\([^()\s]*\))?|\[[^\[\]]*\](?![(\[])"
-_LABEL = rf"(?:[^\[\]\\!]++|\\.|{_INNER}|!)*+"
-_DEST = r"(?:<[^<>]*>|(?:[^\s()\\<]++|\\.|\((?:[^\s()\\]++|\\.)*\))*)"
-_TITLE = r"(?:[ \t]+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?"
-INLINE_LINK = rf"!?\[{_LABEL}\]\([ \t]*({_DEST}){_TITLE}[ \t]*\)"
+_LABEL = rf"(?:[^\[\]\\!]++|\\[\s\S]|{_INNER}|!)*+"
+_DEST = r"(?:<[^<>\n]*>|(?:[^\s()\\<]++|\\.|\((?:[^\s()\\]++|\\.)*\))*)"
+_GAP = r"[ \t]*\n?[ \t]*"
+_TITLE = r"(?:(?:[ \t]+\n?|\n)[ \t]*(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?"
+INLINE_LINK = rf"!?\[{_LABEL}\]\({_GAP}({_DEST}){_TITLE}{_GAP}\)"
 FULL_REFERENCE = rf"!?\[({_LABEL})\]\[([^\[\]]*)\]"
 SHORT_REFERENCE = rf"!?\[({_RUN}+)\]"
 URI_AUTOLINK = r"<[A-Za-z][A-Za-z0-9+.\-]{1,31}:[^\s<>]*>"
@@ -50,25 +50,32 @@ def blank_out(text: Column, pattern: str) -> Column:
 
 
 def without_blocks(body: Column) -> Column:
-    """Body with fenced code and HTML comments blanked."""
+    """Body with fenced and indented code, HTML blocks and comments blanked."""
     fenced = body.rlike("`{3}|~{3}|<!--")
-    return F.when(fenced, blank_out(body, FENCED)).otherwise(body)
+    return bl.without_literals(F.when(fenced, blank_out(body, FENCED)).otherwise(body))
+
+
+def marked_blocks(text: Column) -> Column:
+    """``blocks.inline_blocks`` of a body without literals; none where no line can hold a heading or link."""
+    marked = text.rlike(r"(?dm)[\[<#]|^[> \t]*(?:=+|-+)[ \t\r]*$")
+    return F.when(marked, bl.inline_blocks(text)).otherwise(F.expr("cast(array() as array<struct<line:int,text:string>>)"))
 
 
 def without_code(blocks: Column) -> Column:
-    """Further blank inline code spans."""
-    return F.when(F.contains(blocks, F.lit("`")), blank_out(blocks, CODE_SPAN)).otherwise(blocks)
+    """Blocks with their code spans blanked; a span may run over lines, never into the next block."""
+    return F.transform(blocks, lambda b: F.struct(b["line"].alias("line"), F.when(
+        F.contains(b["text"], F.lit("`")), blank_out(b["text"], CODE_SPAN)).otherwise(b["text"]).alias("text")))
 
 
 def inline_text(raw: Column) -> Column:
-    """Visible text of one heading line: markup dropped, code kept."""
+    """Visible text of one heading: markup dropped, code kept."""
     text = F.regexp_replace(raw, r"!?\[((?:[^\[\]\\]++|\\.|!?\[[^\[\]]*\](?:\([^()\s]*\))?)*+)\]\([^()]*\)", "$1")
     text = F.regexp_replace(text, r"!?\[([^\[\]]*)\]\([^()]*\)", "$1")
     text = F.regexp_replace(text, r"<([A-Za-z][A-Za-z0-9+.\-]{1,31}:[^\s<>]*)>", "$1")
     text = F.regexp_replace(text, r"</?[A-Za-z][^<>]*>", "")
-    text = F.regexp_replace(text, r"(\*{1,3})(?=\S)(.+?)(?<=\S)\1", "$2")
-    text = F.regexp_replace(text, r"(?<![\p{L}\p{N}])(_{1,3})(?=\S)(.+?)(?<=\S)\1(?![\p{L}\p{N}])", "$2")
-    text = F.regexp_replace(text, r"~~(?=\S)(.+?)(?<=\S)~~", "$1")
+    text = F.regexp_replace(text, r"(?s)(\*{1,3})(?=\S)(.+?)(?<=\S)\1", "$2")
+    text = F.regexp_replace(text, r"(?s)(?<![\p{L}\p{N}])(_{1,3})(?=\S)(.+?)(?<=\S)\1(?![\p{L}\p{N}])", "$2")
+    text = F.regexp_replace(text, r"(?s)~~(?=\S)(.+?)(?<=\S)~~", "$1")
     code = F.contains(text, F.lit("`"))
     smart = F.regexp_replace(text, r"(^|[\s(\[{])\"", "$1“")
     smart = F.replace(smart, F.lit('"'), F.lit("”"))
@@ -80,25 +87,34 @@ def inline_text(raw: Column) -> Column:
     return F.regexp_replace(text, _ESCAPE, "$1")
 
 
-def _heading(match: Column) -> Column:
-    atx = match.rlike("^ {0,3}#")
-    hashes = F.length(F.regexp_extract(match, "^ {0,3}(#{1,6})", 1))
-    atx_raw = F.regexp_replace(
-        F.regexp_replace(match, r"^ {0,3}#{1,6}[ \t]*", ""), r"(?:^|[ \t]+)#+[ \t\r]*$", ""
-    )
-    setext_level = F.when(match.rlike(r"=[ \t\r]*$"), F.lit(1)).otherwise(F.lit(2))
-    raw = F.when(atx, atx_raw).otherwise(F.split_part(match, F.lit("\n"), F.lit(1)))
-    raw = F.regexp_replace(raw, r"[ \t]*\{[^{}]*\}[ \t\r]*$", "")
-    return F.struct(
-        F.when(atx, hashes).otherwise(setext_level).cast("tinyint").alias("level"),
-        F.regexp_replace(inline_text(raw), r"^\s+|\s+$", "").alias("text"),
-    )
+def _heading(text: Column) -> Column:
+    """Level and text of a block that is a heading, else level null."""
+    first = F.substring_index(text, "\n", 1)
+    last = F.substring_index(text, "\n", -1)
+    quoted, item = first.rlike(bl.QUOTE), first.rlike(bl.ITEM)
+    underlined = F.contains(text, F.lit("\n")) & (
+        F.when(quoted, last.rlike(r"^(?: {0,3}>[ ]?)+ {0,3}(?:=+|-+)[ \t\r]*$"))
+        .when(item, last.rlike(r"^[ \t]{2,}(?:=+|-+)[ \t\r]*$"))
+        .otherwise(last.rlike(r"^ {0,3}(?:=+|-+)[ \t\r]*$")))
+    inner = F.regexp_replace(text, _CONTAINERS, "")
+
+    def read(s: Column) -> Column:
+        hashes = F.length(F.regexp_extract(s["inner"], r"^(#{1,6})(?:[ \t]|\r?$)", 1))
+        atx_raw = F.regexp_replace(F.regexp_replace(s["inner"], r"^#{1,6}[ \t]*", ""), r"(?:^|[ \t]+)#+[ \t\r]*$", "")
+        lines = F.regexp_replace(F.regexp_replace(s["inner"], r"\n[^\n]*$", ""), r"[ \t\r]*\n[ \t>]*", "\n")
+        level = F.when(hashes > 0, hashes).when(s["underlined"], F.when(s["last"].rlike(r"=[ \t\r]*$"), 1).otherwise(2))
+        raw = F.regexp_replace(F.when(hashes > 0, atx_raw).otherwise(lines), r"[ \t]*\{[^{}]*\}[ \t\r]*$", "")
+        # A line break inside a heading is no text, so the words at both of its sides touch.
+        visible = F.replace(F.regexp_replace(inline_text(raw), r"^\s+|\s+$", ""), F.lit("\n"), F.lit(""))
+        return F.struct(level.cast("tinyint").alias("level"), F.when(level.isNotNull(), visible).alias("text"))
+
+    return let(F.struct(inner.alias("inner"), underlined.alias("underlined"), last.alias("last")), read)
 
 
 def headings(blocks: Column) -> Column:
-    """ARRAY<STRUCT<level, text>> of the non-empty headings of a block-masked body."""
-    found = F.regexp_extract_all(blocks, F.lit(HEADING), F.lit(0))
-    return F.filter(F.transform(found, _heading), lambda h: h["text"] != "")
+    """ARRAY<STRUCT<level, text>> of the non-empty headings among the blocks."""
+    shaped = F.filter(blocks, lambda b: b["text"].rlike(r"#|\n[> \t]*(?:=+|-+)[ \t\r]*\z"))
+    return F.filter(F.transform(shaped, lambda b: _heading(b["text"])), lambda h: h["level"].isNotNull() & (h["text"] != ""))
 
 
 def label_key(label: Column) -> Column:

@@ -147,42 +147,40 @@ def metadata_links(nodes: Column) -> Column:
     return F.filter(F.concat(fixed, listed), lambda s: s["target"].isNotNull())
 
 
-def markdown_links(masked: Column, defs: Column, first_line: Column, first_column: Column) -> Column:
-    """ARRAY<STRUCT<target, line, start, end>> in document order."""
-    lines = F.transform(
-        F.split(masked, "\n"), lambda line, i: F.struct(i.alias("i"), line.alias("line"))
-    )
-    kept = F.filter(lines, lambda c: c["line"].rlike(r"[\[<]") & ~c["line"].rlike(md.DEFINITION))
-    cut = F.transform(
-        kept,
-        lambda c: F.struct(
-            c["i"].alias("i"),
-            F.regexp_extract_all(c["line"], F.lit(md.LINK), F.lit(0)).alias("found"),
-            F.transform(F.split(c["line"], md.LINK, -1), F.length).alias("gaps"),
-        ),
-    )
+_FOUND = "array<struct<target:string,line:int,start:int,end_line:int,end:int>>"
+
+
+def markdown_links(blocks: Column, defs: Column, first_line: Column, first_column: Column) -> Column:
+    """ARRAY<STRUCT<target, line, start, end_line, end>> in document order; a link may run over the lines of its block."""
+    kept = F.filter(blocks, lambda b: b["text"].rlike(r"[\[<]") & ~b["text"].rlike(md.DEFINITION))
+
+    def moved(line: Column, column: Column, passed: Column) -> Column:
+        """Line and column after ``passed``."""
+        breaks = F.length(passed) - F.length(F.replace(passed, F.lit("\n"), F.lit("")))
+        return F.struct((line + breaks).alias("line"), F.when(
+            breaks > 0, F.length(F.substring_index(passed, "\n", -1)) + 1).otherwise(column + F.length(passed)).alias("column"))
+
+    def step(state: Column, x: Column) -> Column:
+        def add(s: Column) -> Column:
+            found = F.struct(x["target"].alias("target"), s["a"]["line"].alias("line"), s["a"]["column"].alias("start"),
+                             s["b"]["line"].alias("end_line"), s["b"]["column"].alias("end"))
+            return F.struct(s["b"]["line"].alias("line"), s["b"]["column"].alias("column"), F.when(
+                x["target"].isNotNull(), F.concat(state["out"], F.array(found))).otherwise(state["out"]).alias("out"))
+
+        before = moved(state["line"], state["column"], x["gap"])
+        return tx.let(tx.let(before, lambda a: F.struct(a.alias("a"), moved(a["line"], a["column"], x["found"]).alias("b"))), add)
+
+    def spread(b: Column) -> Column:
+        pairs = F.zip_with(
+            F.regexp_extract_all(b["text"], F.lit(md.LINK), F.lit(0)), F.split(b["text"], md.LINK, -1),
+            lambda m, gap: F.struct(m.alias("found"), gap.alias("gap")))
+        links = F.transform(F.filter(pairs, lambda p: p["found"].isNotNull()), lambda p: F.struct(
+            p["found"].alias("found"), p["gap"].alias("gap"), md.link_target(p["found"], defs).alias("target")))
+        start = F.struct((b["line"] + first_line).cast("int").alias("line"), F.when(b["line"] == 0, first_column).otherwise(1).cast(
+            "int").alias("column"), F.expr(f"cast(array() as {_FOUND})").alias("out"))
+        return F.aggregate(links, start, step, lambda s: s["out"])
 
-    def total(lengths: Column) -> Column:
-        return F.aggregate(lengths, F.lit(0), lambda acc, x: acc + x)
-
-    def spread(c: Column) -> Column:
-        sizes = F.transform(c["found"], F.length)
-        return F.transform(
-            c["found"],
-            lambda m, j: F.struct(
-                md.link_target(m, defs).alias("target"),
-                (c["i"] + first_line).cast("int").alias("line"),
-                (
-                    total(F.slice(c["gaps"], F.lit(1), j + 1)) + total(F.slice(sizes, F.lit(1), j)) + 1
-                    + F.when(c["i"] == 0, first_column - 1).otherwise(0)
-                ).cast("int").alias("start"),
-                F.length(m).alias("size"),
-            ),
-        )
-
-    found = F.filter(F.flatten(F.transform(cut, spread)), lambda s: s["target"].isNotNull())
-    empty = F.expr("cast(array() as array<struct<target:string,line:int,start:int,size:int>>)")
-    return F.when(masked.rlike(r"\]\s*[\[(]|\]:|<[A-Za-z]"), found).otherwise(empty)
+    return F.flatten(F.transform(kept, spread))
 
 
 def resolve_target(target: Column, relative_path: Column, root_path: Column) -> Column:
@@ -315,11 +313,12 @@ def _findings(brand: Brand) -> Column:
 def _with_structure(docs: DataFrame) -> DataFrame:
     """Add ``headings`` and ``_found`` (body links), from the text alone."""
     line, column = source_position(F.col("content"), F.col("body_offset"))
-    docs = docs.withColumns({"_blocks": md.without_blocks(F.col("body")), "_line": line, "_column": column})
+    docs = docs.withColumns({"_text": md.without_blocks(F.col("body")), "_line": line, "_column": column})
+    docs = docs.withColumn("_blocks", md.marked_blocks(F.col("_text")))
     docs = docs.withColumns({"headings": md.headings(F.col("_blocks")), "_masked": md.without_code(F.col("_blocks"))})
-    docs = docs.withColumn("_defs", md.definitions(F.col("_masked")))
+    docs = docs.withColumn("_defs", md.definitions(F.array_join(F.transform("_masked", lambda b: b["text"]), "\n")))
     found = markdown_links(F.col("_masked"), F.col("_defs"), F.col("_line"), F.col("_column"))
-    return docs.withColumn("_found", found).drop("_blocks", "_line", "_column", "_masked", "_defs")
+    return docs.withColumn("_found", found).drop("_text", "_blocks", "_line", "_column", "_masked", "_defs")
 
 
 def _with_links(docs: DataFrame) -> DataFrame:
@@ -328,7 +327,7 @@ def _with_links(docs: DataFrame) -> DataFrame:
     from_body = F.transform("_found", lambda s: F.struct(
         s["target"].alias("target"), F.lit("markdown").alias("origin"), F.lit(None).cast("string").alias("field"),
         s["line"].alias("start_line"), s["start"].alias("start_column"),
-        s["line"].alias("end_line"), (s["start"] + s["size"]).alias("end_column")))
+        s["end_line"].alias("end_line"), s["end"].alias("end_column")))
     from_meta = F.transform("_fields", lambda s: F.struct(
         s["target"].alias("target"), F.lit("metadata").alias("origin"), s["field"].alias("field"),
         none.alias("start_line"), none.alias("start_column"), none.alias("end_line"), none.alias("end_column")))

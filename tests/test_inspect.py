@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lorelake.functions import blocks as bl
 from lorelake.operators import graph as gr
 from lorelake.operators import inspect as ins
 
@@ -136,3 +137,55 @@ def test_format_value(spark):
     df = spark.sql("select parse_json('\"x\"') a, parse_json('{\"k\": [1, true]}') b")
     row = df.select(ins.format_value(F.col("a")).alias("a"), ins.format_value(F.col("b")).alias("b")).first()
     assert row.a == "x" and row.b == '{"k":[1,true]}'
+
+
+WRAPPED = [
+    # (body, links as (target, line, column, end line, end column), headings)
+    ("See [a long\nlabel](x.md) end", [("x.md", 1, 5, 2, 13)], []),
+    ("[a](\nx.md\n'title') [b](y.md\n\"t\nu\")", [("x.md", 1, 1, 3, 9), ("y.md", 3, 10, 5, 4)], []),
+    ("[a\n\nb](x.md)", [], []),
+    ("[a\n# b](x.md)", [], [(1, "b](x.md)")]),
+    ("[a\n- b](x.md) [c](d.md)", [("d.md", 2, 12, 2, 21)], []),
+    ("`code [a](x.md)\nmore` [b](y.md)", [("y.md", 2, 7, 2, 16)], []),
+    ("`open\n\n[a](x.md)`", [("x.md", 3, 1, 3, 10)], []),
+    ("[full\ntext][the\nref]\n\n[the ref]: x.md", [("x.md", 1, 1, 3, 5)], []),
+    ("text\n    [lazy](x.md)\n\n    [code](y.md)\n\n\t[code](z.md)\n", [("x.md", 2, 5, 2, 17)], []),
+    ("# H\n    [code](y.md)\n[a](b.md)", [("b.md", 3, 1, 3, 10)], [(1, "H")]),
+    ("- item\n\n  [in](a.md)\n\n      [code](b.md)\n\n    [text](c.md)\n\n[out](d.md)",
+     [("a.md", 3, 3, 3, 13), ("c.md", 7, 5, 7, 17), ("d.md", 9, 1, 9, 12)], []),
+    ("- a\n  - b\n\n    [in b](a.md)\n\n        [code](c.md)\n\n  [in a](b.md)\n\n      [code](d.md)",
+     [("a.md", 4, 5, 4, 17), ("b.md", 8, 3, 8, 15)], []),
+    ("1. one\n\n    ```\n    [code](a.md)\n    # no\n    ```\n\n   [b](b.md)", [("b.md", 8, 4, 8, 13)], []),
+    ("<div>\n[raw](a.md)\n# raw\n</div>\n\n[b](b.md)", [("b.md", 6, 1, 6, 10)], []),
+    ("<pre>\n[raw](a.md)\n\n[raw](a.md)\n</pre>\n[b](b.md)", [("b.md", 6, 1, 6, 10)], []),
+    ("text <b>[a](a.md)</b>\n<http://x.y/z> [c](c.md)", [("a.md", 1, 9, 1, 18), ("http://x.y/z", 2, 1, 2, 15), ("c.md", 2, 16, 2, 25)], []),
+    ("Two line\nheading\n===\nthen\nthree\nlines\n---\n", [], [(1, "Two lineheading"), (2, "thenthreelines")]),
+    ("> quoted [a\n> b](x.md)\nlazy [c](y.md)\n\n> # Q\n> text\n> ---\n", [("x.md", 1, 10, 2, 11), ("y.md", 3, 6, 3, 15)], [(1, "Q"), (2, "text")]),
+    ("- foo\n---\n- # In item\n- set\n  ===\n", [], [(1, "In item"), (1, "set")]),
+    ("*it* [x](y.md)\n--\n\n***\n---\n", [("y.md", 1, 6, 1, 15)], [(2, "it x")]),
+    ("~~~\n    [a](b.md)\n~~~\n    [c](d.md)\n", [], []),
+    ("[a\\\nb](x.md)\r\n\r\n[c\r\nd](y.md)", [("x.md", 1, 1, 2, 9), ("y.md", 4, 1, 5, 9)], []),
+    ("", [], []), ("\n\n", [], []), ("    \n", [], []),
+]
+
+
+def test_markdown_over_lines(spark):
+    """Links, code spans and headings over lines; literal blocks in and out of lists and quotes."""
+    rows = [("w", f"n{i:02d}.md", body) for i, (body, _, _) in enumerate(WRAPPED)]
+    inspected = ins.inspect(corpus(spark, rows)).select("relative_path", "headings", "links").collect()
+    got = {r.relative_path: (
+        [(k.target, k.start_line, k.start_column, k.end_line, k.end_column) for k in r.links], [(h.level, h.text) for h in r.headings]) for r in inspected}
+    want = {path: (links, titles) for (_, path, _), (_, links, titles) in zip(rows, WRAPPED)}
+    assert {k: v for k, v in got.items() if v != want[k]} == {}
+
+
+def test_blocks_are_the_whole_text(spark):
+    """Joined blocks give back the text; blanking keeps every line break and length; null stays null."""
+    texts = [body for body, _, _ in WRAPPED] + ["- a\n\n      code\n\n\n      code\nb\n" * 50, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    blank = bl.without_literals(F.col("t"))
+    out = df.select("t", blank.alias("b"), F.array_join(F.transform(bl.inline_blocks(F.col("t")), lambda x: x["text"]), "\n").alias("j")).collect()
+    for row in out:
+        assert row.j == row.t
+        assert row.t is None and row.b is None or [len(x) for x in row.b.split("\n")] == [len(x) for x in row.t.split("\n")]
+        assert row.t is None or all(x == y or x == " " for x, y in zip(row.b, row.t))
