@@ -342,6 +342,14 @@ def inspected_links(spark, sf):
         "start_line", "start_column", "end_line", "end_column")
 
 
+@query
+def wrapped_links(spark, sf):
+    """Links over two lines between code spans over two lines and indented code."""
+    return ins.links_table(ins.inspect(ad.wrapped_files(spark, sf))).select(
+        "location_id", "source_relative_path", "position", "target", "target_relative_path", "status",
+        "start_line", "start_column", "end_line", "end_column")
+
+
 @query
 def document_findings(spark, sf):
     return ins.findings_table(_inspected(spark, sf)).select(

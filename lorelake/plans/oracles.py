@@ -600,3 +600,10 @@ GENERATIONS = f"""WITH {SNAP}, g AS (SELECT location_id, ok, relative_path, size
     size + CASE ok % 10 WHEN 3 THEN 1 WHEN 2 THEN 5 ELSE 0 END AS size, modified_at_ms FROM g WHERE ok % 10 <> 4)"""
 ORACLES["merged_generations"] = f"{GENERATIONS} SELECT * FROM m"
 ORACLES["compacted_generations"] = f"{GENERATIONS} SELECT *, 1::BIGINT AS attempts FROM m"
+ORACLES["wrapped_links"] = r"""WITH w AS (SELECT doc_id::VARCHAR AS doc, coalesce(lang, 'none') AS location_id, coalesce(source, 'none') AS folder,
+    regexp_extract_all(text, '\p{L}+') AS words FROM documents),
+  p AS (SELECT *, unnest(range((len(words) + 7) // 8)) AS k FROM w),
+  t AS (SELECT *, k::VARCHAR || '-' || doc || '.md' AS target FROM p)
+  SELECT location_id, folder || '/' || lpad(doc, 8, '0') || '.md' AS source_relative_path, k::INT AS position, target, folder || '/' || target AS target_relative_path,
+    'candidate' AS status, (7 * k + 1)::INT AS start_line, (length(words[8 * k + 1]) + length(coalesce(words[8 * k + 2], 'x')) + 3)::INT AS start_column,
+    (7 * k + 2)::INT AS end_line, (length(coalesce(words[8 * k + 5], 'x')) + length(target) + 4)::INT AS end_column FROM t"""

@@ -6,10 +6,11 @@ with the table it is made from.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorelake.brand import DEFAULT, Brand
+from lorelake.functions.text import let
 
 AS_OF = "2024-01-31"
 
@@ -55,6 +56,26 @@ def corpus_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def wrapped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents → Markdown of all their words, eight a paragraph, with links and code spans over two lines and indented code."""
+
+    def paragraph(words: Column, doc: Column, k: Column) -> Column:
+        w = [F.coalesce(F.get(words, k * 8 + j), F.lit("x")) for j in range(8)]
+        return F.concat(
+            w[0], F.lit(" "), w[1], F.lit(" ["), w[2], F.lit(" "), w[3], F.lit("\n"), w[4], F.lit("]("), k.cast("string"), F.lit("-"), doc,
+            F.lit(".md) "), w[5], F.lit("\n`"), w[6], F.lit("\n["), w[7], F.lit("](no.md)`\n\n    [code](no.md)\n\n"))
+
+    doc = F.col("doc_id").cast("string")
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\p{L}+"), F.lit(0))
+    content = let(words, lambda w: F.when(F.size(w) > 0, F.array_join(F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(w) - 1) / 8).cast("int")), lambda k: paragraph(w, doc, k)), "")).otherwise(F.lit("")))
+    location = F.coalesce("lang", F.lit("none"))
+    return table(spark, sf_dir, "documents").select(
+        location.alias("location_id"), F.concat(F.lit("/data/"), location).alias("root_path"),
+        F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.lpad(doc, 8, "0"), F.lit(".md")).alias("relative_path"),
+        content.alias("content"))
+
+
 def concept_files(spark: SparkSession, sf_dir: str, brand: Brand = DEFAULT) -> DataFrame:
     """part → Markdown files with front matter, links, code and review blocks, in four locations."""
     k = "p_partkey"
