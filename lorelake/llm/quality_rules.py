@@ -7,10 +7,11 @@ learned. A text is kept if its content lines hold at least ``min_share`` of its
 and no base rule fails.
 
 Training lines come from at most ``per_class`` labelled texts of each class, chosen by
-a hash of their id: lines of texts labelled good are content unless they repeat an
+a hash of their id among those that are not held out (a fifth of the ids): lines of texts labelled good are content unless they repeat an
 earlier line, lines of texts labelled bad are boilerplate; a line found in texts of both
 classes is content. All texts are read whole. Null and empty texts have no words, fail
-the base rules and are not kept.
+the base rules and are not kept. Repeated rows are judged alike, each on its own; an
+empty table gives no rows and, as training data, a model for which every line is content.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from lorelake.llm import crf
 from lorelake.llm.common import adding, fresh
+from lorelake.llm.compression_quality import held_out
 from lorelake.llm.grams import window_hashes, word_hashes
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -77,7 +79,7 @@ def line_features(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     values = np.zeros((len(lines), len(STEPS)))
     flags = np.zeros((len(lines), len(FLAGS)), np.int64)
     for i, line in enumerate(lines):
-        words = line.split()
+        words = line.encode().split()  # at ASCII white space only, as the base counts
         chars = max(1, len(line) - line.count(" "))
         alpha = len(letters_of(line))
         upper = sum(1 for c in line if c.isupper()) if line != line.lower() else 0
@@ -135,8 +137,12 @@ def train(rows: list[tuple[str, int]]) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> Model:
-    """A model from a bounded sample of labelled rows; ids labelled both ways, null ids and null labels are not used."""
+    """A model from a bounded sample of labelled rows that are not held out.
+
+    Ids labelled both ways, null ids and null labels are not used; of an id that has several rows each text counts once.
+    """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
+    known = known.filter(~held_out(F.col("id")))
     clear = known.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").select("id", "label")
     order = F.xxhash64(F.lit("lines"), "id")
     chosen = clear.filter("label = 0").orderBy(order, "id").limit(per_class).union(clear.filter("label = 1").orderBy(order, "id").limit(per_class))

@@ -62,6 +62,13 @@ def plain_base(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), repeats, len(covered)
 
 
+def test_line_words_are_the_base_words():
+    """Other spaces than ASCII ones do not part words, alone or beside ASCII ones."""
+    for text in ("a\u00a0b\u3000c", "\u00a0\n\u3000x y\u2003z\nplain words here", "\x1ca\x85b\n\n \t"):
+        lines = quality_rules.lines_of(text)
+        assert quality_rules.line_features(lines)[1].sum() == quality_rules.base_counts(text)[0] == plain_base(text)[0]
+
+
 def test_quality_rules(odd_docs, no_docs, spark):
     docs, marked = documents(spark, SMALL), labels(spark, SMALL)
     model = quality_rules.fit(docs, marked)
@@ -75,6 +82,9 @@ def test_quality_rules(odd_docs, no_docs, spark):
             if frame is docs and r["doc_id"] in known and not r["base_failed"]:
                 seen, right = seen + 1, right + (r["kept"] == (known[r["doc_id"]] == 1))
     assert right >= 0.97 * seen
+    turned = marked.withColumn("quality", F.when(compression_quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    other = quality_rules.fit(docs, turned).chain
+    assert (other.weights == model.chain.weights).all() and (other.transitions == model.chain.transitions).all()
     assert quality_rules.apply_rules(no_docs, quality_rules.fit(no_docs, marked)).count() == 0
 
 
