@@ -111,7 +111,8 @@ def backlinks(links: DataFrame, docs: DataFrame, seeds: DataFrame) -> DataFrame:
         F.col("source_relative_path").alias("other"))
     wanted = incoming.join(seeds.select("location_id", "relative_path").distinct(), ["location_id", "relative_path"], "left_semi")
     named = docs.select("location_id", F.col("relative_path").alias("other"), "title")
-    return wanted.distinct().join(named, ["location_id", "other"])
+    # A path that is listed twice does not repeat its links.
+    return wanted.join(named, ["location_id", "other"]).distinct()
 
 
 def concept_projection(inspected: DataFrame) -> DataFrame:

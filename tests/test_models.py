@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorelake.functions import text as tx
 from lorelake.operators import filters as fl
+from lorelake.operators import graph as gr
 from lorelake.operators import history as hi
 from lorelake.operators import packs as pk
 from lorelake.operators import review as rv
@@ -223,3 +224,11 @@ def test_paths(spark):
 def test_percent_decoding(spark):
     rows = spark.createDataFrame([("a+b%20c",), ("100%zz",), ("end%",), ("%FF",), ("%C3%A9",)], "p string")
     assert [r[0] for r in rows.select(tx.percent_decode(F.col("p"))).collect()] == ["a+b c", "100%zz", "end%", "%FF", "é"]
+
+
+def test_backlinks_of_a_path_that_is_listed_twice(spark):
+    """Two rows of one path and title are one linking document."""
+    links = spark.createDataFrame([("a", "x.md", "y.md", "resolved")],
+                                  "location_id string, source_relative_path string, target_relative_path string, status string")
+    docs = spark.createDataFrame([("a", "x.md", "X"), ("a", "x.md", "X"), ("a", "y.md", "Y")], "location_id string, relative_path string, title string")
+    assert [tuple(r) for r in gr.backlinks(links, docs, docs).select("relative_path", "other", "title").collect()] == [("y.md", "x.md", "X")]
