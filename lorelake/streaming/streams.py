@@ -219,7 +219,8 @@ def run_history(events: DataFrame, table: str, checkpoint: str, days: int | None
     """Keep the newest event per path and the rename edges; ``read_history`` merges renamed paths.
 
     A new base forgets events older than ``days`` before the newest, edges included, and
-    files behind the ``cap`` newest ones (None: no limit).
+    files behind the ``cap`` newest ones (None: no limit). Their rename edges stay as long as
+    the window lasts: a path that changes again later is still the same file.
     """
     def merge(rows: DataFrame) -> DataFrame:
         kept = newest_events(_recent(rows, days))
@@ -227,7 +228,8 @@ def run_history(events: DataFrame, table: str, checkpoint: str, days: int | None
             return kept
         named = checkpoints.cut(hi.file_identity(kept))
         top = hi.newest_per_identity(named).orderBy(F.desc("observed_at"), "event_id").limit(cap)
-        return named.join(top.select("identity"), "identity", "left_semi").drop("identity")
+        own = named.where("previous_path IS NULL").join(top.select("identity"), "identity", "left_semi")
+        return own.unionByName(named.where("previous_path IS NOT NULL")).drop("identity")
 
     return _run_merged(events, merged_sink(table, newest_events, merge, every), checkpoint)
 
@@ -235,7 +237,9 @@ def run_history(events: DataFrame, table: str, checkpoint: str, days: int | None
 def read_history(spark: SparkSession, table: str, days: int | None = hi.HISTORY_DAYS, cap: int | None = hi.HISTORY_CAP) -> DataFrame:
     """Latest event per file identity from the history table, newest ``cap`` of the last ``days`` days."""
     rows = newest_events(_recent(read_merged(spark, table, EVENT), days))
-    latest = hi.dedupe_history(rows).select("identity", "location_id", "path", "event_id", "kind", "observed_at")
+    # Edges tell what is one file; its events are the rows without one.
+    named = hi.file_identity(rows).where("previous_path IS NULL")
+    latest = hi.newest_per_identity(named).select("identity", "location_id", "path", "event_id", "kind", "observed_at")
     return latest if cap is None else latest.orderBy(F.desc("observed_at"), "event_id").limit(cap)
 
 

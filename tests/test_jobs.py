@@ -245,6 +245,18 @@ def test_history_keeps_the_newest_files_of_the_window(spark, tmp_path):
     assert spark.read.parquet(f"{table}/base=3").where("previous_path IS NULL").count() <= 70
 
 
+def test_rename_edges_outlive_the_files_a_base_forgets(spark, tmp_path):
+    """old -> new is behind the cap when the base is written; both names change again later and are still one file."""
+    source, table = str(tmp_path / "events"), str(tmp_path / "table")
+    first = [(1, "a", "new", "old", "renamed", 10)] + [(i, "a", f"p{i}", None, "modified", 100 + i) for i in range(2, 8)]
+    later = [(20, "a", "old", None, "created", 1000), (21, "a", "new", None, "modified", 1001)]
+    for rows in (first, later):
+        spark.createDataFrame(rows, st.EVENT).coalesce(1).write.mode("append").parquet(source)
+        st.await_all(st.run_history(spark.readStream.schema(st.EVENT).parquet(source), table, str(tmp_path / "cp"), days=30, cap=3, every=1))
+    got = st.read_history(spark, table, days=30, cap=3).select("event_id").collect()
+    assert sorted(r.event_id for r in got) == [6, 7, 21]
+
+
 def test_sync_stream(spark, tmp_path):
     root, base = tmp_path / "kb", str(tmp_path / "tables")
     write(root, {"a.md": "---\ntype: T\n---\n# A"})
