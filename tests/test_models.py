@@ -232,3 +232,20 @@ def test_backlinks_of_a_path_that_is_listed_twice(spark):
                                   "location_id string, source_relative_path string, target_relative_path string, status string")
     docs = spark.createDataFrame([("a", "x.md", "X"), ("a", "x.md", "X"), ("a", "y.md", "Y")], "location_id string, relative_path string, title string")
     assert [tuple(r) for r in gr.backlinks(links, docs, docs).select("relative_path", "other", "title").collect()] == [("y.md", "x.md", "X")]
+
+
+def test_postings_are_counted_inside_the_document_row(spark):
+    """Counts of repeated, accented and mixed tokens; no task adds up the tokens of many documents."""
+    from collections import Counter
+
+    from lorelake.operators import search as se
+
+    fields = {"body": ("body", 1.0)}
+    words = {"x": ["b", "a", "é", "e", "b", "7", "a", "b"], "y": ["a"], "z": []}
+    docs = spark.createDataFrame([("l", k, " ".join(w) if w else None) for k, w in words.items()], "location_id string, relative_path string, body string")
+    got = se.postings(docs, fields)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = [(k, t, len(w), n) for k, w in words.items() for t, n in Counter("e" if t == "é" else t for t in w).items()]
+    assert sorted(tuple(r) for r in got.select("relative_path", "term", "dl", "tf").collect()) == sorted(want)
+    asked = spark.createDataFrame([("a",)], "term string")
+    assert sorted(tuple(r) for r in se.postings(docs, fields, asked).select("relative_path", "tf").collect()) == [("x", 2), ("y", 1)]
