@@ -43,15 +43,20 @@ def _comment(item: Column) -> Column:
 
 
 def review_comments(docs: DataFrame, brand: Brand = DEFAULT) -> DataFrame:
-    """One row per comment of a valid review block; an invalid block is one ``error`` row."""
+    """One row per comment of a valid review block; an invalid block is one ``error`` row.
+
+    Documents without a block give an empty list instead of being filtered: a filter on
+    the parsed text would move below a repartition and parse whole files in one task.
+    """
     content = F.col("content")
     opens = content.rlike(r"\A---[ \t]*\r?\n")
     front = F.when(opens, F.regexp_extract(content, _FRONT, 0)).otherwise(F.lit(""))
-    staged = docs.select("location_id", "relative_path", front.alias("_front"), opens.alias("_opens"), content.alias("content"))
-    body = F.substring(content, F.length("_front") + 1, F.length(content))
-    staged = staged.where(~(F.col("_opens") & (F.col("_front") == ""))).withColumn(
-        "_body", F.replace(body, F.lit("\r\n"), F.lit("\n"))).drop("content", "_front", "_opens")
-    marked = staged.where(F.startswith("_body", F.lit(brand.review_marker)))
+    # The marker is part of one line, so only documents that contain it are parsed.
+    staged = docs.select("location_id", "relative_path", F.when(F.contains(content, F.lit(brand.review_marker)), content).alias("content"))
+    staged = staged.withColumns({"_front": front, "_opens": opens})
+    body = F.replace(F.substring(content, F.length("_front") + 1, F.length(content)), F.lit("\r\n"), F.lit("\n"))
+    staged = staged.withColumn("_body", F.when(~(F.col("_opens") & (F.col("_front") == "")), body)).drop("content", "_front", "_opens")
+    marked = staged.withColumn("_body", F.when(F.startswith("_body", F.lit(brand.review_marker)), F.col("_body")))
     head = brand.review_marker + "\n"
     rest = F.substring("_body", len(head) + 1, 1 << 30)
     close = F.locate("\n-->", F.col("_rest"))
@@ -66,16 +71,12 @@ def review_comments(docs: DataFrame, brand: Brand = DEFAULT) -> DataFrame:
         .when(F.col("_payload").isNull(), "The review block is not closed.")
         .when(F.col("_items").isNull() | ~F.forall("_items", lambda i: i["valid"]),
               "The review block is invalid: Expected a comments array."))
-    rows = checked.withColumn("error", error).withColumn(
-        "_list", F.when(F.col("error").isNull(), F.transform("_items", lambda i: i["c"])))
-    good = rows.where("error IS NULL").select("location_id", "relative_path", F.posexplode("_list").alias("position", "c")).select(
-        "location_id", "relative_path", "position", "c.*", F.lit(None).cast("string").alias("error"))
-    bad = rows.where("error IS NOT NULL").select(
-        "location_id", "relative_path", F.lit(None).cast("int").alias("position"),
-        *[F.lit(None).cast(kind).alias(name) for name, kind in (
-            ("id", "string"), ("quote", "string"), ("comment", "string"), ("created_at", "string"))],
-        F.lit(None).cast("struct<start:int,end:int,prefix:string,suffix:string>").alias("anchor"), "error")
-    return good.unionByName(bad)
+    rows = checked.withColumn("error", F.when(F.col("_body").isNotNull(), error))
+    none = F.lit(None).cast("string")
+    listed = F.when(F.col("error").isNotNull(), F.array(F.struct(F.lit(None).cast(COMMENT).alias("c"), F.col("error").alias("error")))).when(
+        F.col("_body").isNotNull(), F.transform("_items", lambda i: F.struct(i["c"].alias("c"), none.alias("error"))))
+    found = rows.select("location_id", "relative_path", F.posexplode_outer(listed).alias("n", "r")).where("r IS NOT NULL")
+    return found.select("location_id", "relative_path", F.when(F.col("r.error").isNull(), F.col("n")).alias("position"), "r.c.*", "r.error")
 
 
 def occurrences(text: Column, quote: Column) -> Column:

@@ -249,3 +249,9 @@ def test_postings_are_counted_inside_the_document_row(spark):
     assert sorted(tuple(r) for r in got.select("relative_path", "term", "dl", "tf").collect()) == sorted(want)
     asked = spark.createDataFrame([("a",)], "term string")
     assert sorted(tuple(r) for r in se.postings(docs, fields, asked).select("relative_path", "tf").collect()) == [("x", 2), ("y", 1)]
+
+
+def test_review_blocks_are_parsed_after_documents_are_spread(spark):
+    docs = spark.createDataFrame([("l", "a.md", "text")], "location_id string, relative_path string, content string").repartition(3)
+    plan = rv.review_comments(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "RLIKE" in plan.upper() and "RLIKE" not in plan.upper().partition("EXCHANGE ROUNDROBIN")[2]
