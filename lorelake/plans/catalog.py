@@ -661,11 +661,12 @@ def refreshed_links(spark, sf):
 @query
 def refreshed_links_delta(spark, sf):
     """The same change, with only the links looked at whose target went; all other links stay as they are."""
-    links = _links(_stored(spark, sf))
+    stored = _stored(spark, sf)
+    links = _links(stored)
     files = ad.concept_files(spark, sf)
     went = files.where("part_key % 7 = 3")
     # Root indexes are no concept files; the first listing does not have them either.
-    root = _stored(spark, sf).where("relative_path = 'index.md'").select("location_id", "relative_path")
+    root = stored.where("relative_path = 'index.md'").select("location_id", "relative_path")
     again = gr.refresh_affected(links, files.limit(0), went.select("location_id", "relative_path").union(root))
     rest = links.join(again.select("location_id", "source_relative_path").distinct(), ["location_id", "source_relative_path"], "left_anti")
     return rest.unionByName(again).groupBy("location_id", "origin", "status").agg(F.count("*").alias("n"))

@@ -255,3 +255,12 @@ def test_review_blocks_are_parsed_after_documents_are_spread(spark):
     docs = spark.createDataFrame([("l", "a.md", "text")], "location_id string, relative_path string, content string").repartition(3)
     plan = rv.review_comments(docs)._jdf.queryExecution().executedPlan().toString()
     assert "RLIKE" in plan.upper() and "RLIKE" not in plan.upper().partition("EXCHANGE ROUNDROBIN")[2]
+
+
+def test_refreshed_links_delta_inspects_the_corpus_once(spark, monkeypatch):
+    from lorelake.plans import catalog
+
+    calls, stored = [], catalog._stored
+    monkeypatch.setattr(catalog, "_stored", lambda *a: calls.append(a) or stored(*a))
+    catalog.QUERIES["refreshed_links_delta"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
