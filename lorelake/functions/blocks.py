@@ -3,8 +3,9 @@
 Both steps work inside one document row, without a shuffle.  ``without_literals``
 is one fold over the lines of those documents that can hold literal blocks; its
 state is the stack of list items, an open paragraph, fence or HTML block, and it
-grows by one number where a literal stretch begins or ends.  ``inline_blocks``
-then cuts the text where inline markup may not continue.
+grows by one number where a literal stretch begins or ends.  Documents whose only
+literal blocks are indented code need no fold.  ``inline_blocks`` then cuts the
+text where inline markup may not continue.
 
 Null text gives null blocks, empty text gives none.  Lines end at ``\\n``; all
 line numbers count from 0.
@@ -12,6 +13,8 @@ line numbers count from 0.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,6 +42,17 @@ _HTML_OPEN = rf"(?i)^ *</?(?:{HTML_NAMES.replace(' ', '|')})(?:\s|/?>|$)"
 _TAG_LINE = r"^ *(?:<[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]*)?/?>|</[A-Za-z][A-Za-z0-9-]*\s*>)\s*$"
 # A document without such a line has no literal blocks beside top-level fences.
 _MAYBE_LITERAL = r"(?dm)^[> ]*(?: {4}|\t)[ \t]*[^\s]|^[> ]*</?[A-Za-z]|^[> ]*(?:[-*+]|\d{1,9}[.)])[ \t]+(?:`{3}|~{3})"
+# Without such a line or character only blank lines and indentation decide what is indented code.
+_STRUCTURED = (
+    r"(?dm)\n *(?:[>#<]|(?:[-*+]|\d{1,9}[.)])(?: |$)|(?:=+|-+) *$"
+    r"|(?:\* *+){3}|(?:_ *+){3}|(?:- *+){3}|`{3}|~{3})"
+)
+_OTHER_SPACE = "\t\r\u0085\u2028\u2029"
+# One line of indented code: at the top, after a blank line or after another one.
+_INDENTED = r"(?d)(?=[ \n])(?:\A|(?m:^) *\n|\G(?<=\n)) {4,}[^ \n][^\n]*(?:\n|\z)"
+# Other lines have no marker, rule, heading, quote, fence or tag.
+_FEATURED = r"\t|^ *(?:[>#<=*_+`~\-]|\d)|</"
+_MARKED_LINE = r"^\s*$|^[ \t]*(?:[>#=*_+\-\[]|\d)"
 
 _STATE = (
     "named_struct('stack', cast(array() as array<int>), 'para', false, 'fence', '', 'html', '', 'quote', false, "
@@ -46,7 +60,34 @@ _STATE = (
 )
 
 
+def around(text: Column, pattern: str) -> Column:
+    """Stretches of the text in order: at odd places the matches, at even ones what lies between them.
+
+    ``split`` compiles its pattern for every text, ``regexp_replace`` once; only a text that holds the joint is split by the pattern.
+    """
+    joint = "\x1d"
+    pairs = F.flatten(F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.array(p, m)))
+    return F.when(F.contains(text, F.lit(joint)), F.slice(pairs, F.lit(1), F.size(pairs) - 1)).otherwise(
+        F.split(F.regexp_replace(text, pattern, f"{joint}$0{joint}"), joint, -1))
+
+
+def blank_out(text: Column, pattern: str) -> Column:
+    """Replace matches by spaces, keeping line breaks and every offset."""
+    return F.array_join(F.transform(
+        around(text, pattern), lambda p, i: F.when(i % 2 == 1, F.regexp_replace(p, r"[^\n]", " ")).otherwise(p)), "")
+
+
 def _line_features(line: Column) -> Column:
+    """Features of one line; most lines have none beside their indentation."""
+    none = F.struct(
+        F.lit(False).alias("quote"), (F.rtrim(F.replace(line, F.lit("\r"), F.lit(""))) == "").alias("blank"),
+        (F.length(line) - F.length(F.ltrim(line))).alias("indent"), F.lit(False).alias("item"), F.lit(1).alias("content"),
+        F.trim(line).alias("rest"), F.lit(False).alias("closed"), F.lit("").alias("fence"), F.lit("").alias("html"),
+        F.lit(False).alias("raw_end"))
+    return F.when(line.rlike(_FEATURED), _marked_features(line)).otherwise(none)
+
+
+def _marked_features(line: Column) -> Column:
     quote = line.rlike(QUOTE)
     inner = F.replace(F.regexp_replace(line, QUOTE, ""), F.lit("\t"), F.lit("    "))
 
@@ -75,6 +116,26 @@ def _last(stack: Column) -> Column:
 
 def _advance(state: Column, x: Column) -> Column:
     """State after one line; ``masked`` tells whether the line is literal."""
+    top = (F.size(state["stack"]) == 0) & (state["fence"] == "") & (state["html"] == "") & ~state["quote"]
+    flat = ~x["quote"] & ~x["item"] & (x["fence"] == "") & (x["html"] == "")
+    return F.when(top & flat, _advance_flat(state, x)).otherwise(_advance_nested(state, x))
+
+
+def _advance_flat(state: Column, x: Column) -> Column:
+    """``_advance_nested`` outside of items, quotes, fences and HTML: only blank lines, headings and indentation count."""
+
+    def after(code: Column) -> Column:
+        masked = F.when(x["blank"], state["masked"]).otherwise(code)
+        return F.struct(
+            state["stack"].alias("stack"), (~x["blank"] & ~code & ~x["closed"] & (x["rest"] != "")).alias("para"),
+            F.lit("").alias("fence"), F.lit("").alias("html"), F.lit(False).alias("quote"), masked.alias("masked"),
+            (state["i"] + 1).alias("i"),
+            F.when(masked != state["masked"], F.concat(state["at"], F.array(state["i"]))).otherwise(state["at"]).alias("at"))
+
+    return let(~x["blank"] & ~state["para"] & (x["indent"] >= 4), after)
+
+
+def _advance_nested(state: Column, x: Column) -> Column:
     lazy = state["para"] & ~x["blank"] & ~x["item"]
     moved = (x["quote"] != state["quote"]) & ~(lazy & ~x["quote"])
     before = F.struct(
@@ -143,10 +204,22 @@ def without_literals(text: Column) -> Column:
         marks = F.aggregate(F.transform(lines, _line_features), F.expr(_STATE), _advance, lambda s: s["at"])
         return _blank_stretches(lines, marks)
 
-    return F.when(text.rlike(_MAYBE_LITERAL), let(F.split(text, "\n", -1), work)).otherwise(text)
+    def spaced(t: Column) -> Column:
+        return reduce(lambda seen, c: seen | F.contains(t, F.lit(c)), _OTHER_SPACE, F.lit(False))
+
+    return let(text, lambda t: F.when(~t.rlike(_MAYBE_LITERAL), t)
+               .when(~(spaced(t) | F.concat(F.lit("\n"), t).rlike(_STRUCTURED)), blank_out(t, _INDENTED))
+               .otherwise(let(F.split(t, "\n", -1), work)))
 
 
 def _line_marks(line: Column) -> Column:
+    def alike(mark: bool) -> Column:
+        return F.struct(F.lit(False).alias("quote"), F.lit(mark).alias("opens"), F.lit(mark).alias("closes"))
+
+    return F.when(F.trim(line) == "", alike(True)).when(line.rlike(_MARKED_LINE), _full_line_marks(line)).otherwise(alike(False))
+
+
+def _full_line_marks(line: Column) -> Column:
     inner = F.regexp_replace(line, QUOTE, "")
 
     def look(s: Column) -> Column:
@@ -156,12 +229,12 @@ def _line_marks(line: Column) -> Column:
         dashes = t.rlike(UNDERLINE)
         item = t.rlike(ITEM) & ~t.rlike(r"^[ \t]*-+[ \t\r]*$")
         return F.struct(
-            s["line"].alias("line"), s["quote"].alias("quote"),
+            s["quote"].alias("quote"),
             (alone | (~dashes & (item | t.rlike(RULE)))).alias("opens"),
             (alone | dashes | t.rlike(RULE)).alias("closes"),
         )
 
-    return let(F.struct(line.alias("line"), line.rlike(QUOTE).alias("quote"), inner.alias("t")), look)
+    return let(F.struct(line.rlike(QUOTE).alias("quote"), inner.alias("t")), look)
 
 
 def inline_blocks(text: Column) -> Column:
@@ -172,14 +245,19 @@ def inline_blocks(text: Column) -> Column:
     by line breaks the blocks are the whole text.
     """
 
-    def cut(marks: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(marks) - 1), lambda i: (i == 0) | F.get(marks, i)["opens"] | F.get(
-            marks, i - 1)["closes"] | (F.get(marks, i)["quote"] & ~F.get(marks, i - 1)["quote"]))
+    def opens(marks: Column) -> Column:
+        def look(m: Column, before: Column) -> Column:
+            return m["opens"] | before["closes"] | (m["quote"] & ~before["quote"])
+
+        return F.transform(marks, lambda m, i: F.when(i == 0, False).otherwise(look(m, F.get(marks, i - 1))))
 
-        def pieces(s: Column) -> Column:
-            return F.transform(s, lambda at, j: F.struct(at.alias("line"), F.array_join(F.transform(
-                F.slice(marks, at + 1, F.coalesce(F.get(s, j + 1), F.size(marks)) - at), lambda m: m["line"]), "\n").alias("text")))
+    def cut(lines: Column) -> Column:
+        return let(let(F.transform(lines, _line_marks), opens), lambda bounds: pieces(lines, bounds))
 
-        return let(starts, pieces)
+    def pieces(lines: Column, bounds: Column) -> Column:
+        # An empty line is a block of its own, so an empty line between blocks parts them and nothing else.
+        starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | F.get(bounds, i))
+        joined = F.array_join(F.zip_with(lines, bounds, lambda v, b: F.when(b, F.concat(F.lit("\n"), v)).otherwise(v)), "\n")
+        return F.zip_with(starts, F.split(joined, "\n\n", -1), lambda at, t: F.struct(at.alias("line"), t.alias("text")))
 
-    return let(F.transform(F.split(text, "\n", -1), _line_marks), cut)
+    return let(F.split(text, "\n", -1), cut)

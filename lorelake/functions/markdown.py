@@ -39,32 +39,30 @@ DEFINITION = rf"(?dm)^ {{0,3}}\[(?!\^)({_RUN}+)\]:[ \t]*\n?[ \t]*(<[^<>\n]*>|[^\
 _ESCAPE = r"\\([!-/:-@\[-`{-~])"
 
 
-def blank_out(text: Column, pattern: str) -> Column:
-    """Replace matches by spaces, keeping line breaks and every offset."""
-    pieces = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    blanked = F.transform(found, lambda m: F.regexp_replace(m, r"[^\n]", " "))
-    return F.array_join(
-        F.zip_with(pieces, F.concat(blanked, F.array(F.lit(""))), lambda p, m: F.concat(p, m)), ""
-    )
-
-
 def without_blocks(body: Column) -> Column:
     """Body with fenced and indented code, HTML blocks and comments blanked."""
-    fenced = body.rlike("`{3}|~{3}|<!--")
-    return bl.without_literals(F.when(fenced, blank_out(body, FENCED)).otherwise(body))
+    fenced = F.contains(body, F.lit("```")) | F.contains(body, F.lit("~~~")) | F.contains(body, F.lit("<!--"))
+    return bl.without_literals(F.when(fenced, bl.blank_out(body, FENCED)).otherwise(body))
+
+
+_HEADED = r"#|\n[> \t]*(?:=+|-+)[ \t\r]*\z"
 
 
 def marked_blocks(text: Column) -> Column:
-    """``blocks.inline_blocks`` of a body without literals; none where no line can hold a heading or link."""
+    """``blocks.inline_blocks`` of a body without literals, of blocks that can hold a heading or link.
+
+    A definition may take its target from the block behind it, so with definitions all blocks stay.
+    """
     marked = text.rlike(r"(?dm)[\[<#]|^[> \t]*(?:=+|-+)[ \t\r]*$")
-    return F.when(marked, bl.inline_blocks(text)).otherwise(F.expr("cast(array() as array<struct<line:int,text:string>>)"))
+    useful = let(bl.inline_blocks(text), lambda blocks: F.when(F.contains(text, F.lit("]:")), blocks).otherwise(
+        F.filter(blocks, lambda b: (b["text"] != "") & b["text"].rlike(rf"[\[<]|{_HEADED}"))))
+    return F.when(marked, useful).otherwise(F.expr("cast(array() as array<struct<line:int,text:string>>)"))
 
 
 def without_code(blocks: Column) -> Column:
     """Blocks with their code spans blanked; a span may run over lines, never into the next block."""
     return F.transform(blocks, lambda b: F.struct(b["line"].alias("line"), F.when(
-        F.contains(b["text"], F.lit("`")), blank_out(b["text"], CODE_SPAN)).otherwise(b["text"]).alias("text")))
+        F.contains(b["text"], F.lit("`")), bl.blank_out(b["text"], CODE_SPAN)).otherwise(b["text"]).alias("text")))
 
 
 def inline_text(raw: Column) -> Column:
@@ -113,7 +111,7 @@ def _heading(text: Column) -> Column:
 
 def headings(blocks: Column) -> Column:
     """ARRAY<STRUCT<level, text>> of the non-empty headings among the blocks."""
-    shaped = F.filter(blocks, lambda b: b["text"].rlike(r"#|\n[> \t]*(?:=+|-+)[ \t\r]*\z"))
+    shaped = F.filter(blocks, lambda b: b["text"].rlike(_HEADED))
     return F.filter(F.transform(shaped, lambda b: _heading(b["text"])), lambda h: h["level"].isNotNull() & (h["text"] != ""))
 
 
@@ -137,7 +135,7 @@ def definitions(text: Column) -> Column:
 
 
 def destination(raw: Column) -> Column:
-    bare = F.when(raw.rlike("^<.*>$"), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+    bare = let(raw, lambda r: F.when(r.rlike("^<.*>$"), F.substring(r, F.lit(2), F.length(r) - 2)).otherwise(r))
     return F.regexp_replace(bare, _ESCAPE, "$1")
 
 

@@ -89,6 +89,10 @@ def percent_decode(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("%")), decoded).otherwise(text)
 
 
+# A path with an empty or dotted segment beside the empty one before a leading slash.
+_FOLDABLE = r"//|/\z|(?:\A|/)\.{1,2}(?:/|\z)"
+
+
 def fold_dots(path: Column) -> Column:
     """Lexical ``.``/``..`` folding; ``..`` above the top is a no-op."""
     parts = F.split(path, "/")
@@ -100,13 +104,13 @@ def fold_dots(path: Column) -> Column:
         .otherwise(F.concat(acc, F.array(p))),
     )
     lead = F.when(F.startswith(path, F.lit("/")), F.lit("/")).otherwise(F.lit(""))
-    return F.concat(lead, F.array_join(folded, "/"))
+    return F.when(path.rlike(_FOLDABLE), F.concat(lead, F.array_join(folded, "/"))).otherwise(path)
 
 
 def split_target(target: Column) -> tuple[Column, Column]:
     """(path without query text, fragment or null) of a link target."""
     has_fragment = F.contains(target, F.lit("#"))
-    path = F.split_part(F.split_part(target, F.lit("#"), F.lit(1)), F.lit("?"), F.lit(1))
+    path = F.substring_index(F.substring_index(target, "#", 1), "?", 1)
     fragment = F.when(has_fragment, F.substring(target, F.locate("#", target) + 1, F.length(target)))
     return path, fragment
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorelake.brand import DEFAULT, Brand
+from lorelake.functions import blocks as bl
 from lorelake.functions import front_matter as fm
 from lorelake.functions import markdown as md
 from lorelake.functions import text as tx
@@ -152,7 +153,7 @@ _FOUND = "array<struct<target:string,line:int,start:int,end_line:int,end:int>>"
 
 def markdown_links(blocks: Column, defs: Column, first_line: Column, first_column: Column) -> Column:
     """ARRAY<STRUCT<target, line, start, end_line, end>> in document order; a link may run over the lines of its block."""
-    kept = F.filter(blocks, lambda b: b["text"].rlike(r"[\[<]") & ~b["text"].rlike(md.DEFINITION))
+    kept = F.filter(blocks, lambda b: b["text"].rlike(r"[\[<]") & ~(F.contains(b["text"], F.lit("]:")) & b["text"].rlike(md.DEFINITION)))
 
     def moved(line: Column, column: Column, passed: Column) -> Column:
         """Line and column after ``passed``."""
@@ -171,11 +172,10 @@ def markdown_links(blocks: Column, defs: Column, first_line: Column, first_colum
         return tx.let(tx.let(before, lambda a: F.struct(a.alias("a"), moved(a["line"], a["column"], x["found"]).alias("b"))), add)
 
     def spread(b: Column) -> Column:
-        pairs = F.zip_with(
-            F.regexp_extract_all(b["text"], F.lit(md.LINK), F.lit(0)), F.split(b["text"], md.LINK, -1),
-            lambda m, gap: F.struct(m.alias("found"), gap.alias("gap")))
-        links = F.transform(F.filter(pairs, lambda p: p["found"].isNotNull()), lambda p: F.struct(
-            p["found"].alias("found"), p["gap"].alias("gap"), md.link_target(p["found"], defs).alias("target")))
+        links = tx.let(bl.around(b["text"], md.LINK), lambda parts: F.transform(
+            F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i % 2 == 1), lambda i: F.struct(
+                F.get(parts, i).alias("found"), F.get(parts, i - 1).alias("gap"),
+                md.link_target(F.get(parts, i), defs).alias("target"))))
         start = F.struct((b["line"] + first_line).cast("int").alias("line"), F.when(b["line"] == 0, first_column).otherwise(1).cast(
             "int").alias("column"), F.expr(f"cast(array() as {_FOUND})").alias("out"))
         return F.aggregate(links, start, step, lambda s: s["out"])
@@ -185,8 +185,12 @@ def markdown_links(blocks: Column, defs: Column, first_line: Column, first_colum
 
 def resolve_target(target: Column, relative_path: Column, root_path: Column) -> Column:
     """STRUCT<fragment, target_relative_path, status> by lexical resolution only."""
-    path, fragment = tx.split_target(target)
-    root = tx.fold_dots(root_path)
+    return resolve_from(target, relative_path, tx.fold_dots(root_path), tx.parent_dir(relative_path))
+
+
+def resolve_from(target: Column, relative_path: Column, root: Column, folder: Column) -> Column:
+    """``resolve_target`` for a folded root and the folder of the path, which all links of a document share."""
+    whole_path, fragment = tx.split_target(target)
 
     def outcome(status: str, where: Column) -> Column:
         return F.struct(fragment.alias("fragment"), where.cast("string").alias("target_relative_path"), F.lit(status).alias("status"))
@@ -198,14 +202,17 @@ def resolve_target(target: Column, relative_path: Column, root_path: Column) ->
             outcome("outsideBundle", F.lit(None)))
 
     def internal(s: Column) -> Column:
-        base = F.concat_ws("/", s["root"], F.when(~F.startswith(s["decoded"], F.lit("/")), tx.parent_dir(relative_path)))
-        full = tx.fold_dots(F.concat(base, F.lit("/"), s["decoded"]))
+        base = F.concat_ws("/", s["root"], F.when(~F.startswith(s["decoded"], F.lit("/")), folder))
+        full = tx.let(F.concat(base, F.lit("/"), s["decoded"]), tx.fold_dots)
         return tx.let(F.struct(s["root"].alias("root"), full.alias("full")), place)
 
-    staged = F.struct(root.alias("root"), tx.percent_decode(path).alias("decoded"))
-    return F.when(path == "", outcome("fragment", relative_path)).when(
-        tx.has_scheme(path) | F.startswith(path, F.lit("//")), outcome("external", F.lit(None))
-    ).otherwise(tx.let(staged, internal))
+    def by_kind(path: Column) -> Column:
+        staged = F.struct(root.alias("root"), tx.percent_decode(path).alias("decoded"))
+        return F.when(path == "", outcome("fragment", relative_path)).when(
+            tx.has_scheme(path) | F.startswith(path, F.lit("//")), outcome("external", F.lit(None))
+        ).otherwise(tx.let(staged, internal))
+
+    return tx.let(whole_path, by_kind)
 
 
 def _finding(code, severity: str, message, line=None, column=None, end_line=None, end_column=None) -> Column:
@@ -332,8 +339,9 @@ def _with_links(docs: DataFrame) -> DataFrame:
         s["target"].alias("target"), F.lit("metadata").alias("origin"), s["field"].alias("field"),
         none.alias("start_line"), none.alias("start_column"), none.alias("end_line"), none.alias("end_column")))
     docs = docs.withColumn("_raw_links", F.concat(from_body, from_meta))
-    staged = F.transform("_raw_links", lambda k: F.struct(
-        k.alias("k"), resolve_target(k["target"], F.col("relative_path"), F.col("root_path")).alias("r")))
+    place = F.struct(tx.fold_dots(F.col("root_path")).alias("root"), tx.parent_dir(F.col("relative_path")).alias("folder"))
+    staged = tx.let(place, lambda p: F.transform("_raw_links", lambda k: F.struct(
+        k.alias("k"), resolve_from(k["target"], F.col("relative_path"), p["root"], p["folder"]).alias("r"))))
     links = F.transform(staged, lambda s: F.struct(
         s["k"]["target"].alias("target"), s["r"]["target_relative_path"].alias("target_relative_path"),
         s["r"]["fragment"].alias("fragment"), s["k"]["origin"].alias("origin"), s["k"]["field"].alias("field"),

@@ -1,5 +1,7 @@
 """Golden rows of whole-document inspection."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from lorelake.functions import blocks as bl
@@ -189,3 +191,24 @@ def test_blocks_are_the_whole_text(spark):
         assert row.j == row.t
         assert row.t is None and row.b is None or [len(x) for x in row.b.split("\n")] == [len(x) for x in row.t.split("\n")]
         assert row.t is None or all(x == y or x == " " for x, y in zip(row.b, row.t))
+
+
+def test_indented_code_needs_no_fold(spark):
+    """Text whose only literals are indented code gives the rows of the fold; the fold is forced by a trailing quote."""
+    texts = ["    a\n    b\n\n    c\nd\n    e\n", "x\n    lazy\n   \n     code\n\n\n    code\n   text\n", "    only", "\n    a [b](c.md)\n \n  x\n\n      y"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    forced = F.substring(bl.without_literals(F.concat("t", F.lit("\n\n> q"))), F.lit(1), F.length("t"))
+    for row in df.select(bl.without_literals(F.col("t")).alias("flat"), forced.alias("fold")).collect():
+        assert row.flat == row.fold
+    assert df.select(bl.without_literals(F.col("t"))).first()[0] == "     \n     \n\n     \nd\n    e\n"
+    joint = spark.createDataFrame([("a\x1d `b` c `\x1d`",)], "t string").select(bl.blank_out(F.col("t"), "`[^`]*`")).first()[0]
+    assert joint == "a\x1d     c    "
+
+
+def test_long_document_is_linear(spark):
+    """160,000 lines in one document: time is in proportion to its lines."""
+    body = "word [a](b.md) line\n\n    [code](no.md)\n\n" * 40000
+    started = time.time()
+    links = ins.links_table(ins.inspect(corpus(spark, [("w", "n.md", body)]))).where("target = 'b.md' AND start_column = 6")
+    assert links.agg(F.count("*"), F.max("start_line")).first() == (40000, 159997)
+    assert time.time() - started < 40
