@@ -57,9 +57,17 @@ def _docs(inspected: DataFrame) -> DataFrame:
     return ins.documents(inspected).withColumn("generation", F.lit(1).cast("long"))
 
 
-def _stored(spark: SparkSession, sf: str) -> DataFrame:
-    """The inspected corpus written once, for queries that read it several times."""
-    return checkpoints.cut(_inspected(spark, sf))
+def _stored(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The inspected corpus written once, for queries that read it several times; only the named columns beside the keys."""
+    inspected = _inspected(spark, sf)
+    return checkpoints.cut(inspected.select("location_id", "relative_path", *columns) if columns else inspected)
+
+
+def _stored_docs(spark: SparkSession, sf: str, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """The named columns of the document table and the resolved links, from rows that are written once."""
+    docs = _docs(_inspected(spark, sf).withColumn("stored_links", F.col("links")))
+    stored = checkpoints.cut(docs.select("location_id", "relative_path", *columns, F.col("stored_links").alias("links")))
+    return stored.drop("links"), _links(stored)
 
 
 # -- search ----------------------------------------------------------------
@@ -337,7 +345,7 @@ def inspected_documents(spark, sf):
 
 @query
 def inspected_links(spark, sf):
-    return _links(_stored(spark, sf)).select(
+    return _links(_stored(spark, sf, "links")).select(
         "location_id", "source_relative_path", "position", "target", "target_relative_path", "fragment", "origin", "field", "status",
         "start_line", "start_column", "end_line", "end_column")
 
@@ -359,7 +367,7 @@ def document_findings(spark, sf):
 @query
 def bundle_findings(spark, sf):
     """Rule findings plus broken links (bag union), policy order attached as text keys."""
-    inspected = _stored(spark, sf)
+    inspected = _stored(spark, sf, "links", "findings")
     broken = gr.broken_links(_links(inspected))
     return ins.findings_table(inspected).unionByName(broken).groupBy("location_id", "code", "severity", "tier").agg(F.count("*").alias("n"))
 
@@ -462,7 +470,7 @@ def visible_tags(spark, sf):
 
 @query
 def link_health(spark, sf):
-    return fc.link_health(_links(_stored(spark, sf)))
+    return fc.link_health(_links(_stored(spark, sf, "links")))
 
 
 @query
@@ -547,10 +555,11 @@ def activity_from_outputs(spark, sf):
 
 @query
 def location_overview(spark, sf):
-    stored = _stored(spark, sf)
+    docs, links = _stored_docs(
+        spark, sf, "kind", "type", "tags", "status", "trust_tier", "stale_after", "finding_count")
     daily = rp.activity_daily(ad.activity_events(spark, sf).withColumn("location_id", F.translate("location_id", "u", "b")))
     logs = ad.log_documents(spark, sf).withColumn("location_id", F.translate("location_id", "c", "b"))
-    return rp.overview(_docs(stored), _links(stored), daily, logs, "2024-01-20")
+    return rp.overview(docs, links, daily, logs, "2024-01-20")
 
 
 @query
@@ -596,24 +605,21 @@ def exported_references(spark, sf):
 
 @query
 def related_documents(spark, sf):
-    stored = _stored(spark, sf)
-    docs = _docs(stored)
-    top, _ = gr.related(_links(stored), docs, docs, 3)
+    docs, links = _stored_docs(spark, sf, "kind", "title", "type", "tags", "generation")
+    top, _ = gr.related(links, docs, docs, 3)
     return top.select("location_id", "relative_path", "other", "direction", "reason", "fragment", "rank")
 
 
 @query
 def related_counts(spark, sf):
-    stored = _stored(spark, sf)
-    docs = _docs(stored)
-    return gr.related(_links(stored), docs, docs, 3)[1]
+    docs, links = _stored_docs(spark, sf, "kind", "title", "type", "tags", "generation")
+    return gr.related(links, docs, docs, 3)[1]
 
 
 @query
 def backlinks(spark, sf):
-    stored = _stored(spark, sf)
-    docs = _docs(stored)
-    return gr.backlinks(_links(stored), docs, docs)
+    docs, links = _stored_docs(spark, sf, "title")
+    return gr.backlinks(links, docs, docs)
 
 
 def _edges(stored: DataFrame) -> DataFrame:
@@ -622,16 +628,16 @@ def _edges(stored: DataFrame) -> DataFrame:
 
 @query
 def concept_edges(spark, sf):
-    return _edges(_stored(spark, sf))
+    return _edges(_stored(spark, sf, "kind", "meta", "links"))
 
 
 @query
 def undirected_edges(spark, sf):
-    return gr.undirected_edges(_edges(_stored(spark, sf)))
+    return gr.undirected_edges(_edges(_stored(spark, sf, "kind", "meta", "links")))
 
 
 def _ranked_concepts(spark, sf):
-    stored = _stored(spark, sf)
+    stored = _stored(spark, sf, "kind", "meta", "links")
     return gr.degrees(_edges(stored), gr.concept_projection(stored).select("location_id", "relative_path"))
 
 

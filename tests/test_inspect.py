@@ -212,3 +212,16 @@ def test_long_document_is_linear(spark):
     links = ins.links_table(ins.inspect(corpus(spark, [("w", "n.md", body)]))).where("target = 'b.md' AND start_column = 6")
     assert links.agg(F.count("*"), F.max("start_line")).first() == (40000, 159997)
     assert time.time() - started < 40
+
+
+def test_written_rows_hold_what_is_read(spark, monkeypatch):
+    """Queries that read the inspected corpus several times write no texts and no front-matter nodes for it."""
+    from lorelake.plans import catalog
+
+    written = []
+    monkeypatch.setattr(catalog.checkpoints, "cut", lambda df: written.append(df.columns) or df)
+    for name in ("related_documents", "location_overview"):
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(written) == 2
+    for columns in written:
+        assert "links" in columns and not {"content", "body", "nodes", "parsed", "search_text"} & set(columns)
