@@ -306,3 +306,38 @@ def test_kept_index_equals_the_scan(spark, tmp_path):
     assert rows(se.candidates(kept, queries, "2024-01-31", index=index)) == want
     plan = index.postings(spark.createDataFrame([("the",)], "term string"))._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ = \d+", plan)
+
+
+def test_kept_index_is_small(spark, tmp_path):
+    """A refresh writes less than half of the texts it has indexed."""
+    from lorelake.sources.search_index import SearchIndex
+
+    docs = ad.corpus_docs(spark, "/root/testdata/sf0.01")
+    read = docs.select(F.sum(F.octet_length("body"))).first()[0]
+    SearchIndex(spark, str(tmp_path / "index"), buckets=4).refresh(docs)
+    written = sum(f.stat().st_size for f in (tmp_path / "index" / "delta=0").rglob("*.parquet"))
+    assert 0 < written < read / 2
+
+
+def test_packed_postings_and_tokens_are_exact(spark):
+    """Numbers of one to five bytes; letters, numbers and accents of many alphabets as the JVM's pattern sees them."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lorelake.functions import text as tx
+    from lorelake.functions import tokens
+    from lorelake.sources import search_index as si
+
+    documents, counts = np.array([0, 7, 8, 200, 3, 70_000, 5, 3 << 28]), np.array([1, 2, 129, 1 << 21, 1, 1, 1 << 14, 1 << 28])
+    many, got, tf = si._decoded(si._encoded(np.array([0, 4, 6]), documents, counts))
+    assert (many.tolist(), got.tolist(), tf.tolist()) == ([4, 2, 2], documents.tolist(), counts.tolist())
+    random.seed(7)
+    pool = "aZ09 .,İıΣσς'áÀçÿß\u0301\u00ad\U00010400\U0001d7d8٣Ⅷ½中ひ\ufffd\n_ſǅẞ\ufeff\U0001f600"
+    texts = ["", *("".join(random.choices(pool, k=random.randrange(25))) for _ in range(500)), "ÉÉ1", "", "ΑΣ' Σ"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, x string").select(
+        "i", F.lower("x").alias("x"), tx.analyze(F.col("x")).alias("want")).orderBy("i").collect()
+    found, lengths = tokens.runs(pa.array(["no", *(r.x for r in rows)]).slice(1), tokens.table(tokens.kinds(spark)))
+    code, terms = tokens.encoded(found)
+    assert lengths.tolist() == [len(r.want) for r in rows] and terms.take(pa.array(code)).to_pylist() == [t for r in rows for t in r.want]
