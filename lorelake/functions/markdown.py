@@ -65,8 +65,16 @@ def without_code(blocks: Column) -> Column:
         F.contains(b["text"], F.lit("`")), bl.blank_out(b["text"], CODE_SPAN)).otherwise(b["text"]).alias("text")))
 
 
+# A heading without such a character or run is its own text.
+_INLINE = r"[\[<*_~`\"'\\]|\.\.\.|--"
+
+
 def inline_text(raw: Column) -> Column:
     """Visible text of one heading: markup dropped, code kept."""
+    return let(raw, lambda r: F.when(r.rlike(_INLINE), _marked_text(r)).otherwise(r))
+
+
+def _marked_text(raw: Column) -> Column:
     text = F.regexp_replace(raw, r"!?\[((?:[^\[\]\\]++|\\.|!?\[[^\[\]]*\](?:\([^()\s]*\))?)*+)\]\([^()]*\)", "$1")
     text = F.regexp_replace(text, r"!?\[([^\[\]]*)\]\([^()]*\)", "$1")
     text = F.regexp_replace(text, r"<([A-Za-z][A-Za-z0-9+.\-]{1,31}:[^\s<>]*)>", "$1")
@@ -74,15 +82,18 @@ def inline_text(raw: Column) -> Column:
     text = F.regexp_replace(text, r"(?s)(\*{1,3})(?=\S)(.+?)(?<=\S)\1", "$2")
     text = F.regexp_replace(text, r"(?s)(?<![\p{L}\p{N}])(_{1,3})(?=\S)(.+?)(?<=\S)\1(?![\p{L}\p{N}])", "$2")
     text = F.regexp_replace(text, r"(?s)~~(?=\S)(.+?)(?<=\S)~~", "$1")
-    code = F.contains(text, F.lit("`"))
+    return F.regexp_replace(let(text, _typeset), _ESCAPE, "$1")
+
+
+def _typeset(text: Column) -> Column:
+    """Curly quotes, dashes and ellipses, unless there is code; its marks are dropped."""
     smart = F.regexp_replace(text, r"(^|[\s(\[{])\"", "$1“")
     smart = F.replace(smart, F.lit('"'), F.lit("”"))
     smart = F.regexp_replace(smart, r"(^|[\s(\[{])'", "$1‘")
     smart = F.replace(smart, F.lit("'"), F.lit("’"))
     for plain, fancy in (("...", "…"), ("---", "—"), ("--", "–")):
         smart = F.replace(smart, F.lit(plain), F.lit(fancy))
-    text = F.when(code, F.regexp_replace(text, "`+", "")).otherwise(smart)
-    return F.regexp_replace(text, _ESCAPE, "$1")
+    return F.when(F.contains(text, F.lit("`")), F.regexp_replace(text, "`+", "")).otherwise(smart)
 
 
 def _heading(text: Column) -> Column:
@@ -97,7 +108,9 @@ def _heading(text: Column) -> Column:
     inner = F.regexp_replace(text, _CONTAINERS, "")
 
     def read(s: Column) -> Column:
-        hashes = F.length(F.regexp_extract(s["inner"], r"^(#{1,6})(?:[ \t]|\r?$)", 1))
+        return let(F.length(F.regexp_extract(s["inner"], r"^(#{1,6})(?:[ \t]|\r?$)", 1)), lambda hashes: shape(s, hashes))
+
+    def shape(s: Column, hashes: Column) -> Column:
         atx_raw = F.regexp_replace(F.regexp_replace(s["inner"], r"^#{1,6}[ \t]*", ""), r"(?:^|[ \t]+)#+[ \t\r]*$", "")
         lines = F.regexp_replace(F.regexp_replace(s["inner"], r"\n[^\n]*$", ""), r"[ \t\r]*\n[ \t>]*", "\n")
         level = F.when(hashes > 0, hashes).when(s["underlined"], F.when(s["last"].rlike(r"=[ \t\r]*$"), 1).otherwise(2))

@@ -93,10 +93,15 @@ def normalize_metadata(docs: DataFrame) -> DataFrame:
     """Add ``meta`` struct of the normalized fields."""
     nodes = F.coalesce(F.col("parsed.nodes"), F.expr("cast(array() as array<struct<path:string,kind:string,text:string>>)"))
     docs = docs.withColumn("nodes", nodes)
-    nodes = F.col("nodes")
-    fields = {name: fm.scalar_at(nodes, f"/{name}", number=name in NUMBER_FIELDS)
+    # Of most documents' nodes few are at the top, and only these are searched for each field.
+    top = F.filter("nodes", lambda n: n["path"].rlike("^/[^/]*$"))
+    return docs.withColumn("meta", tx.let(top, lambda t: _metadata(F.col("nodes"), t)))
+
+
+def _metadata(nodes: Column, top: Column) -> Column:
+    fields = {name: fm.scalar_at(top, f"/{name}", number=name in NUMBER_FIELDS)
               for name in TEXT_FIELDS + NUMBER_FIELDS}
-    tags = fm.node_at(nodes, "/tags")
+    tags = fm.node_at(top, "/tags")
     items = F.filter(nodes, lambda n: n["path"].rlike("^/tags/[0-9]+$") & fm.is_value(n))
     tag_list = (
         F.when(tags["kind"] == "sequence",
@@ -105,25 +110,25 @@ def normalize_metadata(docs: DataFrame) -> DataFrame:
         .otherwise(F.expr("cast(array() as array<string>)"))
     )
     extra = F.transform(
-        F.filter(nodes, lambda n: (n["kind"] == "key") & n["path"].rlike("^/[^/]*$")
-                 & ~n["text"].isin(KNOWN_FIELDS)),
+        F.filter(top, lambda n: (n["kind"] == "key") & ~n["text"].isin(KNOWN_FIELDS)),
         lambda n: n["text"],
     )
     generated_at = fm.scalar_at(nodes, "/generated/at")
-    return docs.withColumn(
-        "meta",
-        F.struct(
-            *[fields[name].alias(name) for name in fields],
-            tag_list.alias("tags"),
-            F.coalesce(generated_at, fields["timestamp"]).alias("effective_timestamp"),
-            extra.alias("extra_names"),
-        ),
+    return F.struct(
+        *[fields[name].alias(name) for name in fields],
+        tag_list.alias("tags"),
+        F.coalesce(generated_at, fields["timestamp"]).alias("effective_timestamp"),
+        extra.alias("extra_names"),
     )
 
 
 def metadata_links(nodes: Column) -> Column:
     """ARRAY<STRUCT<target, field>> of the path-bearing metadata fields."""
+    bearing = r"^/(?:resource|computation|(?:executor|attester)/resource|sources(?:/[0-9]+/resource)?)$"
+    return tx.let(F.filter(nodes, lambda n: n["path"].rlike(bearing)), _bearing_links)
+
 
+def _bearing_links(nodes: Column) -> Column:
     def at(path: str, field: str) -> Column:
         return F.struct(fm.scalar_at(nodes, path).alias("target"), F.lit(field).alias("field"))
 
@@ -233,7 +238,7 @@ def metadata_findings(brand: Brand = DEFAULT) -> list[Column]:
     nodes, meta = F.col("nodes"), F.col("meta")
     out = []
     for name in ["type", "title", "description", "resource", "timestamp", "okf_version", "status", "stale_after"]:
-        bad = fm.node_at(nodes, f"/{name}").isNotNull() & meta[name].isNull()
+        bad = meta[name].isNull() & fm.node_at(nodes, f"/{name}").isNotNull()
         out.append(F.when(bad, _finding(f"OKF_{name.upper()}_INVALID", "warning",
                                         f"The {name} field should be a string.")))
     version, status = meta["okf_version"], meta["status"]

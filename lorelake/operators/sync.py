@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorelake import checkpoints
+from lorelake import checkpoints, sizes
 from lorelake.brand import DEFAULT, Brand
 from lorelake.operators import facets as fc
 from lorelake.operators import graph as gr
@@ -58,17 +58,21 @@ def reconcile(spark: SparkSession, base: str, locations: DataFrame, brand: Brand
         if not done.isEmpty():
             return done
     attempt = tables.attempt_name(batch_key)
+    locations = checkpoints.cut(locations.select("location_id", "path", "okf_bundle"))
     here = locations.select("location_id").distinct()
     runs = tables.read_runs(spark, base)
     stored, stored_links, unread = (tables.read_table(spark, base, name, schema).join(here, "location_id", "left_semi") for name, schema in SCHEMAS.items())
-    listing = checkpoints.cut(corpus.list_files(locations).where(f"error IS NULL AND size <= {ins.MAX_DOCUMENT_BYTES}"))
-    changes = checkpoints.cut(hi.diff(stored, listing))
+    listing = checkpoints.stored(corpus.list_files(locations).where(f"error IS NULL AND size <= {ins.MAX_DOCUMENT_BYTES}"))
+    changes = checkpoints.stored(hi.diff(stored, listing))
     keys = ["location_id", "relative_path"]
-    todo = listing.join(changes.where("change IN ('added', 'changed')").select(*keys), keys, "left_semi")
-    decoded, failed = corpus.decode_text(checkpoints.cut(corpus.read_contents(todo)))
-    flags = locations.select("location_id", F.coalesce("okf_bundle", F.lit(False)).alias("okf_bundle"))
-    inspected = checkpoints.cut(ins.inspect(decoded.join(flags, "location_id"), brand))
-    fresh = hi.carry_ids(ins.documents(inspected, F.col("okf_bundle")).drop("okf_bundle", "path"), stored)
+    todo = checkpoints.stored(listing.join(changes.where("change IN ('added', 'changed')").select(*keys), keys, "left_semi"))
+    flags = sizes.small(locations.select("location_id", F.coalesce("okf_bundle", F.lit(False)).alias("okf_bundle")))
+    # Files are read and inspected in one pass. Only what the tables keep is written, as compressed columns: later steps read the keys or the links alone.
+    rows = ins.inspect(corpus.checked_text(corpus.read_contents(todo)).join(flags, "location_id"), brand).withColumn("stored_links", F.col("links"))
+    seen = checkpoints.stored(ins.documents(rows, F.col("okf_bundle")).drop("okf_bundle", "path")).withColumnRenamed("stored_links", "links")
+    failed = seen.where("message IS NOT NULL").select(*keys, "message")
+    inspected = seen.where("message IS NULL").drop("message")
+    fresh = hi.carry_ids(inspected.drop("links"), stored)
     removed = changes.where("change = 'removed'").select(*keys)
     touched = checkpoints.cut(inspected.select(*keys).union(removed))
     following = checkpoints.cut(here.join(runs.select("location_id", "active_generation"), "location_id", "left").select(

@@ -28,6 +28,9 @@ ENTRY = T.StructType([
     T.StructField("error", T.StringType())])
 CONTENT = [T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())]
 
+# Entries a listing task holds; files a reading task gets, and bytes of them it holds, or one larger file.
+LISTED_ROWS, READ_FILES, READ_BYTES = 10_000, 10_000, 1 << 22
+
 _IGNORED = {name.lower() for name in IGNORED_DIRECTORIES}
 _MARKDOWN = re.compile(r"(?i)[^/]\.(md|markdown)$")
 
@@ -52,7 +55,16 @@ def _children(folder: str):
         yield prefix + info.path, info.type == fs.FileType.Directory, info.size or 0, stamp
 
 
+def _entries(rows: list) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[]] * len(ENTRY)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, type=t) for c, t in zip(columns, (
+            pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string()))],
+        names=ENTRY.names)
+
+
 def _list_folders(batches):
+    """Entries of the folders; a large folder is passed on piece by piece."""
     for batch in batches:
         rows = []
         for location_id, root, folder in zip(*(batch[c].to_pylist() for c in ("location_id", "root_path", "path"))):
@@ -61,13 +73,12 @@ def _list_folders(batches):
                     name = path.rsplit("/", 1)[-1]
                     if is_dir and name.lower() not in _IGNORED or not is_dir and _MARKDOWN.search(path):
                         rows.append((location_id, root, path, is_dir, size, stamp, None))
+                    if len(rows) >= LISTED_ROWS:
+                        yield _entries(rows)
+                        rows = []
             except OSError as problem:
                 rows.append((location_id, root, folder, False, None, None, f"Could not inspect this path: {problem.strerror}"))
-        columns = list(zip(*rows)) if rows else [[]] * len(ENTRY)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, type=t) for c, t in zip(columns, (
-                pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string()))],
-            names=ENTRY.names)
+        yield _entries(rows)
 
 
 def list_files(locations: DataFrame) -> DataFrame:
@@ -91,32 +102,50 @@ def list_files(locations: DataFrame) -> DataFrame:
     return found.select("location_id", "root_path", relative.alias("relative_path"), "path", "size", "modified_at_ms", "error")
 
 
+def _content(path: str) -> tuple[bytes | None, str | None]:
+    try:
+        if "://" in path:
+            from pyarrow import fs
+
+            system, name = fs.FileSystem.from_uri(path)
+            with system.open_input_stream(name) as stream:
+                return stream.read(), None
+        with open(path, "rb", buffering=0) as stream:
+            return stream.read(), None
+    except OSError as problem:
+        return None, f"Could not read this Markdown file: {problem.strerror}"
+
+
 def _read_files(batches):
-    """Each row with its file's content; one file at a time is held."""
+    """Each row with its file's content; files of ``READ_BYTES`` are held at a time, or one file."""
     for batch in batches:
         place = batch.schema.get_field_index("path")
+        start, held, read = 0, 0, []
+
+        def rows(stop):
+            own = batch.slice(start, stop - start)
+            contents, errors = zip(*read)
+            return pa.RecordBatch.from_arrays(
+                [*own.columns, pa.array(contents, pa.binary()), pa.array(errors, pa.string())], names=[*own.schema.names, "content", "error"])
+
         for i, path in enumerate(batch.column(place).to_pylist()):
-            content, error = None, None
-            try:
-                if "://" in path:
-                    from pyarrow import fs
-
-                    system, name = fs.FileSystem.from_uri(path)
-                    with system.open_input_stream(name) as stream:
-                        content = stream.read()
-                else:
-                    with open(path, "rb") as stream:
-                        content = stream.read()
-            except OSError as problem:
-                error = f"Could not read this Markdown file: {problem.strerror}"
-            own = batch.slice(i, 1)
-            yield pa.RecordBatch.from_arrays(
-                [*own.columns, pa.array([content], pa.binary()), pa.array([error], pa.string())], names=[*own.schema.names, "content", "error"])
+            content, error = _content(path)
+            if read and held + len(content or b"") > READ_BYTES:
+                yield rows(i)
+                start, held, read = i, 0, []
+            held += len(content or b"")
+            read.append((content, error))
+        if read:
+            yield rows(batch.num_rows)
 
 
 def read_contents(files: DataFrame) -> DataFrame:
-    """Add binary ``content`` and a read ``error``; files are spread by path before they are read, contents stay where they are."""
-    spread = files.drop("error").repartition(F.col("path"))
+    """Add binary ``content`` and a read ``error``; files are spread by path before they are read, contents stay where they are.
+
+    Paths are short and what is done with the contents is not, so the files are counted for the number of tasks.
+    """
+    many = max(files.sparkSession.sparkContext.defaultParallelism, -(-files.count() // READ_FILES))
+    spread = files.drop("error").repartition(many, F.col("path"))
     return spread.mapInArrow(_read_files, T.StructType([*spread.schema.fields, *CONTENT]))
 
 
@@ -130,21 +159,36 @@ def _file_system(folder: str):
 def _each_file(root: str, work):
     def run(batches):
         system, base = _file_system(root)
+        if base == root:
+            system = None
+        made = set()
         for batch in batches:
             column = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
             for location, path, content in zip(column["location_id"], column["relative_path"], column["content"]):
-                work(system, f"{base}/{location}/{path}", content)
+                work(system, f"{base}/{location}/{path}", content, made)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
     return run
 
 
-def _write_file(system, path: str, content: str) -> None:
-    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with system.open_output_stream(path) as stream:
+def _write_file(system, path: str, content: str, made: set[str]) -> None:
+    """``system`` is None for plain local files; ``made`` are folders that this task has seen."""
+    folder = path.rsplit("/", 1)[0]
+    if folder not in made:
+        os.makedirs(folder, exist_ok=True) if system is None else system.create_dir(folder, recursive=True)
+        made.add(folder)
+    with open(path, "wb", buffering=0) if system is None else system.open_output_stream(path) as stream:
         stream.write(content.encode())
 
 
+def _remove_file(system, path: str, *_) -> None:
+    if system is None:
+        if os.path.isfile(path):
+            os.remove(path)
+    elif system.get_file_info(path).is_file:
+        system.delete_file(path)
+
+
 def write_files(files: DataFrame, root: str) -> int:
     """Write (location_id, relative_path, content) as files below ``root``, from the executors; a repeat overwrites."""
     spread = files.select("location_id", "relative_path", "content").repartition("location_id", "relative_path")
@@ -153,11 +197,7 @@ def write_files(files: DataFrame, root: str) -> int:
 
 def remove_files(files: DataFrame, root: str) -> int:
     """Remove files below ``root`` that ``write_files`` wrote."""
-    def remove(system, path, _):
-        if system.get_file_info(path).is_file:
-            system.delete_file(path)
-
-    return files.select("location_id", "relative_path", "content").mapInArrow(_each_file(root, remove), "n bigint").agg(F.sum("n")).first()[0] or 0
+    return files.select("location_id", "relative_path", "content").mapInArrow(_each_file(root, _remove_file), "n bigint").agg(F.sum("n")).first()[0] or 0
 
 
 def scan_corpus(locations: DataFrame) -> DataFrame:
@@ -166,14 +206,18 @@ def scan_corpus(locations: DataFrame) -> DataFrame:
     return read_contents(files.where(f"error IS NULL AND size <= {MAX_DOCUMENT_BYTES}"))
 
 
+def checked_text(files: DataFrame) -> DataFrame:
+    """Contents as text with a ``message`` where they cannot be read or decoded; such a text is empty."""
+    good = F.col("error").isNull() & F.coalesce(F.is_valid_utf8(F.col("content").cast("string")), F.lit(False))
+    message = F.coalesce("error", F.lit("Could not read this Markdown file: stream did not contain valid UTF-8"))
+    staged = files.withColumn("message", F.when(~good, message))
+    return staged.withColumn("content", F.when(F.col("message").isNull(), F.col("content").cast("string")).otherwise("")).drop("error")
+
+
 def decode_text(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(decoded documents, failed files): undecodable or unreadable files do not stop a run."""
-    good = F.col("error").isNull() & F.coalesce(F.is_valid_utf8(F.col("content").cast("string")), F.lit(False))
-    decoded = files.where(good).withColumn("content", F.col("content").cast("string")).drop("error")
-    failed = files.where(~good).select(
-        "location_id", "relative_path",
-        F.coalesce("error", F.lit("Could not read this Markdown file: stream did not contain valid UTF-8")).alias("message"))
-    return decoded, failed
+    checked = checked_text(files)
+    return checked.where("message IS NULL").drop("message"), checked.where("message IS NOT NULL").select("location_id", "relative_path", "message")
 
 
 def unreadable_findings(failed: DataFrame, code: str = "OKF_FILE_UNREADABLE") -> DataFrame:

@@ -341,3 +341,26 @@ def test_packed_postings_and_tokens_are_exact(spark):
     found, lengths = tokens.runs(pa.array(["no", *(r.x for r in rows)]).slice(1), tokens.table(tokens.kinds(spark)))
     code, terms = tokens.encoded(found)
     assert lengths.tolist() == [len(r.want) for r in rows] and terms.take(pa.array(code)).to_pylist() == [t for r in rows for t in r.want]
+
+
+def test_files_are_read_in_many_tasks_and_few_batches(spark, tmp_path, monkeypatch):
+    """Short paths do not put all files in one task; contents are passed on together up to a size, in order."""
+    import pyarrow as pa
+
+    write(tmp_path, {f"d/{i}.md": f"text {i}" for i in range(300)})
+    where = spark.createDataFrame([("b", str(tmp_path), True)], "location_id string, path string, okf_bundle boolean")
+    read = corpus.read_contents(corpus.list_files(where)).withColumn("task", F.spark_partition_id())
+    got = read.select("relative_path", F.col("content").cast("string").alias("text"), "task").collect()
+    assert {r.relative_path: r.text for r in got} == {f"d/{i}.md": f"text {i}" for i in range(300)}
+    assert len({r.task for r in got}) > 4
+    (tmp_path / "d/7.md").unlink()
+    paths = pa.RecordBatch.from_pydict({"path": [str(tmp_path / f"d/{i}.md") for i in range(20)]})
+    whole = list(corpus._read_files([paths]))
+    monkeypatch.setattr(corpus, "READ_BYTES", 20)
+    parts = list(corpus._read_files([paths]))
+    assert len(whole) == 1 and len(parts) > 5 and pa.Table.from_batches(parts).to_pylist() == whole[0].to_pylist()
+    assert [r["path"] for r in whole[0].to_pylist() if r["error"]] == [str(tmp_path / "d/7.md")]
+    monkeypatch.setattr(corpus, "LISTED_ROWS", 100)
+    folder = pa.RecordBatch.from_pydict({"location_id": ["b"], "root_path": [str(tmp_path)], "path": [str(tmp_path / "d")]})
+    pieces = list(corpus._list_folders([folder]))
+    assert [b.num_rows for b in pieces] == [100, 100, 99]
